@@ -6,6 +6,16 @@ from .jaccard import op10_ngram_jaccard_join
 from .packing import op1_harmonic_packing
 from .pieces import op4_sentencepiece_roundtrip
 from .sharding import op9_karmarkar_karp_sharding
+from .substrings import op2_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op10_ngram_jaccard_join, op4_sentencepiece_roundtrip, op9_karmarkar_karp_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_harmonic_packing,
+        op2_substring_dedup,
+        op4_sentencepiece_roundtrip,
+        op9_karmarkar_karp_sharding,
+        op10_ngram_jaccard_join,
+    )
+}
 ORACLES: dict[str, str] = {}
