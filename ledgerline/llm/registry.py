@@ -7,15 +7,17 @@ from .packing import op1_harmonic_packing
 from .pieces import op4_sentencepiece_roundtrip
 from .sharding import op9_karmarkar_karp_sharding
 from .substrings import op2_substring_dedup
+from .warc import ORACLE_WARC, op3_warc_archive
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_harmonic_packing,
         op2_substring_dedup,
+        op3_warc_archive,
         op4_sentencepiece_roundtrip,
         op9_karmarkar_karp_sharding,
         op10_ngram_jaccard_join,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc_archive": ORACLE_WARC}
