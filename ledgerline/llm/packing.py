@@ -74,6 +74,12 @@ class WordEncoder:
         return ids, upto[np.searchsorted(row, np.arange(len(offsets)))]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One encoder, with the words that it knows, for all tasks that a Python worker runs."""
+    return WordEncoder(path)
+
+
 def fill(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """First fit: (bin, offset) of each piece in turn."""
     room = np.zeros(0, np.int64)
@@ -103,7 +109,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         columns.append(("ids", pa.list_(pa.int32())))
 
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, worker, made = WordEncoder(tokenizer), TaskContext.get().partitionId(), dict.fromkeys(classes(capacity), 0)
+        encode, worker, made = encoder(tokenizer), TaskContext.get().partitionId(), dict.fromkeys(classes(capacity), 0)
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             for i, j in slices(offsets):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -206,6 +207,12 @@ class Pieces:
         return self.model.decode(ids, num_threads=1)
 
 
+@lru_cache(maxsize=1)
+def coder(path: str) -> Pieces:
+    """One encoder, with the words that it knows, for all tasks that a Python worker runs."""
+    return Pieces(path)
+
+
 def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_pieces: bool = True) -> DataFrame:
     """One row per row of df: id, n_tokens, ids_sha256, decoded_sha256, covered_bytes; with_pieces adds ids, begins, ends.
 
@@ -218,7 +225,7 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
     names = ["n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", *["ids", "begins", "ends"][: 3 * with_pieces]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Pieces(model)
+        own = coder(model)
         for batch in batches:
             sizes = np.cumsum(pa.compute.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
             i = 0
