@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .jaccard import op10_ngram_jaccard_join
+from .licenses import ORACLE_LICENSES, op5_license_scan
 from .neighbours import op7_embedding_near_dedup
 from .packing import op1_harmonic_packing
 from .pieces import op4_sentencepiece_roundtrip
 from .sharding import op9_karmarkar_karp_sharding
 from .substrings import op2_substring_dedup
 from .topk import ORACLE_TOPK, op8_exact_topk
+from .toxicity import op6_toxicity
 from .warc import ORACLE_WARC, op3_warc_archive
 
 QUERIES = {
@@ -18,10 +20,12 @@ QUERIES = {
         op2_substring_dedup,
         op3_warc_archive,
         op4_sentencepiece_roundtrip,
+        op5_license_scan,
+        op6_toxicity,
         op7_embedding_near_dedup,
         op8_exact_topk,
         op9_karmarkar_karp_sharding,
         op10_ngram_jaccard_join,
     )
 }
-ORACLES: dict[str, str] = {"op3_warc_archive": ORACLE_WARC, "op8_exact_topk": ORACLE_TOPK}
+ORACLES: dict[str, str] = {"op3_warc_archive": ORACLE_WARC, "op5_license_scan": ORACLE_LICENSES, "op8_exact_topk": ORACLE_TOPK}
