@@ -10,7 +10,7 @@ statistic reaches `length`, and the earliest place in the interval tells whether
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import _power, buffers, grams, mix, row_bounds, save, slices, text_of, words_in
 
-#: Packed per-document lists are broadcast if they have at most so many entries in all (about 12 bytes each).
-BROADCAST_ENTRIES = 4_000_000
+#: The filter of repeated anchors has at most so many 64-bit words (128 MB); with more anchors more runs pass needlessly.
+FILTER_WORDS = 1 << 24
 #: Different runs in a shard, about.
 SHARD_RUNS = 40_000
 
@@ -145,93 +145,124 @@ def sequence_hashes(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.nd
     return mix((total[first + size] - total[first]) * down[first] + size.astype(np.uint64)).view(np.int64)
 
 
-def remove_repeats(df: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def filter_bits(anchor: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word of a Bloom filter for each anchor, and its four bits there."""
+    a, bits = anchor.view(np.uint64), np.zeros(len(anchor), np.uint64)
+    for shift in (24, 30, 36, 42):
+        bits |= np.uint64(1) << ((a >> np.uint64(shift)) & np.uint64(63))
+    return (a & np.uint64(words - 1)).astype(np.int64), bits
+
+
+def anchor_filter(anchors: DataFrame) -> np.ndarray:
+    """A Bloom filter of saved anchors, about 10 bits each and FILTER_WORDS at most; its segments are made by tasks."""
+    n = anchors.count()
+    words = 1 << min(FILTER_WORDS.bit_length() - 1, max(13, (10 * n // 64).bit_length()))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at, bits = filter_bits(batch.column(0).to_numpy(), words)
+            for segment in np.unique(at >> 13):
+                here = at >> 13 == segment
+                np.bitwise_or.at(parts.setdefault(int(segment), np.zeros(8192, np.uint64)), at[here] & 8191, bits[here])
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["segment", "bits"])
+
+    segment = F.shiftright(F.col("anchor").bitwiseAND(F.lit(words - 1)), 13)
+    out = np.zeros(words, np.uint64)
+    for row in anchors.repartition(segment).mapInArrow(made, "segment long, bits binary").toLocalIterator():
+        out[row["segment"] * 8192 : (row["segment"] + 1) * 8192] |= np.frombuffer(row["bits"], np.uint64)
+    return out
+
+
+def remove_repeats(df: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of df: id, n_words, n_removed, kept_sha256, and with_text kept_text (kept words joined by a space).
 
     Each word is removed that lies in a window of `length` consecutive words (of [^\\x20\\x09-\\x0D]) of one text whose
     sequence also starts earlier: in a text of a smaller id, or before it in the same text. Windows are judged on the
-    input. 2 <= length <= 32. Null texts have no words; texts of fewer words keep all. Rows that repeat an id and text
+    input. 2 <= length <= 64. Null texts have no words; texts of fewer words keep all. Rows that repeat an id and text
     are at the same places, so neither removes the other; rows with a null id are kept whole and remove nothing. Very
-    long texts are handled whole. An empty table gives an empty result; extra columns are ignored."""
-    if not 2 <= length <= 32:
-        raise ValueError("length must be 2 to 32")
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"), F.xxhash64(text_of(text_col)).alias("_print"))
+    long texts are handled whole. An empty table gives an empty result; extra columns are ignored but for those in
+    `carry`, which are handed on.
+
+    Words go into the index as 32-bit hashes: two windows are taken as equal if 20 of these and the anchor are."""
+    if not 2 <= length <= 64:
+        raise ValueError("length must be 2 to 64")
+    carried = [f"_c{k}" for k in range(len(carry))]
+    docs = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"), F.hash(text_of(text_col)).alias("_print"), *(F.col(c).alias(x) for c, x in zip(carry, carried, strict=True)))
     id_type = df.schema[id_col].dataType.simpleString()
-    known = docs.filter("_id is not null")
+    known = docs.filter("_id is not null").select("_id", "_text", "_print")
 
     def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
+            data, offsets = buffers(batch.column(0))
             for i, j in slices(offsets):
-                anchor, row, *_ = runs_in(data, offsets[i : j + 1], length)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).slice(i, j - i).take(pa.array(row))], names=["anchor", "_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(runs_in(data, offsets[i : j + 1], length)[0])], names=["anchor"])
 
-    anchors = known.select("_id", "_text").mapInArrow(anchors_of, "anchor long, _id long")
+    anchors = known.select("_text").mapInArrow(anchors_of, "anchor long")
     again = save(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
-    listed = anchors.join(again, "anchor").groupBy("_id").agg(F.collect_set("anchor").alias("anchors"), F.count("*").alias("n"))
-    listed = save(listed, "anchors-of")
-
-    def packed(table: DataFrame) -> DataFrame:
-        entries = table.agg(F.sum("n")).first()[0] or 0
-        return F.broadcast(table.drop("n")) if entries <= BROADCAST_ENTRIES else table.drop("n").hint("shuffle_merge")
+    passes = df.sparkSession.sparkContext.broadcast(anchor_filter(again))
 
-    names = ["anchor", "run", "_id", "_print", "s", "windows", "words"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each run with a repeated anchor; at the end one with words for each different run of the task."""
-        different: dict[tuple[int, int], tuple[int, int, int, bytes]] = {}
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Runs whose anchor passes the filter: (batch, first row, rows, anchor, run, row, s, windows, first word, hashes)."""
+        seen = passes.value
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            ids, prints, lists = batch.column(0), batch.column(2), batch.column(3)
             for i, j in slices(offsets):
                 anchor, row, s, windows, first, h = runs_in(data, offsets[i : j + 1], length)
-                bounds, take = row_bounds(row, j - i), np.zeros(len(row), bool)
-                for d in range(j - i):
-                    a, b = bounds[d], bounds[d + 1]
-                    if a < b:
-                        take[a:b] = np.isin(anchor[a:b], lists[i + d].values.to_numpy())
+                at, bits = filter_bits(anchor, len(seen))
+                take = seen[at] & bits == bits
                 anchor, row, s, windows, first = (x[take] for x in (anchor, row, s, windows, first))
-                size = windows + length - 1
-                run = sequence_hashes(h, first, size)
-                own = ids.slice(i, j - i).take(pa.array(row))
-                for key, doc, at, w, f, z in zip(zip(anchor.tolist(), run.tolist(), strict=True), own.to_pylist(), s.tolist(), windows.tolist(), first.tolist(), size.tolist(), strict=True):
-                    old = different.get(key)
-                    if old is None or (doc, at) < old[:2]:
-                        different[key] = (doc, at, w, old[3] if old else h[f : f + z].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(run), own, prints.slice(i, j - i).take(pa.array(row)), pa.array(s.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.nulls(len(s), pa.binary())], names=names)
-        rows = [(*key, doc, None, at, w, words) for key, (doc, at, w, words) in different.items()]
+                run = sequence_hashes(h, first, windows + length - 1) ^ anchor
+                yield batch, i, j - i, anchor, run, row, s, windows, first, h
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, n, _, run, row, s, windows, _, _ in repeated(batches):
+            own = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(run), *(batch.column(k).slice(i, n).take(own) for k in (0, 2)), pa.array(s << 6 | windows)], names=["run", "_id", "_print", "place"])
+
+    names = ["anchor", "run", "_id", "place", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each different run of the task, with its first place and its words."""
+        different: dict[int, tuple] = {}
+        for batch, i, n, anchor, run, row, s, windows, first, h in repeated(batches):
+            h = h.astype(np.uint32)
+            own = batch.column(0).slice(i, n).take(pa.array(row)).to_pylist()
+            for key, a, doc, at, w, f in zip(run.tolist(), anchor.tolist(), own, (s << 6 | windows).tolist(), (windows + length - 1).tolist(), first.tolist(), strict=True):
+                old = different.get(key)
+                if old is None or (doc, at) < old[1:3]:
+                    different[key] = (a, doc, at, old[3] if old else h[f : f + w].tobytes())
+        rows = [(a, key, *rest) for key, (a, *rest) in different.items()]
         for k in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[k : k + 5000], strict=True), kinds, strict=True)], names=names)
 
-    placed = known.join(packed(listed), "_id").select("_id", "_text", "_print", "anchors")
-    placed = save(placed.mapInArrow(occurrences, "anchor long, run long, _id long, _print long, s int, windows int, words binary"), "runs")
-    texts = placed.filter("words is not null").select("anchor", "run", "_id", "s", "windows", "words")
-    shards = max(2, -(-texts.count() // SHARD_RUNS))
+    texts = known.select("_id", "_text").mapInArrow(texts_of, "anchor long, run long, _id long, place long, words binary")
+    shards = max(2, -(-again.count() * 3 // SHARD_RUNS))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each different run: its first place, and which of its windows start earlier in another run."""
         table = pa.Table.from_batches(list(batches))
         if not table.num_rows:
             return
-        table = table.sort_by([("_id", "ascending"), ("s", "ascending"), ("anchor", "ascending")])
-        anchor, run = table["anchor"].to_numpy(), table["run"].to_numpy()
-        _, keep = np.unique(np.stack([anchor, run], 1), axis=0, return_index=True)
+        table = table.sort_by([("_id", "ascending"), ("place", "ascending"), ("run", "ascending")])
+        _, keep = np.unique(table["run"].to_numpy(), return_index=True)
         table = table.take(pa.array(np.sort(keep)))
-        index = FMIndex([np.frombuffer(w, np.uint64) for w in table["words"].to_pylist()])
-        windows = table["windows"].to_numpy().astype(np.int64)
+        index = FMIndex([np.frombuffer(w, np.uint32) for w in table["words"].to_pylist()])
+        windows = table["place"].to_numpy() & 63
         nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         start = np.repeat(index.begin, windows) + nth
         bits = np.where(index.earliest(start, length) < start, np.int64(1) << nth, 0)
         mask = np.add.reduceat(bits, np.cumsum(windows) - windows)
-        out = [table["anchor"], table["run"], table["_id"], table["s"], pa.chunked_array([pa.array(mask)])]
-        yield pa.RecordBatch.from_arrays([x.combine_chunks() for x in out], names=["anchor", "run", "first_id", "first_s", "mask"])
+        out = [table["run"], table["_id"], table["place"], pa.chunked_array([pa.array(mask)])]
+        yield pa.RecordBatch.from_arrays([x.combine_chunks() for x in out], names=["run", "first_id", "first_place", "mask"])
 
-    firsts = save(texts.repartition(shards, "anchor").mapInArrow(searched, "anchor long, run long, first_id long, first_s int, mask long"), "searched")
-    every = F.expr("shiftleft(1L, windows) - 1")
-    elsewhere = (F.col("_id") != F.col("first_id")) | (F.col("s") != F.col("first_s"))
-    marks = placed.filter("words is null").join(firsts, ["anchor", "run"]).withColumn("mask", F.when(elsewhere, every).otherwise(F.col("mask"))).filter("mask <> 0")
-    marks = save(marks.groupBy("_id", "_print").agg(F.collect_list(F.struct("s", "mask")).alias("marks"), F.count("*").alias("n")), "marks")
+    firsts = save(texts.repartition(shards, "anchor").mapInArrow(searched, "run long, first_id long, first_place long, mask long"), "searched")
+    every = F.expr("shiftleft(1L, cast(place & 63 as int)) - 1")
+    elsewhere = (F.col("_id") != F.col("first_id")) | (F.col("place") != F.col("first_place"))
+    marks = known.mapInArrow(occurrences, "run long, _id long, _print int, place long").join(firsts, "run")
+    marks = marks.withColumn("mask", F.when(elsewhere, every).otherwise(F.col("mask"))).filter("mask <> 0")
+    marks = marks.groupBy("_id", "_print").agg(F.collect_list(F.struct(F.shiftright("place", 6).alias("s"), "mask")).alias("marks"))
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bit = np.arange(63, dtype=np.int64)
@@ -257,11 +288,15 @@ def remove_repeats(df: DataFrame, length: int = 20, id_col: str = "doc_id", text
                 columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
                 if with_text:
                     columns.append(pa.array(out[3], pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, 500), *columns], names=["_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
-
-    result = docs.join(packed(marks), ["_id", "_print"], "left").select("_id", "_text", "marks")
-    result = result.mapInArrow(cleaned, "_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
-    return result.withColumn("_id", F.col("_id").cast(id_type)).withColumnRenamed("_id", id_col)
+                columns += [batch.column(k).slice(i, 500) for k in range(3, 3 + len(carried))]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, 500), *columns], names=["_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text, *carried])
+
+    result = docs.join(marks.hint("shuffle_merge"), ["_id", "_print"], "left").select("_id", "_text", "marks", *carried)
+    kind = ", ".join(f"{x} {docs.schema[x].dataType.simpleString()}" for x in carried)
+    result = result.mapInArrow(cleaned, "_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + f", {kind}" * bool(carried))
+    own = [] if id_col in carry else [F.col("_id").cast(id_type).alias(id_col)]
+    texts = ["kept_text"] * with_text
+    return result.select(*own, "n_words", "n_removed", "kept_sha256", *texts, *(F.col(x).alias(c) for c, x in zip(carry, carried, strict=True)))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
