@@ -10,69 +10,64 @@ from pyspark.sql import functions as F
 from .common import save
 from .vectors import checked, matrix
 
-#: Candidates in a block, and queries that meet it in one task.
+#: Candidates in a block, and queries that meet it in one task; so many of these are worked on at a time.
 BLOCK = 8192
 PART = 1024
-#: Impacts are quantised to multiples of 2**SHIFT.
-SHIFT = 3
-#: Rounds process the segments whose impact is at least this share of the largest one.
-ROUNDS = (0.7, 0.55, 0.45, 0.36, 0.29, 0.23, 0.17, 0.12, 0.08, 0.04, 0.0)
+CHUNK = 128
+#: Impacts are quantised towards zero to multiples of 2**SHIFT.
+SHIFT = 2
+#: A query stops once at most this share of a block can still be among its best.
+FEW = 1 / 32
 #: Components beyond this size count as this size, so scores fit in 64 bits.
 LARGEST = 2**20
 
 
 class ImpactIndex:
-    """For each component, the candidates in order of their quantised value; equal values form a posting segment."""
+    """Candidates' components in posting segments by quantised impact, each from half the one before up to it.
+
+    A segment holds its postings of all components as one matrix with zeros elsewhere, so that the scores of many
+    queries advance together."""
 
     def __init__(self, w: np.ndarray):
-        self.w = w
-        self.order = np.argsort(w, axis=0, kind="stable").T.astype(np.int32)
-        self.level = np.take_along_axis(w.T >> SHIFT, self.order.astype(np.int64), 1)
-        self.low, self.high = self.level[:, 0], self.level[:, -1]
-
-    def top(self, q: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) that hold the k best, without own. Segments go by descending impact; it stops when the rows
-        that can still be among the best, by their bounds, are few, and scores just these exactly."""
-        n, dim = self.w.shape
-        size = np.abs(q)
-        step = size << SHIFT
-        most = step * (self.high - self.low)  # impact of a component's best segment over its worst
-        slack = int((size * ((1 << SHIFT) - 1)).sum())  # what quantising may hide
-        gained = np.zeros(n)
-        done = np.where(q > 0, n, 0)  # q > 0 goes from the high end down, q < 0 from the low end up
-        possible = np.arange(n)
-        need = k + len(own)
-        for share in ROUNDS:
-            least = share * most.max()
-            ids, gains, rest = [], [], 0
-            for d in np.flatnonzero(most):
-                levels = self.level[d]
-                if q[d] > 0:
-                    first = self.low[d] + -(-int(least) // int(step[d]))
-                    a, b = int(np.searchsorted(levels, first)), int(done[d])
-                    if a < b:
-                        ids.append(self.order[d, a:b])
-                        gains.append((levels[a:b] - self.low[d]) * step[d])
-                        done[d] = a
-                    rest += int(levels[a - 1] - self.low[d]) * int(step[d]) if min(a, b) > 0 else 0
+        self.w, size = w, np.abs(w)
+        quantised = np.sign(w) * (size >> SHIFT << SHIFT)
+        self.segments: list[tuple[int, np.ndarray]] = []  # what is below the segment's impacts, and the segment
+        top, most = 1 << int(size.max(initial=0)).bit_length(), 1 << SHIFT
+        while top > most:
+            self.segments.append((top // 2 - 1, np.where((size >= top // 2) & (size < top), quantised, 0).astype(np.float64)))
+            top //= 2
+
+    def top(self, queries: np.ndarray, k: int, own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (rows, scores) with its k best, without its own rows.
+
+        After each segment a score is known up to the sum over components of |q| times the larger of what quantising
+        hides and what is below the segment. A row can be among the best only if its score is within twice that of
+        the k-th best; once these rows are few, or no segment is left, just they are scored exactly."""
+        n, q = len(self.w), queries.astype(np.float64)
+        size = np.abs(q).sum(1)
+        need = np.array([min(n, k + len(o)) for o in own])
+        score, active = np.zeros((len(q), n)), np.arange(len(q))
+        out: list = [None] * len(q)
+        for step, (below, postings) in enumerate([*self.segments, (0, None)]):
+            if postings is None and self.segments:
+                break
+            if postings is not None:
+                score[active] += q[active] @ postings.T
+            unsure = size * max(below, (1 << SHIFT) - 1) * (1 + 1e-9)
+            last, going = step >= len(self.segments) - 1, []
+            for i in active:
+                row = score[i]
+                sure = np.partition(row, n - need[i])[n - need[i]]
+                possible = np.flatnonzero(row >= sure - 2 * unsure[i])
+                if last or len(possible) <= max(4 * need[i], n * FEW):
+                    possible = possible[~np.isin(possible, own[i])] if len(own[i]) else possible
+                    out[i] = possible, self.w[possible] @ queries[i]
                 else:
-                    last = self.high[d] - -(-int(least) // int(step[d]))
-                    a, b = int(done[d]), int(np.searchsorted(levels, last, "right"))
-                    if a < b:
-                        ids.append(self.order[d, a:b])
-                        gains.append((self.high[d] - levels[a:b]) * step[d])
-                        done[d] = b
-                    rest += int(self.high[d] - levels[b]) * int(step[d]) if max(a, b) < n else 0
-            if ids:
-                gained += np.bincount(np.concatenate(ids), weights=np.concatenate(gains), minlength=n)
-            if n > need:
-                sure = np.partition(gained, n - need)[n - need]
-                possible = np.flatnonzero(gained + slack + rest >= sure)
-            if len(possible) <= max(4 * need, n >> 5):
+                    going.append(i)
+            active = np.array(going, np.int64)
+            if not len(active):
                 break
-        if len(own):
-            possible = possible[~np.isin(possible, own)]
-        return possible, self.w[possible] @ q
+        return out
 
 
 def top_k(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -101,12 +96,14 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", ve
             by_id = np.argsort(ids, kind="stable")
             ids = ids[by_id]
             index = ImpactIndex(matrix(left["vec"], dim, np.int64)[by_id])
-            for name, kind, q in zip(right["id"].to_pylist(), right["class"].to_pylist(), matrix(right["vec"], dim, np.int64), strict=True):
-                own = np.arange(*(np.searchsorted(ids, name, side) for side in ("left", "right")))
-                found, score = index.top(q, k, own)
-                best = np.lexsort((found, -score))[:k]
-                for x, v in zip(out, ([name] * len(best), [kind] * len(best), ids[found[best]].tolist(), score[best].tolist()), strict=True):
-                    x.extend(v)
+            names, kinds, asked = right["id"].to_pylist(), right["class"].to_pylist(), matrix(right["vec"], dim, np.int64)
+            for i in range(0, len(names), CHUNK):
+                here = names[i : i + CHUNK]
+                own = [np.arange(*(np.searchsorted(ids, name, side) for side in ("left", "right"))) for name in here]
+                for name, kind, (found, score) in zip(here, kinds[i : i + CHUNK], index.top(asked[i : i + CHUNK], k, own), strict=True):
+                    best = np.lexsort((found, -score))[:k]
+                    for x, v in zip(out, ([name] * len(best), [kind] * len(best), ids[found[best]].tolist(), score[best].tolist()), strict=True):
+                        x.extend(v)
         kind = left.schema.field("id").type
         return pa.table([pa.array(out[0], kind), pa.array(out[1], pa.int64()), pa.array(out[2], kind), pa.array(out[3], pa.int64())], names=["query_id", "class", id_col, "score"])
 
