@@ -27,7 +27,7 @@ SPAN = 7
 DECAY = 0.7
 SYMBOLS = 64
 #: Labelled texts of each class that the machine is fitted on at most, those with the smallest hash of their id.
-SAMPLE = 3000
+SAMPLE = 2000
 LANDMARKS = 160
 #: Texts with at least this score count as toxic.
 THRESHOLD = 0.7
@@ -86,19 +86,17 @@ def encoded(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.concatenate(codes) if codes else np.zeros(0, np.int64)), end - size, end
 
 
-def dense(units: list[str]) -> np.ndarray:
-    """Features of units at unit length, as rows over the subsequences that they have."""
+def dense(units: list[str], seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of units at unit length, as rows over given subsequences, or over those that they have; and these."""
     symbols, first, end = encoded(units)
-    rows, cols, values = [], [], []
+    if seen is None:
+        seen = np.unique(np.concatenate([code for _, code, _ in features(symbols, first, end)]))
+    out = np.zeros((len(units), len(seen)), np.float32)
     for unit, code, weight in features(symbols, first, end):
-        rows.append(unit)
-        cols.append(code)
-        values.append(np.full(len(unit), weight))
-    rows, cols, values = (np.concatenate(x) for x in (rows, cols, values))
-    seen, back = np.unique(cols, return_inverse=True)
-    out = np.zeros((len(units), len(seen) + 1))
-    np.add.at(out, (rows, back), values)
-    return out / np.maximum(lengths(end - first), 1e-9)[:, None], seen
+        at = np.minimum(np.searchsorted(seen, code), max(len(seen) - 1, 0))
+        known = seen[at] == code if len(seen) else np.zeros(len(code), bool)
+        np.add.at(out, (unit[known], at[known]), weight)
+    return out / np.maximum(lengths(end - first), 1e-9)[:, None].astype(np.float32), seen
 
 
 @dataclass
@@ -200,19 +198,18 @@ def fit(texts: list[str], toxic: np.ndarray) -> Machine:
         chosen = np.concatenate([positive[: LANDMARKS * 2 // 3], against[: LANDMARKS // 4], against[:: max(1, len(against) // (LANDMARKS // 12))][: LANDMARKS // 12]])
         chosen = np.array(list(dict.fromkeys(chosen.tolist())), np.int64)
         positive = positive[:1500]
-        sample = np.concatenate([chosen, positive, against])
-        rows, seen = dense([known[i] for i in sample])
-        marks = rows[: len(chosen)]
+        marks, seen = dense([known[i] for i in chosen])
+        rows, _ = dense([known[i] for i in np.concatenate([positive, against])], seen)
         values, vectors = np.linalg.eigh(marks @ marks.T + 1e-3 * np.eye(len(chosen)))
         root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
-        x = np.hstack([rows[len(chosen) :] @ marks.T @ root, np.ones((len(positive) + len(against), 1))])
+        x = np.hstack([rows @ marks.T @ root, np.ones((len(positive) + len(against), 1))])
         y = np.repeat([1.0, -1.0], [len(positive), len(against)])
         times = np.array([found[int(w)] for w in positive], float)
         cost = np.concatenate([10 * np.minimum(times, 5), np.full(len(against), 10.0)])
         w = hinge(x, y, cost)
         alpha = root @ w[:-1]
         weight = np.zeros(SYMBOLS**3)
-        weight[seen] = (alpha @ marks)[: len(seen)]
+        weight[seen] = alpha @ marks
         bias = float(w[-1])
         score = Machine(weight, bias, 1, 0).margins(symbols, first, end)
     margin = np.array([max([bias, *score[o]]) if len(o) else bias for o in own])
