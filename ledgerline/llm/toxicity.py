@@ -11,12 +11,14 @@ its worst sentence."""
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -163,23 +165,19 @@ def fit(texts: list[str], toxic: np.ndarray) -> Machine:
     sentences of clean texts, and the toxic sentence is chosen anew."""
     if not toxic.any() or toxic.all():
         return Machine(np.zeros(SYMBOLS**3), -1.0, 1.0, 0.0)
-    bags: list[tuple[int, list[str]]] = []  # a sentence's text and units
-    for t, text in enumerate(texts):
+    index: dict[str, int] = {}
+    own: list[np.ndarray] = []  # the different units of each text's sentences
+    for text in texts:
         data, offsets = buffers(pa.array(sentences(text), pa.string()))
-        symbols, row, first, end = units_in(data, offsets)
-        names, bounds = spelled(symbols, first, end), np.searchsorted(row, np.arange(len(offsets)))
-        bags += [(t, names[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if a < b]
-    bad, good = Counter(), Counter()
-    in_text: list[set[str]] = [set() for _ in texts]
-    for t, units in bags:
-        in_text[t].update(u for u in units if len(u) > 2)
-    for t, units in enumerate(in_text):
-        (bad if toxic[t] else good).update(units)
+        symbols, _, first, end = units_in(data, offsets)
+        units = {u for u in spelled(symbols, first, end) if len(u) > 2}
+        own.append(np.array(sorted(index.setdefault(u, len(index)) for u in units), np.int64))
+    known = list(index)
     p, n = toxic.sum(), (~toxic).sum()
-    known = sorted(set(bad) | set(good))
-    index = {u: i for i, u in enumerate(known)}
-    sure = np.array([np.log((bad[u] + 0.1) / (p + 1)) - np.log((good[u] + 1.0) / (n + 1)) for u in known]) if known else np.zeros(0)
-    own = [np.array([index[u] for u in sorted(units)], np.int64) for units in in_text]
+    if not known:
+        return Machine(np.zeros(SYMBOLS**3), -1.0, 1.0, 0.0)
+    in_texts = lambda which: np.bincount(np.concatenate([o for o, y in zip(own, toxic, strict=True) if y == which]), minlength=len(known))
+    sure = np.log((in_texts(True) + 0.1) / (p + 1)) - np.log((in_texts(False) + 1.0) / (n + 1))
     symbols, first, end = encoded(known)
     rng, weight, bias = np.random.default_rng(3), np.zeros(SYMBOLS**3), 0.0
     score = sure
@@ -237,13 +235,21 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
-    """Fit on at most SAMPLE labelled texts of each class that aren't held out. Null labels and texts are left out."""
+    """Fit, in one task, on at most SAMPLE labelled texts of each class that aren't held out. Null labels and texts are
+    left out; with none of a class left every text gets the same score."""
     known = labels.filter(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), (F.col(label_col) == 1).alias("_toxic")).dropDuplicates(["_id"])
     rank = F.row_number().over(Window.partitionBy("_toxic").orderBy(F.xxhash64("_id"), "_id"))
     present = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"))
     taken = save(known.join(present, "_id", "left_semi").withColumn("_r", rank).filter(F.col("_r") <= SAMPLE).select("_id", "_toxic"), "labelled")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(taken), "_id").filter("_text is not null").dropDuplicates(["_id"]).toPandas().sort_values("_id")
-    return fit(rows["_text"].tolist(), rows["_toxic"].to_numpy(bool))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(taken), "_id").filter("_text is not null").dropDuplicates(["_id"])
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = pd.concat(list(batches), ignore_index=True).sort_values("_id", ignore_index=True)
+        yield pd.DataFrame({"machine": [pickle.dumps(fit(x["_text"].tolist(), x["_toxic"].to_numpy(bool)))]})
+
+    if rows.isEmpty():
+        return fit([], np.zeros(0, bool))
+    return pickle.loads(rows.repartition(1).mapInPandas(fitted, "machine binary").first()["machine"])
 
 
 def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
