@@ -47,7 +47,7 @@ def a7_csv_import(spark, d):
     return sinks.import_rows(upload, clean.status_exact("status", {"completed": "Completed"})).withColumn("amount", F.col("amount").cast("double"))
 
 
-@query(f"WITH {SCORED} SELECT project_key, cluster || ' ' || status || ' ' || municipality AS project_name, round(amount, 2) AS amount, status, strftime(released, '%Y-%m-%d') AS released_on, prob AS risk_probability, {TIER} AS risk_tier FROM scored".replace("status,", "CASE status WHEN 'Completed' THEN 'Completed' WHEN 'Not Started' THEN 'Not Started' ELSE 'On-going' END AS status,", 1))
+@query(f"WITH {SCORED} SELECT project_key, cluster || ' ' || status || ' ' || municipality AS project_name, round(amount, 2) AS amount, status, strftime(released, '%Y-%m-%d') AS released_on, prob AS risk_probability, {TIER} AS risk_tier FROM scored")
 def k1_publish_rows(spark, d):
     rows = named(spark, d)
     return publish.project_rows(rows.drop("prob"), rows.select("project_key", "prob")).withColumn("amount", F.col("amount").cast("double"))
@@ -70,12 +70,12 @@ def k3_delete_stale(spark, d):
     return sinks.keep_batch_keys(*_old_new(spark, d), "o_orderkey").select("o_orderkey")
 
 
-@query(f"WITH {PLAN} SELECT week_of, count(*) FILTER (WHERE week_of <> DATE '1997-05-26' OR day = 'Monday') AS n FROM plan GROUP BY week_of HAVING count(*) FILTER (WHERE week_of <> DATE '1997-05-26' OR day = 'Monday') > 0")
+@query(f"WITH {PLAN} SELECT strftime(week_of, '%Y-%m-%d') AS week_of, count(*) FILTER (WHERE week_of <> DATE '1997-05-26' OR day = 'Monday') AS n FROM plan GROUP BY week_of HAVING count(*) FILTER (WHERE week_of <> DATE '1997-05-26' OR day = 'Monday') > 0")
 def k4_replace_week(spark, d):
     rows, path = plan(spark, d), staged(spark, "schedule")
     sinks.replace_weeks(rows, path)
     sinks.replace_weeks(rows.filter("week_of = date'1997-05-26' and day = 'Monday'"), path)
-    return spark.read.parquet(path).groupBy("week_of").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).groupBy(F.col("week_of").cast("string").alias("week_of")).agg(F.count("*").alias("n"))
 
 
 @query(
