@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    for part in ("target", "reports", "cleaning", "features", "linkage", "publishing", "modelling"):
+    for part in ("target", "reports", "cleaning", "features", "linkage", "publishing", "modelling", "series", "streams"):
         importlib.import_module(f"ledgerline.plans.{part}_queries")
 
 
