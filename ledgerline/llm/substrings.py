@@ -212,7 +212,7 @@ def remove_repeats(df: DataFrame, length: int = 20, id_col: str = "doc_id", text
                 at, bits = filter_bits(anchor, len(seen))
                 take = seen[at] & bits == bits
                 anchor, row, s, windows, first = (x[take] for x in (anchor, row, s, windows, first))
-                run = sequence_hashes(h, first, windows + length - 1) ^ anchor
+                run = mix(sequence_hashes(h, first, windows + length - 1).view(np.uint64) * np.uint64(5) + anchor.view(np.uint64)).view(np.int64)
                 yield batch, i, j - i, anchor, run, row, s, windows, first, h
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
