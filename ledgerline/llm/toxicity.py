@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buffers, save, slices, span_hashes, text_of, words_in
@@ -238,9 +238,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit, in one task, on at most SAMPLE labelled texts of each class that aren't held out. Null labels and texts are
     left out; with none of a class left every text gets the same score."""
     known = labels.filter(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), (F.col(label_col) == 1).alias("_toxic")).dropDuplicates(["_id"])
-    rank = F.row_number().over(Window.partitionBy("_toxic").orderBy(F.xxhash64("_id"), "_id"))
-    present = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"))
-    taken = save(known.join(present, "_id", "left_semi").withColumn("_r", rank).filter(F.col("_r") <= SAMPLE).select("_id", "_toxic"), "labelled")
+    present = known.join(docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id")), "_id", "left_semi")
+    first = lambda rows: rows.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
+    taken = save(first(present.filter("_toxic")).union(first(present.filter("not _toxic"))), "labelled")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(taken), "_id").filter("_text is not null").dropDuplicates(["_id"])
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
