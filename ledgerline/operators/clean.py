@@ -54,9 +54,12 @@ def project_type(c: Column | str, yes: Sequence[str] = S.INFRASTRUCTURE_WORDS, n
 
 
 def status_in_order(c: Column | str) -> Column:
-    """Published status of a free text; the order of the rules decides."""
-    t = F.lower(text.col(c))
-    return F.when(t.contains("completed"), "Completed").when(t.contains("refund"), "Refunded").when(t.contains("not") & t.contains("start"), "Not Started").when(t.contains("bidding"), "For Bidding").otherwise("On-going")
+    """Published status of a free text; the order of the rules decides, and all else is on-going."""
+    rules = (("completed", S.COMPLETED_WORDS), ("refunded", S.REFUND_WORDS), ("not_yet_implemented", S.NOT_IMPLEMENTED_WORDS), ("for_bidding", S.BIDDING_WORDS))
+    out = F.lit("on_going")
+    for name, words in reversed(rules):
+        out = F.when(contains_any(text.col(c), words), name).otherwise(out)
+    return out
 
 
 def status_exact(c: Column | str, table: Mapping[str, str]) -> Column:

@@ -116,10 +116,10 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5) -> DataFra
 
 
 def label_of(column: str, prefixes: Mapping[str, str], exact: Mapping[str, str]) -> str:
-    """Readable label of a feature column: exact table, then prefixes, then its words as a title."""
-    if column in exact:
-        return exact[column]
+    """Readable label of a feature column: by its prefix, else an exact table, else its words as a title."""
     for prefix, name in prefixes.items():
         if column.startswith(prefix):
             return f"{name}: {column[len(prefix):].replace('_', ' ').strip()}"
-    return column.replace("_", " ").title()
+    if column in exact:
+        return exact[column]
+    return column.replace("_", " ").strip().title()

@@ -134,7 +134,7 @@ def b7_any_substring(spark, d):
     return monitoring(spark, d).groupBy(contains_any("status", ("completed", "functional", "fuctional")).alias("hit")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {MON} SELECT CASE WHEN lower(status) LIKE '%completed%' THEN 'Completed' WHEN lower(status) LIKE '%refund%' THEN 'Refunded' ELSE 'On-going' END AS s, count(*) AS n FROM mon GROUP BY 1")
+@query(f"WITH {MON} SELECT CASE WHEN lower(status) LIKE '%complet%' THEN 'completed' WHEN lower(status) LIKE '%refund%' THEN 'refunded' ELSE 'on_going' END AS s, count(*) AS n FROM mon GROUP BY 1")
 def b8_ordered_status(spark, d):
     return monitoring(spark, d).groupBy(clean.status_in_order("status").alias("s")).agg(F.count("*").alias("n"))
 

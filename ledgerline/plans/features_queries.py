@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, sequences
+from ..schema import LABEL_PREFIXES, LABELS
 from .registry import query
 from .target_queries import STEPS, labelled
 from .testbed import MON, SCORED, monitoring, scored, table
@@ -83,10 +84,10 @@ def g3_membership_split(spark, d):
     return rows.join(done, "project_key", "left_anti").join(train, "project_key", "left_semi").groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('amount_log', 'Amount (log)'), ('project_type_Infrastructure', 'Type: Infrastructure'), ('days_to_horizon', 'Days To Horizon')) t(feature, label)")
+@query("SELECT * FROM (VALUES ('release_month', 'Release Month'), ('project_type_Infrastructure', 'Project Type: Infrastructure'), ('days_to_horizon', 'Days To Horizon')) t(feature, label)")
 def h2_feature_labels(spark, d):
-    columns = ["amount_log", "project_type_Infrastructure", "days_to_horizon"]
-    rows = [(c, features.label_of(c, {"project_type_": "Type"}, {"amount_log": "Amount (log)"})) for c in columns]
+    columns = ["release_month", "project_type_Infrastructure", "days_to_horizon"]
+    rows = [(c, features.label_of(c, LABEL_PREFIXES, LABELS)) for c in columns]
     return table(spark, d, "region").limit(1).select(F.explode(F.array(*(F.struct(F.lit(a).alias("feature"), F.lit(b).alias("label")) for a, b in rows))).alias("x")).select("x.*")
 
 

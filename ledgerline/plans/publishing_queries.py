@@ -47,7 +47,7 @@ def a7_csv_import(spark, d):
     return sinks.import_rows(upload, clean.status_exact("status", {"completed": "Completed"})).withColumn("amount", F.col("amount").cast("double"))
 
 
-@query(f"WITH {SCORED} SELECT project_key, cluster || ' ' || status || ' ' || municipality AS project_name, round(amount, 2) AS amount, status, strftime(released, '%Y-%m-%d') AS released_on, prob AS risk_probability, {TIER} AS risk_tier FROM scored")
+@query(f"WITH {SCORED} SELECT project_key, cluster || ' ' || status || ' ' || municipality AS project_name, round(amount, 2) AS amount, CASE status WHEN 'Completed' THEN 'completed' ELSE 'on_going' END AS status, strftime(released, '%Y-%m-%d') AS released_on, prob AS risk_probability, {TIER} AS risk_tier FROM scored")
 def k1_publish_rows(spark, d):
     rows = named(spark, d)
     return publish.project_rows(rows.drop("prob"), rows.select("project_key", "prob")).withColumn("amount", F.col("amount").cast("double"))

@@ -2,19 +2,75 @@
 
 from __future__ import annotations
 
-# Results must use these words, cut-offs and limits.
-INFRASTRUCTURE_WORDS = ("road", "bridge", "building", "hall", "drainage", "concreting", "construction", "multi purpose", "pathway", "water system", "repair", "rehabilitation", "improvement", "installation")
-NON_INFRASTRUCTURE_WORDS = ("purchase", "procurement", "sound system", "uniform", "chairs", "supplies", "equipment", "vehicle", "training", "assistance")
-EXTENSION_WORDS = ("typhoon", "weather", "flood", "rain", "storm", "calamity", "extension")
-COMPLETED_WORDS = ("completed", "functional", "fuctional")
+# Results must use these words, names, cut-offs and limits as they are.
+INFRASTRUCTURE_WORDS = (
+    "road", "bridge", "building", "street light", "streetlight", "water system", "drainage", "concreting", "multi purpose", "school", "construction",
+    "rehabilitation", "rehab", "pathway", "footwalk", "fence", "flood control", "pavement", "canal", "extension of", "improvement of", "repair of",
+    "day care center", "day care", "gym", "court light", "solar street light", "solarized street light",
+)
+NON_INFRASTRUCTURE_WORDS = (
+    "purchase", "computer", "training", "seminar", "equipment", "supplies", "medical mission", "feeding", "livelihood", "sound system", "assistance",
+    "capacity building", "workshop", "relief", "scholarship", "uniform", "socio cultural", "cultural activities", "monoblock", "chairs", "tables",
+    "laptop", "printer", "projector", "cctv", "camera", "grass cutter", "radio", "trapal", "honorarium", "procurement of", "fiesta", "covid", "prizes",
+)
+EXTENSION_WORDS = ("typhoon", "bagyo", "flood", "landslide", "calamity", "force majeure", "el niño", "el nino", "la niña", "la nina", "weather", "storm")
+COMPLETED_WORDS = ("complet",)
+REFUND_WORDS = ("refund",)
+NOT_IMPLEMENTED_WORDS = ("not implement", "not yet implement", "not-implement", "unimplemented")
+BIDDING_WORDS = ("bid", "procure", "philgeps", "canvass", "ntp", "notice to proceed")
 MISSING_WORDS = ("NA", "N/A", "NONE", "NULL", "-", "")
 STANDARD_DAYS = {"Infrastructure": 365, "Non-Infrastructure": 182}
 STATUS_VOCABULARY = {
+    "completed": "Completed",
     "completed/ fuctional": "Completed/Functional",
+    "completed/ functional": "Completed/Functional",
+    "completed/ fuctional.": "Completed/Functional",
     "completed/functional": "Completed/Functional",
+    "completed/ function": "Completed/Functional",
+    "completed/ funtional": "Completed/Functional",
+    "completed/funtional": "Completed/Functional",
     "on-going": "On-going",
+    "on going": "On-going",
     "ongoing": "On-going",
-    "not started": "Not Started",
+    "not implemented": "Not Implemented",
+    "not yet implemented": "Not Implemented",
+    "for bidding": "For Bidding",
+    "for implementation": "For Implementation",
+}
+REMARKS_VOCABULARY = {
+    "liquidated": "Liquidated",
+    "unliquidated": "Unliquidated",
+    "unliquidated as per office record": "Unliquidated (Office Record)",
+    "unliquidated as per office  record": "Unliquidated (Office Record)",
+    "unliquidated per office record": "Unliquidated (Office Record)",
+    "unliquidated per offce record": "Unliquidated (Office Record)",
+    "unliquidated as per offfice record": "Unliquidated (Office Record)",
+    "unliquidated based on office list of fund transfer": "Unliquidated (Office Record)",
+    "unliquidated/validated": "Unliquidated/Validated",
+    "liquidated/validated": "Liquidated/Validated",
+    "validated/liquidated": "Liquidated/Validated",
+    "validated": "Validated",
+    "monitored": "Monitored",
+}
+CLUSTERS = {
+    "North Coastal": ("Concepcion", "Estancia", "Balasan", "Batad", "Carles", "San Dionisio", "Ajuy", "Sara", "Lemery"),
+    "Central Metro": ("Iloilo City", "Pavia", "Leganes", "Zarraga", "Santa Barbara", "San Miguel", "Cabatuan", "New Lucena"),
+    "Western Upland": ("Igbaras", "Guimbal", "Tigbauan", "San Joaquin", "Miagao", "Tubungan", "Alimodian", "Leon", "Oton", "Maasin"),
+    "Eastern Lowland": ("Banate", "Barotac Nuevo", "Dingle", "Anilao", "Dueñas", "San Enrique", "Dumangas", "Barotac Viejo"),
+    "Interior Passi Corridor": ("Passi City", "Calinog", "Lambunao", "Bingawan", "Badiangan", "Mina", "Pototan", "San Rafael", "Janiuay"),
+}
+MUNICIPALITY_CUTOFF = 80
+LABEL_PREFIXES = {"STATUS_clean_": "Status", "municipality_canonical_": "Municipality", "project_type_": "Project Type", "contractor_spec_": "Contractor Specialization"}
+LABELS = {
+    "AMOUNT (Php)": "Budget (₱, scaled)",
+    "Year": "Release Year",
+    "days_since_release": "Time Since Release (scaled)",
+    "release_month": "Release Month",
+    "release_quarter": "Release Quarter",
+    "is_wet_season_release": "Wet-Season Release (Jun-Nov)",
+    "amount_outlier_flag": "Unusually Large/Small Budget Flag",
+    "historical_delay_rate": "Contractor Historical Delay Rate",
+    "reliability_score": "Contractor Reliability Score",
 }
 TIER_EDGES = ((0.3, "Low"), (0.7, "Medium"), (0.9, "High"))
 TIER_TOP = "Critical"

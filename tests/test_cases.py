@@ -36,7 +36,7 @@ def test_types(spark, name, kind):
 
 
 def test_status_order_title_and_vocabulary(spark):
-    assert one(spark, clean.status_in_order(F.lit("Completed, for refund"))) == "Completed"
+    assert one(spark, clean.status_in_order(F.lit("Completed, for refund"))) == "completed"
     assert one(spark, text.title(F.lit("completed/fuNctional o'neil 20%nta dueñas"))) == "Completed/Functional O'Neil 20%Nta Dueñas"
     assert one(spark, clean.to_vocabulary(F.lit(" ON-GOING "), STATUS_VOCABULARY)) == "On-going"
 
