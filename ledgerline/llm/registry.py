@@ -5,6 +5,7 @@ from __future__ import annotations
 from .jaccard import op10_ngram_jaccard_join
 from .licenses import ORACLE_LICENSES, op5_license_scan
 from .neighbours import op7_embedding_near_dedup
+from .oracles import REPEATS, SIMILAR, VECTORS
 from .packing import op1_harmonic_packing
 from .pieces import op4_sentencepiece_roundtrip
 from .sharding import op9_karmarkar_karp_sharding
@@ -28,4 +29,8 @@ QUERIES = {
         op10_ngram_jaccard_join,
     )
 }
-ORACLES: dict[str, str] = {"op3_warc_archive": ORACLE_WARC, "op5_license_scan": ORACLE_LICENSES, "op8_exact_topk": ORACLE_TOPK}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": REPEATS,
+    "op7_embedding_near_dedup": VECTORS,
+    "op10_ngram_jaccard_join": SIMILAR,
+    "op3_warc_archive": ORACLE_WARC, "op5_license_scan": ORACLE_LICENSES, "op8_exact_topk": ORACLE_TOPK}
