@@ -33,4 +33,7 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": REPEATS,
     "op7_embedding_near_dedup": VECTORS,
     "op10_ngram_jaccard_join": SIMILAR,
-    "op3_warc_archive": ORACLE_WARC, "op5_license_scan": ORACLE_LICENSES, "op8_exact_topk": ORACLE_TOPK}
+    "op3_warc_archive": ORACLE_WARC,
+    "op5_license_scan": ORACLE_LICENSES,
+    "op8_exact_topk": ORACLE_TOPK,
+}
