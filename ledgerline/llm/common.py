@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +62,13 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> Da
     return inside.join(begin, [*group, "_lane"]).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_lane", "_before", "_in")
 
 
+def give_back() -> None:
+    """Return memory that this Python worker has freed but holds: workers outlive tasks and share their executor's room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
@@ -152,7 +161,7 @@ def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False, stops:
 class Known:
     """Token ids of spans of bytes: each different span is encoded once and kept in a cache that is emptied when full."""
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 200_000):
         self.encode, self.most, self.ids = encode, most, {}
 
     def __call__(self, data: np.ndarray, h: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

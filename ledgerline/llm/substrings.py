@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _power, buffers, grams, mix, row_bounds, save, slices, text_of, words_in
+from .common import _power, buffers, give_back, grams, mix, row_bounds, save, slices, text_of, words_in
 
 #: The filter of repeated anchors has at most so many 64-bit words (128 MB); with more anchors more runs pass needlessly.
 FILTER_WORDS = 1 << 24
@@ -214,6 +214,7 @@ def remove_repeats(df: DataFrame, length: int = 20, id_col: str = "doc_id", text
                 anchor, row, s, windows, first = (x[take] for x in (anchor, row, s, windows, first))
                 run = mix(sequence_hashes(h, first, windows + length - 1).view(np.uint64) * np.uint64(5) + anchor.view(np.uint64)).view(np.int64)
                 yield batch, i, j - i, anchor, run, row, s, windows, first, h
+        give_back()
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, n, _, run, row, s, windows, _, _ in repeated(batches):
@@ -234,6 +235,7 @@ def remove_repeats(df: DataFrame, length: int = 20, id_col: str = "doc_id", text
                 if old is None or (doc, at) < old[1:3]:
                     different[key] = (a, doc, at, old[3] if old else h[f : f + w].tobytes())
         rows = [(a, key, *rest) for key, (a, *rest) in different.items()]
+        different.clear()
         for k in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[k : k + 5000], strict=True), kinds, strict=True)], names=names)
 
@@ -256,6 +258,8 @@ def remove_repeats(df: DataFrame, length: int = 20, id_col: str = "doc_id", text
         mask = np.add.reduceat(bits, np.cumsum(windows) - windows)
         out = [table["run"], table["_id"], table["place"], pa.chunked_array([pa.array(mask)])]
         yield pa.RecordBatch.from_arrays([x.combine_chunks() for x in out], names=["run", "first_id", "first_place", "mask"])
+        del index, table, start, bits, nth
+        give_back()
 
     firsts = save(texts.repartition(shards, "anchor").mapInArrow(searched, "run long, first_id long, first_place long, mask long"), "searched")
     every = F.expr("shiftleft(1L, cast(place & 63 as int)) - 1")

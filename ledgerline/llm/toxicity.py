@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, save, slices, span_hashes, text_of, words_in
+from .common import buffers, give_back, save, slices, span_hashes, text_of, words_in
 
 SPAN = 7
 DECAY = 0.7
@@ -245,7 +245,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x = pd.concat(list(batches), ignore_index=True).sort_values("_id", ignore_index=True)
-        yield pd.DataFrame({"machine": [pickle.dumps(fit(x["_text"].tolist(), x["_toxic"].to_numpy(bool)))]})
+        made = pickle.dumps(fit(x["_text"].tolist(), x["_toxic"].to_numpy(bool)))
+        del x
+        give_back()
+        yield pd.DataFrame({"machine": [made]})
 
     if rows.isEmpty():
         return fit([], np.zeros(0, bool))
@@ -265,6 +268,7 @@ def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str
             for i, j in slices(offsets):
                 at = offsets[i : j + 1]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(shared.value.scores(data[at[0] : at[-1]], at - at[0]))], names=[id_col, "score"])
+        give_back()
 
     id_type = df.schema[id_col].dataType.simpleString()
     scored = df.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {id_type}, score double")
