@@ -244,9 +244,9 @@ def remove_repeats(df: DataFrame, length: int = 20, id_col: str = "doc_id", text
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each different run: its first place, and which of its windows start earlier in another run."""
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        if not (got := [b for b in batches if b.num_rows]):
             return
+        table = pa.Table.from_batches(got)
         table = table.sort_by([("_id", "ascending"), ("place", "ascending"), ("run", "ascending")])
         _, keep = np.unique(table["run"].to_numpy(), return_index=True)
         table = table.take(pa.array(np.sort(keep)))
