@@ -41,8 +41,9 @@ ORDERS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D)
 LEADERS = 4
 #: A leader that shares so many keys with a class is one of its hubs; pairs with a common hub are listed by hub.
 STRONG = 8
-#: More keys than any document has.
+#: More keys than any document has, and an end behind all tokens.
 ALL = 2**30
+END = 2**63 - 1
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -62,12 +63,12 @@ def class_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """Keys of a token set: rare single tokens (even), and close pairs of frequent ones (odd). And how many must be
-    kept: if its extended prefix is all rare, any others can be left out."""
+def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
+    """Keys of a token set: rare single tokens (even), and close pairs of frequent ones (odd). How many must be kept:
+    if its extended prefix is all rare, any others can be left out. And up to where all its rare tokens are keys."""
     n = len(tokens)
     if n < 2:  # equal to another, which is the same class, or similar to none
-        return tokens[:0], 0
+        return tokens[:0], 0, END
     least = -(-percent * n // 100)
     spare = n - least
     often = np.zeros(n, bool)
@@ -78,12 +79,12 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     if len(rare) > spare:
         keys = rare[: spare + more] & ~1
         if len(keys) < spare + more:
-            return keys, ALL
+            return keys, ALL, END
         fewest = least - -(-percent * least // 100)
-        return keys, len(keys) - min(fewest // EXTEND, more - 1)
+        return keys, len(keys) - min(fewest // EXTEND, more - 1), int(keys[-1])
     common = tokens[often][: max(0, min(spare + spare + 2, n) - len(rare))].view(np.uint64)
     pairs = [mix(common[:-k] * np.uint64(3) + mix(common[k:])) for k in (1, 2, 3) if len(common) > k]
-    return np.concatenate([rare & ~1, *(np.unique(x).view(np.int64) | 1 for x in pairs)]), ALL
+    return np.concatenate([rare & ~1, *(np.unique(x).view(np.int64) | 1 for x in pairs)]), ALL, END
 
 
 def similar(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,32 +138,36 @@ def similar(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, sets in sets_of(batches, 0):
-            keys, keep = zip(*(index_keys(s, frequent.value, percent) for s in sets), strict=True)
+            keys, keep, ends = zip(*(index_keys(s, frequent.value, percent) for s in sets), strict=True)
             times, singles = [len(k) for k in keys], [int((k & 1 == 0).sum()) for k in keys]
-            column = [np.repeat(np.array(x, kind), times) for x, kind in (([class_of(s) for s in sets], np.int64), ([len(s) for s in sets], np.int32), (keep, np.int32), (singles, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), *column)], names=["key", "class", "n", "keep", "singles"])
+            column = [np.repeat(np.array(x, kind), times) for x, kind in (([class_of(s) for s in sets], np.int64), ([len(s) for s in sets], np.int32), (keep, np.int32), (singles, np.int32), (ends, np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), *column)], names=["key", "class", "n", "keep", "singles", "end"])
 
-    indexed = docs.select("_text").mapInArrow(index, "key long, class long, n int, keep int, singles int")
+    indexed = docs.select("_text").mapInArrow(index, "key long, class long, n int, keep int, singles int, end long")
     met = indexed.groupBy("key").agg(F.min("class").alias("p"), F.max("class").alias("q"), F.count("*").alias("crowd")).filter("p <> q")
     met = save(met.select("key", "crowd"), "met-keys")
     meeting = save(indexed.join(met, "key").distinct(), "meeting")
     own = Window.partitionBy("class")
-    alone = F.col("singles") - F.count_if(F.col("key").bitwiseAND(1) == 0).over(own)  # tokens that no other class has
-    place = F.row_number().over(own.orderBy("crowd", "key")) + alone  # keys in which it is alone come before all these
-    members = meeting.withColumns({"_place": place, "alone": alone, "weight": F.sum("crowd").over(own)}).filter("_place <= keep")
-    members = members.select("key", "class", "n", (F.col("n") - F.col("alone")).alias("sharable"), "weight")
+    known = F.count_if(F.col("key").bitwiseAND(1) == 0).over(own)  # its single keys that others have as keys too
+    place = F.row_number().over(own.orderBy("crowd", "key")) + F.col("singles") - F.col("known")  # keys in which it is alone come before all these
+    members = meeting.withColumn("known", known).withColumns({"_place": place, "weight": F.sum("crowd").over(own)}).filter("_place <= keep")
+    members = members.select("key", "class", F.struct("n", (F.col("n") - F.col("singles")).alias("behind"), "known", "end").alias("reach"), "weight")
     members = save(members, "members")
     classes = save(rows.filter("n > 0").groupBy("class").agg(F.min("_id").alias("doc"), F.first("n").alias("n"), F.count("*").alias("copies")), "classes")
 
-    # what two classes can share is at most what either has in common with any
-    plausible = F.expr(f"100 * least(sharable, sharable2) >= {percent} * (n + m - least(sharable, sharable2))")
+    # a single key of the class whose keys end first is a key of the other too if that has the token at all, so the two
+    # share at most the lesser number of known keys, and what the first has behind its keys; for the other class this
+    # does not hold, as its last keys can be tokens behind the keys of the first
+    behind = "case when reach.end < reach2.end then reach.behind when reach.end > reach2.end then reach2.behind else least(reach.behind, reach2.behind) end"
+    most = f"least(reach.n, reach2.n, {behind} + least(reach.known, reach2.known))"
+    plausible = F.expr(f"100 * {most} >= {percent} * (reach.n + reach2.n - {most})")
     turned = [F.col("class").bitwiseXOR(F.lit(x).cast("long")) for x in ORDERS]
     ends = [f(x).bitwiseXOR(F.lit(y).cast("long")) for x, y in zip(turned, ORDERS, strict=True) for f in (F.min, F.max)]
     central = F.max_by("class", F.struct("weight", "class"))  # of near copies the one with fewest words of its own
     leaders = members.groupBy("key").agg(F.array_distinct(F.array(central, *ends)).alias("leaders")).filter("size(leaders) > 1")
-    pairs = members.join(leaders, "key").select("class", "n", "sharable", F.explode("leaders").alias("leader")).filter("class <> leader")
-    pairs = pairs.groupBy("class", "leader").agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("sharable").alias("sharable"))
-    pairs = pairs.join(members.select(F.col("class").alias("leader"), F.col("n").alias("m"), F.col("sharable").alias("sharable2")).distinct(), "leader").filter(plausible)
+    pairs = members.join(leaders, "key").select("class", "reach", F.explode("leaders").alias("leader")).filter("class <> leader")
+    pairs = pairs.groupBy("class", "leader", "reach").agg(F.count("*").alias("times"))
+    pairs = pairs.join(members.select(F.col("class").alias("leader"), F.col("reach").alias("reach2")).distinct(), "leader").filter(plausible)
     best = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("times"), "leader"))
     stars = pairs.withColumn("_r", best).filter(F.col("_r") <= LEADERS).select(F.col("leader").alias("a"), F.col("class").alias("b"), "times")
     stars = save(stars, "star-pairs")
@@ -216,15 +221,15 @@ def similar(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     links = save(verified(stars), "links")
     joined = components(links)
     label = save(joined, "labels")
-    lettered = members.join(label.withColumnRenamed("id", "class"), "class", "left").select("key", "class", "n", "sharable", F.coalesce("component", "class").alias("component"))
+    lettered = members.join(label.withColumnRenamed("id", "class"), "class", "left").select("key", "class", "reach", F.coalesce("component", "class").alias("component"))
     lettered = save(lettered, "lettered")
     open_keys = lettered.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("key")
     left = save(lettered.join(open_keys, "key"), "open-members")
     hubs = stars.filter(F.col("times") >= STRONG).groupBy(F.col("b").alias("class")).agg(F.collect_set("a").alias("hubs"))
     left = left.join(hubs, "class", "left").withColumn("hubs", F.coalesce("hubs", F.array().cast("array<long>")))
-    twin = lambda df, key: df.select(key, F.col("class").alias("c"), F.col("n").alias("m"), F.col("sharable").alias("sharable2"), F.col("component").alias("other"), F.col("hubs").alias("hubs2"))
+    twin = lambda df, key: df.select(key, F.col("class").alias("c"), F.col("reach").alias("reach2"), F.col("component").alias("other"), F.col("hubs").alias("hubs2"))
     apart = (F.col("component") < F.col("other")) & plausible
-    by_hub = left.select("class", "n", "sharable", "component", "hubs").distinct().withColumn("hub", F.explode("hubs"))
+    by_hub = left.select("class", "reach", "component", "hubs").distinct().withColumn("hub", F.explode("hubs"))
     lowest_hub = F.col("hub") == F.array_min(F.array_intersect("hubs", "hubs2"))  # so a pair is made once
     listed = by_hub.join(twin(by_hub, "hub"), "hub").filter(apart & lowest_hub)
     rest = left.join(twin(left, "key"), "key").filter(apart & ~F.arrays_overlap("hubs", "hubs2"))

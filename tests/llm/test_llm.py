@@ -216,6 +216,18 @@ def test_similar_documents_link_as_by_brute_force(docs, frame, words, percent):
     assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize(("words", "percent"), [(5, 80), (4, 85)])
+def test_texts_that_were_appended_to_or_cut_off_link(spark, words, percent):
+    texts = []
+    for k in range(90):
+        w = [f"w{k}x{i}" for i in range(99 + words)]
+        n = percent + k % 3 + words - 2  # just below, at and just above
+        texts += [" ".join(w), " ".join(w[:n] if k % 2 else w[-n:])]
+    sets = sets_of(texts, words)
+    got = {r.doc_id: r.component_id for r in jaccard.similar(table(spark, texts), words, percent).collect()}
+    assert got == dict(enumerate(components_of(sets, percent))) and len(set(got.values())) == 120
+
+
 def test_frequent_tokens_link_by_pairs():
     rng = np.random.default_rng(4)
     frequent = np.sort(rng.integers(-(2**62), 2**62, 400))
