@@ -199,6 +199,17 @@ def test_required_columns_and_import(spark, tmp_path):
     assert [tuple(r) for r in sinks.import_rows(rows, F.col("status")).collect()][0][:2] == ("P1", "a, b")
 
 
+def test_late_reports_come_through_once(spark, tmp_path):
+    path, seen = str(tmp_path / "in"), []
+    rows = [(1, "2026-06-01"), (2, None), (3, "2026-01-01"), (1, "2026-06-01"), (4, "2020-01-01"), (3, "2026-01-01")]
+    for i, day in rows:  # a file and a batch each
+        spark.createDataFrame([(i, "a", "On-going", 1.0, 1.0, datetime.fromisoformat(day) if day else None)], stream.SCHEMA).coalesce(1).write.mode("append").json(path)
+    sink = lambda batch, _: seen.extend(r.report_id for r in batch.collect())
+    unique = stream.once(stream.with_verdict(stream.report_stream(spark, path)))
+    unique.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(seen) == [1, 2, 3, 4]
+
+
 def test_stream_sequences_do_not_depend_on_batches(spark, tmp_path):
     rows = [(i, f"p{i % 3}", datetime(2024, 1, 1 + i * 7 % 28), float(i)) for i in range(24)]
     results = []
