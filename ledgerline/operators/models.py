@@ -113,15 +113,16 @@ def sampled_contributions(model: PipelineModel, rows: DataFrame, background: Dat
     """Shapley contributions to a model's probability by sampled permutations against a bounded background.
 
     Each row, permutation and background row gives a walk that swaps in the row's values one by one; scores along the
-    walk are one transform, and differences of neighbours average to contributions that add up to f(x) - mean f."""
+    walk are one transform, and differences of neighbours average to contributions that add up to f(x) - mean f. A score
+    counts for the column that led to it and against the next, so sums by row and column need no walk held together."""
     walks = rows.select(key, F.struct(*columns).alias("own")).crossJoin(F.broadcast(background.select(F.struct(*columns).alias("back")))).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     order = F.array_sort(F.transform(F.array(*map(F.lit, columns)), lambda c: F.struct(F.xxhash64(c, F.col("perm"), F.col("back")).alias("h"), c.alias("c"))))
     steps = walks.withColumn("order", F.transform(order, lambda x: x["c"])).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(columns)))))
     mixed = {c: F.when(F.array_position("order", c) <= F.col("step"), F.col(f"own.{c}")).otherwise(F.col(f"back.{c}")) for c in columns}
     scored = probability(model.transform(steps.withColumns(mixed)), "f")
-    walk = Window.partitionBy(key, "perm", "back").orderBy("step")
-    moved = scored.withColumn("change", F.col("f") - F.lag("f").over(walk)).filter("step > 0")
-    return moved.groupBy(key, F.element_at("order", F.col("step")).alias("feature")).agg(F.avg("change").alias("contribution"))
+    sides = F.array(*(F.struct(F.get("order", F.col("step") - back).alias("feature"), F.lit(sign).alias("sign"), "f") for back, sign in ((1, 1), (0, -1))))
+    moved = scored.select(key, F.explode(sides).alias("x")).select(key, "x.*").filter("feature is not null")
+    return moved.groupBy(key, "feature").agg((F.sum(F.col("sign") * F.col("f")) / F.count_if(F.col("sign") > 0)).alias("contribution"))
 
 
 def top_contributions(df: DataFrame, n: int = 8, key: str = "project_key") -> DataFrame:

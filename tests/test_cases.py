@@ -183,6 +183,14 @@ def test_sampled_contributions_add_up(spark):
         assert abs(got[r.project_key] - (r.f - mean)) < 1e-9
 
 
+def test_every_row_gets_sampled_contributions(spark, data):
+    from ledgerline.plans import modelling_queries
+
+    got = modelling_queries.i21_sampled_contributions(spark, data).groupBy("project_key").agg(F.count_distinct("feature").alias("n"), F.count("contribution").alias("m")).collect()
+    keys = {r.project_key for r in modelling_queries.learning_rows(spark, data).select("project_key").collect()}
+    assert len(keys) > 10 and {(r.project_key, r.n, r.m) for r in got} == {(k, 4, 4) for k in keys}
+
+
 def test_out_of_fold_rows_are_predicted_once(spark):
     from pyspark.ml import Pipeline
 
