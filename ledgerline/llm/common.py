@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,18 +15,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it has been counted and has at most so many rows.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only if it has been measured and has at most so many bytes.
+BROADCAST_BYTES = 64_000_000
 #: Text is handled in Python in slices of about so many bytes, so memory does not follow the batch size.
 SLICE_BYTES = 1 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); own folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that the cluster shares.
+
+    That is spark.checkpoint.dir, or else the context's checkpoint folder. Where neither is set and Spark runs in one
+    process, as in tests, an own folder becomes the context's; on a cluster a missing setting is an error."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -32,13 +40,30 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: lineage ends here and a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    saved = df.sparkSession.read.schema(df.schema).parquet(path)
+    saved.saved_at = path
+    return saved
+
+
+def discard(*saved: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more, results not yet computed included."""
+    for df in saved:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of a saved df's rows in memory, about: measured for strings, binaries and arrays, else 16 a column."""
+    wide = [f.name for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    sizes = [F.coalesce(F.octet_length(df[c].cast("string") if df.schema[c].dataType.typeName() != "binary" else df[c]), F.lit(0)) for c in wide]
+    n, more = df.agg(F.count("*"), F.sum(sum(sizes, F.lit(0)).cast("long"))).first()
+    return n * 16 * (1 + len(df.columns)) + (more or 0)
 
 
-def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A saved df, hinted for broadcast if its counted rows stay below BROADCAST_ROWS; else left to a shuffled join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df.hint("shuffle_merge")
+def small_side(df: DataFrame) -> DataFrame:
+    """A saved df, hinted for broadcast if its bytes stay below BROADCAST_BYTES; else left to a shuffled join."""
+    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df.hint("shuffle_merge")
 
 
 def lanes(spark: SparkSession) -> int:
@@ -121,10 +146,15 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123)]] = True
-_STOP = np.zeros(256, bool)
-_STOP[[*b".,;:!?"]] = True
+#: Kinds of bytes: 1 ASCII letter, 2 mark, 3 digit, 4 apostrophe, 0 the others.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 2
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 3
+_KIND[39] = 4
+#: Whether a word of the tokenizer surely ends between two kinds: a run of letters, a run of marks, a single digit.
+_ENDS = np.zeros(25, bool)
+_ENDS[[5 * a + b for a, b in ((1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (3, 1), (3, 2), (3, 3), (3, 4), (4, 3))]] = True
 
 
 def span_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
@@ -138,7 +168,7 @@ def span_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, lower: boo
 def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False, stops: bool = False) -> tuple[np.ndarray, ...]:
     """Words [^\\x20\\x09-\\x0D]+ of rows that lie side by side in data: (hash, row, first byte, end byte).
 
-    stops: a word also ends where a mark of .,;:!? follows an ASCII letter."""
+    stops: a word also ends between ASCII letters, marks and digits, but not between an apostrophe and a letter."""
     lo = int(offsets[0])
     data, offsets = data[lo : int(offsets[-1])], offsets - lo
     n = len(data)
@@ -151,9 +181,10 @@ def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False, stops:
     at = offsets[(offsets > 0) & (offsets < n)]
     before[at], after[at - 1] = True, True
     if stops:
-        mark = _LETTER[data[:-1]] & _STOP[data[1:]]
-        before[1:] |= mark
-        after[:-1] |= mark
+        kind = _KIND[data]
+        ends = _ENDS[kind[:-1] * np.uint8(5) + kind[1:]]
+        before[1:] |= ends
+        after[:-1] |= ends
     first, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
     return span_hashes(data, first, end, lower), np.searchsorted(offsets, first, "right") - 1, first + lo, end + lo
 
@@ -161,7 +192,7 @@ def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False, stops:
 class Known:
     """Token ids of spans of bytes: each different span is encoded once and kept in a cache that is emptied when full."""
 
-    def __init__(self, encode, most: int = 200_000):
+    def __init__(self, encode, most: int = 400_000):
         self.encode, self.most, self.ids = encode, most, {}
 
     def __call__(self, data: np.ndarray, h: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,14 +201,14 @@ class Known:
             self.ids.clear()
         unique, at, back = np.unique(h, return_index=True, return_inverse=True)
         keys, known = unique.tolist(), self.ids
-        if new := [i for i, k in enumerate(keys) if k not in known]:
+        each = list(map(known.get, keys))
+        if new := [i for i, x in enumerate(each) if x is None]:
             lo, hi = first[at[new]], end[at[new]]
             begin = int(lo.min())
             raw = data[begin : int(hi.max())].tobytes()
             spans = [raw[a:b].decode() for a, b in zip((lo - begin).tolist(), (hi - begin).tolist(), strict=True)]
             for i, x in zip(new, self.encode(spans), strict=True):
-                known[keys[i]] = np.array(x, "<u4").tobytes()
-        each = [known[k] for k in keys]
+                known[keys[i]] = each[i] = struct.pack(f"<{len(x)}I", *x)
         lengths = np.fromiter(map(len, each), np.int64, len(each)) // 4
         flat, begin = np.frombuffer(b"".join(each), "<u4"), np.cumsum(lengths) - lengths
         n = lengths[back]

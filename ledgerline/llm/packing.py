@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -56,15 +57,28 @@ def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
         n -= length
 
 
+#: Words of letters alone that normalising only lower-cases.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Byte-level vocabularies show bytes without a printable character from 256 on, in turn.
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that lower-cases and whose words never cross white space or a mark after a letter."""
+    """Ids of whole texts by a tokenizer that lower-cases and whose words are runs of letters, runs of marks, single digits and contractions."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        self.known = Known(lambda words: [x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)])
+        self.model = Tokenizer.from_file(path)
+        self.merge = self.model.model.tokenize
+        self.known = Known(self.ids_of)
+
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        """Ids of words. Latin letters go to the tokenizer's merges at once, a character for a byte; others its whole way."""
+        plain = [LETTERS(w) is not None for w in words]
+        others = iter(self.model.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
+        return [[t.id for t in self.merge(w.lower().encode().decode("latin-1").translate(BYTES))] if p else next(others).ids for w, p in zip(words, plain, strict=True)]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, where each row begins in them and the end)."""
@@ -161,4 +175,5 @@ def tokenizer_file(name: str) -> Callable[[], str] | str:
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 4,096 tokens."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), str(tokenizer_file("word_bpe_49k.json")), with_ids=False)
