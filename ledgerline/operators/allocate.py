@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from .features import UNCLUSTERED
 from .target import contains_any
 
 
 def priority_projects(df: DataFrame, least: int = S.PRIORITY_LEAST, size: int = S.PRIORITY_FALLBACK, pool: int = 150) -> DataFrame:
-    """Open high or critical projects of a known cluster; if fewer than `least`, the top `size` open ones by
+    """Open high or critical projects of a known cluster (not Unclustered); if fewer than `least`, the top `size` open ones by
     probability, tagged as relative. One plan: the number is a one-row side."""
-    open_rows = df.filter(~contains_any("status", ("completed", "refund")) & F.col("prob").isNotNull() & F.col("cluster").isNotNull())
+    open_rows = df.filter(~contains_any("status", S.COMPLETED_WORDS + S.REFUND_WORDS) & F.col("prob").isNotNull() & (F.col("cluster") != UNCLUSTERED))
     strict = F.col("tier").isin("High", "Critical")
     count = open_rows.agg(F.count_if(strict).alias("_strict"))
     ranked = open_rows.orderBy(F.desc("prob"), "project_key").limit(size).select("project_key", F.lit(True).alias("_top"))

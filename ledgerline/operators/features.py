@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..schema import OUTLIER_LEAST_ROWS, WET_MONTHS
 
+#: Cluster of a place that has none.
+UNCLUSTERED = "Unclustered"
+
 
 def date_features(df: DataFrame, column: str, horizon: str) -> DataFrame:
     """Month, quarter, days to a horizon, and wet season (null if the date is)."""
@@ -20,7 +23,7 @@ def outliers(df: DataFrame, amount: str, stratum: str, least: int = OUTLIER_LEAS
     """Flag of log amounts outside 1.5 interquartile ranges of their stratum; small strata have none."""
     logged = df.withColumn("_log", F.log1p(F.greatest(F.col(amount), F.lit(0))))
     bounds = logged.groupBy(stratum).agg(F.count("_log").alias("_n"), F.percentile("_log", [0.25, 0.75]).alias("_q"))
-    joined = logged.join(F.broadcast(bounds), stratum, "left")
+    joined = logged.join(bounds, stratum, "left")
     width = 1.5 * (F.col("_q")[1] - F.col("_q")[0])
     outside = (F.col("_log") < F.col("_q")[0] - width) | (F.col("_log") > F.col("_q")[1] + width)
     return joined.withColumn("outlier", F.coalesce((F.col("_n") >= least) & outside, F.lit(False))).drop("_log", "_n", "_q")
@@ -91,15 +94,16 @@ def varying(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Balanced weight of each class, and the ratio of negatives to positives."""
-    total = df.filter(F.col(label).isNotNull()).agg(F.count("*").alias("_n"), F.count_if(F.col(label) == 0).alias("_neg"), F.count_if(F.col(label) == 1).alias("_pos"))
+    """Balanced weight of each class, and the ratio of negatives to positives. Totals are taken over the few classes."""
     counted = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-    return counted.crossJoin(F.broadcast(total)).select(label, "n", (F.col("_n") / (2 * F.col("n"))).alias("weight"), (F.col("_neg") / F.col("_pos")).alias("positive_ratio"))
+    every = Window.partitionBy()
+    of = lambda y: F.sum(F.when(F.col(label) == y, F.col("n")).otherwise(0)).over(every)
+    return counted.select(label, "n", (F.sum("n").over(every) / (2 * F.col("n"))).alias("weight"), (of(0) / of(1)).alias("positive_ratio"))
 
 
 def clusters(df: DataFrame, table: DataFrame, key: str = "municipality") -> DataFrame:
-    """Cluster of a municipality, Unclustered if it has none. table is a fixed small dimension."""
-    return df.join(F.broadcast(table.withColumnRenamed("cluster", "_cluster")), key, "left").withColumn("cluster", F.coalesce("_cluster", F.lit("Unclustered"))).drop("_cluster")
+    """Cluster of a municipality, Unclustered if it has none."""
+    return df.join(table.withColumnRenamed("cluster", "_cluster"), key, "left").withColumn("cluster", F.coalesce("_cluster", F.lit(UNCLUSTERED))).drop("_cluster")
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:

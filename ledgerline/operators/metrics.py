@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores that the running sum of the ROC curve is split into.
+RANGES = 1024
+
+
 def confusion(df: DataFrame, cut: float = 0.5) -> DataFrame:
     said = F.col("p") >= cut
     return df.filter("y is not null and p is not null").agg(F.count_if((F.col("y") == 1) & said).alias("tp"), F.count_if((F.col("y") == 0) & said).alias("fp"), F.count_if((F.col("y") == 1) & ~said).alias("fn"), F.count_if((F.col("y") == 0) & ~said).alias("tn"))
@@ -22,10 +26,14 @@ def evaluate(df: DataFrame, cut: float = 0.5) -> DataFrame:
 def auc(df: DataFrame) -> DataFrame:
     """Area under the ROC curve by mid-ranks; null if there is one class only.
 
-    Scores are counted by value first, so the running sum is over different scores."""
+    Scores are counted by value, and values fall into RANGES ranges: the running sum over ranges is short, and those
+    inside the ranges are apart, so continuous scores don't all meet in one task."""
     by_score = df.filter("y is not null and p is not null").groupBy("p").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by_score.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    by_score = by_score.withColumn("range", F.floor(F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0)) * RANGES))
+    ahead = lambda w: F.coalesce(F.sum("neg").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = by_score.groupBy("range").agg(F.sum("neg").alias("neg")).select("range", ahead(Window.orderBy("range")).alias("before"))
+    below = F.col("before") + ahead(Window.partitionBy("range").orderBy("p"))
+    won = by_score.join(before, "range").withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
     total = won.agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return total.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("won") / F.col("pos") / F.col("neg")).alias("auc"))
 

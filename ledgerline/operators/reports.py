@@ -49,11 +49,11 @@ def hot_places(df: DataFrame, k: int = 10) -> DataFrame:
     return counted.orderBy((F.col("n_risky") + F.col("n_rest")).desc(), "municipality").limit(k)
 
 
-def kpis(projects: DataFrame, schedule: DataFrame, week: str | None = None) -> DataFrame:
-    """One row: active projects, critical active ones, distinct scheduled ones and their share; over all weeks, or one."""
+def kpis(projects: DataFrame, schedule: DataFrame, week: str | None = None, ongoing: str = "on_going") -> DataFrame:
+    """One row: on-going projects, critical ones of them, distinct scheduled ones and their share; over all weeks, or one."""
     rows = schedule if week is None else schedule.filter(F.col("week_of") == F.lit(week).cast("date"))
     planned = rows.agg(F.count_distinct("project_key").alias("scheduled"))
-    active = projects.filter("status <> 'Completed'").agg(F.count("*").alias("active"), F.count_if(F.coalesce(tier("prob") == TIER_TOP, F.lit(False))).alias("critical"))
+    active = projects.filter(F.col("status") == ongoing).agg(F.count("*").alias("active"), F.count_if(F.coalesce(tier("prob") == TIER_TOP, F.lit(False))).alias("critical"))
     share = F.when(F.col("active") > 0, F.round(100 * F.col("scheduled") / F.col("active"), 0)).otherwise(0.0)
     return active.crossJoin(planned).withColumn("coverage", share)
 

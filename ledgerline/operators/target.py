@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import COMPLETED_WORDS, EXTENSION_WORDS, STANDARD_DAYS
+from ..sources.sinks import reread
 
 DAY = 86_400
 
@@ -56,13 +57,14 @@ def with_proxy(df: DataFrame, links: DataFrame, key: str = "order_id") -> DataFr
 def lag_median(df: DataFrame) -> DataFrame:
     """One row: median of proxy minus direct in days over rows with both, and their number; 0 and 0 when none.
 
-    Lags are counted by value first, so what is sorted is the few different lags."""
+    Lags are counted by value first, so what is sorted is the few different lags; df is read once."""
     lag = (F.unix_timestamp("proxy") - F.unix_timestamp("direct")) / DAY
     by_value = df.filter("direct is not null and proxy is not null").groupBy(lag.alias("lag")).agg(F.count("*").alias("c"))
-    upto = by_value.withColumn("upto", F.sum("c").over(Window.orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)))
-    total = by_value.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    in_order = Window.orderBy("lag")
+    upto = by_value.withColumns({"upto": F.sum("c").over(in_order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("lag")))
-    return upto.join(F.broadcast(total), how="right").groupBy("n").agg(at(F.floor((F.col("n") - 1) / 2)).alias("lo"), at(F.floor(F.col("n") / 2)).alias("hi")).select(F.coalesce((F.col("lo") + F.col("hi")) / 2, F.lit(0.0)).alias("lag_days"), F.col("n").alias("lag_n"))
+    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
+    return upto.agg(F.coalesce(middle, F.lit(0.0)).alias("lag_days"), F.coalesce(F.max("n"), F.lit(0)).alias("lag_n"))
 
 
 def with_corrected(df: DataFrame, lag: DataFrame) -> DataFrame:
@@ -89,10 +91,15 @@ def with_label(df: DataFrame) -> DataFrame:
     return out.withColumn("overrun", F.when(valid, over.cast("int"))).withColumn("overrun_pct", F.when(valid, percent))
 
 
+def calibrated(base: DataFrame) -> DataFrame:
+    """Rows with a corrected proxy. They are read for the lag and again for the correction, so they are staged first."""
+    staged = reread(base, "target-base")
+    return with_corrected(staged, lag_median(staged))
+
+
 def build_target(rows: DataFrame, links: DataFrame, floor: str) -> DataFrame:
-    """All steps of the label in turn, as one plan; the lag is a one-row side of it."""
-    base = with_proxy(with_direct(within_study(with_start(drop_duplicates(rows)), floor)), links)
-    return with_label(with_corrected(base, lag_median(base)))
+    """All steps of the label in turn; the lag is a one-row side of the last plan."""
+    return with_label(calibrated(with_proxy(with_direct(within_study(with_start(drop_duplicates(rows)), floor)), links)))
 
 
 def report(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import clean
 from ..schema import STATUS_VOCABULARY
 from ..sources import readers
-from .registry import query
+from .register import query
 from .testbed import MON, monitoring, table
 
 #: Messy cells made of table columns by the key, the same in Spark and SQL.

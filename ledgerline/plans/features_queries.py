@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators import features, sequences
 from ..schema import LABEL_PREFIXES, LABELS
-from .registry import query
+from .register import query
 from .target_queries import STEPS, labelled
-from .testbed import MON, SCORED, monitoring, scored, table
+from .testbed import MON, SCORED, known_clusters, monitoring, scored, table
 
 BUCKET = "CAST(('0x' || substr(md5(CAST({} AS VARCHAR)), 1, 8))::UBIGINT % {} AS INTEGER)"
 EVENTS = f"""ev AS (
   SELECT 'PRJ_' || CAST(user_id AS VARCHAR) AS project_key, CAST(CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END AS INTEGER) AS event_type, CAST(ts AS DATE) AS date, value AS amount
-  FROM events WHERE {BUCKET.format('event_id', 40)} = 0 AND user_id % 5 <> 0
-), keys AS (SELECT DISTINCT 'PRJ_' || CAST(user_id AS VARCHAR) AS project_key FROM events
+  FROM events
+), keys AS (SELECT 'PRJ_' || CAST(user_id AS VARCHAR) AS project_key FROM events UNION SELECT 'PRJ_' || CAST(c_custkey AS VARCHAR) FROM customer
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY date, event_type, amount) AS k, min(date) OVER (PARTITION BY project_key) AS first FROM ev
 ), seq AS (
@@ -24,15 +24,15 @@ EVENTS = f"""ev AS (
 
 
 def raw_events(spark: SparkSession, d: str) -> DataFrame:
-    """A hashed part of the events, so that there are short and empty histories."""
-    rows = table(spark, d, "events").filter((features.bucket("event_id", 40) == 0) & F.expr("user_id % 5 <> 0"))
-    rows = rows.select(F.concat(F.lit("PRJ_"), F.col("user_id").cast("string")).alias("project_key"), F.col("ts").cast("date").alias("date"), F.col("value").alias("amount"), "event_type")
+    rows = table(spark, d, "events").select(F.concat(F.lit("PRJ_"), F.col("user_id").cast("string")).alias("project_key"), F.col("ts").cast("date").alias("date"), F.col("value").alias("amount"), "event_type")
     kinds = {0: "event_type = 'signup'", 1: "event_type = 'purchase'", 2: "event_type not in ('signup', 'purchase')"}
     return sequences.events_of({k: rows.filter(sql) for k, sql in kinds.items()})
 
 
 def sequence_rows(spark: SparkSession, d: str) -> DataFrame:
-    keys = table(spark, d, "events").select(F.concat(F.lit("PRJ_"), F.col("user_id").cast("string")).alias("project_key"))
+    """A history of each user with events, and an empty one of each customer without."""
+    key = lambda name, column: table(spark, d, name).select(F.concat(F.lit("PRJ_"), F.col(column).cast("string")).alias("project_key"))
+    keys = key("events", "user_id").union(key("customer", "c_custkey")).distinct()
     return sequences.assemble(keys, raw_events(spark, d))
 
 
@@ -61,13 +61,13 @@ def c11_dimension_join(spark, d):
 
 
 LABELS = f"""lab AS (
-  SELECT 'PRJ_' || CAST(o_orderkey AS VARCHAR) AS project_key, o_orderkey AS id, CAST(o_orderkey % 2 AS INTEGER) AS label, CASE WHEN {BUCKET.format("'PRJ_' || CAST(o_orderkey AS VARCHAR)", 100)} < 30 THEN 'test' ELSE 'train' END AS split FROM orders WHERE o_orderkey % 3 = 0
+  SELECT 'PRJ_' || CAST(o_orderkey AS VARCHAR) AS project_key, o_orderkey AS id, CAST(o_orderkey % 2 AS INTEGER) AS label, CASE WHEN {BUCKET.format("'PRJ_' || CAST(o_orderkey AS VARCHAR)", 100)} < 30 THEN 'test' ELSE 'train' END AS split FROM orders WHERE o_orderstatus <> 'O'
 )"""
 
 
 @query(f"WITH {EVENTS}, {LABELS} SELECT keys.project_key, label, coalesce(split, 'unresolved') AS split FROM keys LEFT JOIN lab ON keys.project_key = lab.project_key")
 def c13_split_membership(spark, d):
-    rows = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.concat(F.lit("PRJ_"), F.col("o_orderkey").cast("string")).alias("project_key"), F.expr("cast(o_orderkey % 2 as int)").alias("label"), F.col("o_orderkey").alias("id"))
+    rows = table(spark, d, "orders").filter("o_orderstatus <> 'O'").select(F.concat(F.lit("PRJ_"), F.col("o_orderkey").cast("string")).alias("project_key"), F.expr("cast(o_orderkey % 2 as int)").alias("label"), F.col("o_orderkey").alias("id"))
     return sequences.with_labels(sequence_rows(spark, d), features.split(rows, "project_key"), "id").select("project_key", "label", "split")
 
 
@@ -181,5 +181,4 @@ def i13_stratified_folds(spark, d):
 
 @query(f"WITH {SCORED} SELECT coalesce(CASE WHEN n_nationkey < 20 THEN r_name END, 'Unclustered') AS cluster, count(*) AS n FROM scored JOIN nation ON municipality = n_name JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def i22_cluster_lookup(spark, d):
-    places = table(spark, d, "nation").filter("n_nationkey < 20").join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey")).select(F.col("n_name").alias("municipality"), F.col("r_name").alias("cluster"))
-    return features.clusters(scored(spark, d).drop("cluster"), places).groupBy("cluster").agg(F.count("*").alias("n"))
+    return features.clusters(scored(spark, d).drop("cluster"), known_clusters(spark, d)).groupBy("cluster").agg(F.count("*").alias("n"))

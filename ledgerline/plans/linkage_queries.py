@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import linkage
-from .registry import query
+from .register import query
 from .testbed import table
 
 SORTED = "array_to_string(list_sort(string_split({}, ' ')), ' ')"

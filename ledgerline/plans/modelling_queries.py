@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..operators import allocate, features, metrics, models
 from ..operators.reports import tier
-from .registry import query
+from .register import query
 from .reports_queries import PLAN, TIER, plan
 from .target_queries import STEPS, labelled
-from .testbed import SCORED, scored, table
+from .testbed import SCORED, known_clusters, scored, table
 
 PRED = f"""{SCORED}, pred AS (SELECT project_key, CAST(order_id % 2 AS INTEGER) AS y, prob AS p FROM scored WHERE prob IS NOT NULL)"""
 
@@ -78,12 +78,14 @@ def e16_model_summary(spark, d):
     return metrics.summary({"meta": predictions(spark, d)})
 
 
-POOL = f"""{SCORED}, open_rows AS (SELECT *, {TIER} AS tier FROM scored WHERE prob IS NOT NULL AND lower(status) NOT LIKE '%completed%' AND lower(status) NOT LIKE '%refund%'
+POOL = f"""{SCORED}, open_rows AS (SELECT *, {TIER} AS tier FROM scored JOIN nation ON municipality = n_name WHERE n_nationkey < 20 AND prob IS NOT NULL AND lower(status) NOT LIKE '%complet%' AND lower(status) NOT LIKE '%refund%'
 ), pool AS (SELECT project_key, prob, cluster, tier, CASE WHEN tier = 'Critical' THEN 2.5 ELSE 1.0 END AS risk_weight FROM open_rows WHERE tier IN ('High', 'Critical') ORDER BY prob DESC, project_key LIMIT 150)"""
 
 
 def pool(spark: SparkSession, d: str) -> DataFrame:
-    return allocate.priority_projects(scored(spark, d).withColumn("tier", tier("prob")))
+    """The pool of open projects; places of the last five nations have no cluster, so they can't be scheduled."""
+    clustered = features.clusters(scored(spark, d).drop("cluster"), known_clusters(spark, d))
+    return allocate.priority_projects(clustered.withColumn("tier", tier("prob")))
 
 
 def schedule(spark: SparkSession, d: str) -> DataFrame:

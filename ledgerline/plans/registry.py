@@ -1,31 +1,6 @@
 """All queries of the library by inventory name, and the SQL that each is checked against."""
 
-from __future__ import annotations
+from . import cleaning_queries, features_queries, linkage_queries, modelling_queries, publishing_queries, reports_queries, series_queries, streams_queries, target_queries  # noqa: F401
+from .register import ORACLES, QUERIES
 
-import importlib
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame under its name, with its SQL where SQL can express it."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def load() -> None:
-    for part in ("target", "reports", "cleaning", "features", "linkage", "publishing", "modelling", "series", "streams"):
-        importlib.import_module(f"ledgerline.plans.{part}_queries")
-
-
-load()
+__all__ = ["ORACLES", "QUERIES"]

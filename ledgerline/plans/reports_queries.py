@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reports
 from ..schema import WEEK_DAYS
-from .registry import query
+from .register import query
 from .testbed import SCORED, scored, table
 
 TIER = "CASE WHEN prob IS NULL THEN NULL WHEN prob < 0.3 THEN 'Low' WHEN prob < 0.7 THEN 'Medium' WHEN prob < 0.9 THEN 'High' ELSE 'Critical' END"
@@ -15,7 +15,7 @@ PLAN = """plan AS (
   SELECT 'PRJ_' || CAST(o_orderkey AS VARCHAR) AS project_key, s_name AS inspector,
     CASE o_orderkey % 5 WHEN 0 THEN 'Monday' WHEN 1 THEN 'Tuesday' WHEN 2 THEN 'Wednesday' WHEN 3 THEN 'Thursday' ELSE 'Friday' END AS day,
     CAST(date_trunc('week', o_orderdate) AS DATE) AS week_of
-  FROM orders JOIN supplier ON o_orderkey % 20 = s_suppkey WHERE o_orderkey % 3 = 0
+  FROM orders JOIN supplier ON 1 + o_orderkey % 10 = s_suppkey WHERE o_orderstatus <> 'F'
 )"""
 REPORTS = """reports AS (
   SELECT event_id AS report_id, 'PRJ_' || CAST(user_id AS VARCHAR) AS project_key, ts AS observed_at, event_type, value, s_name AS inspector
@@ -24,11 +24,11 @@ REPORTS = """reports AS (
 
 
 def plan(spark: SparkSession, d: str) -> DataFrame:
-    """A schedule from every third order."""
+    """A schedule: each order that isn't completed, with one of ten inspectors."""
     day = F.element_at(F.array(*map(F.lit, WEEK_DAYS)), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    orders = table(spark, d, "orders").filter("o_orderkey % 3 = 0")
-    staff = F.broadcast(table(spark, d, "supplier").filter("s_suppkey < 20").select("s_suppkey", F.col("s_name").alias("inspector")))
-    return orders.join(staff, F.expr("o_orderkey % 20 = s_suppkey")).select(F.concat(F.lit("PRJ_"), F.col("o_orderkey").cast("string")).alias("project_key"), "inspector", day.alias("day"), reports.week_monday("o_orderdate").alias("week_of"))
+    orders = table(spark, d, "orders").filter("o_orderstatus <> 'F'")
+    staff = table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("inspector"))
+    return orders.join(staff, F.expr("1 + o_orderkey % 10 = s_suppkey")).select(F.concat(F.lit("PRJ_"), F.col("o_orderkey").cast("string")).alias("project_key"), "inspector", day.alias("day"), reports.week_monday("o_orderdate").alias("week_of"))
 
 
 def feed(spark: SparkSession, d: str) -> DataFrame:
@@ -113,12 +113,12 @@ def e4_hot_places(spark, d):
 
 
 @query(
-    f"""WITH {SCORED}, {PLAN}, a AS (SELECT count(*) AS active, count(*) FILTER (WHERE prob >= 0.9) AS critical FROM scored WHERE status <> 'Completed'),
+    f"""WITH {SCORED}, {PLAN}, a AS (SELECT count(*) AS active, count(*) FILTER (WHERE prob >= 0.9) AS critical FROM scored WHERE status = 'On-going'),
   p AS (SELECT count(DISTINCT project_key) AS scheduled FROM plan)
 SELECT active, critical, scheduled, CASE WHEN active > 0 THEN round(100.0 * scheduled / active, 0) ELSE 0.0 END AS coverage FROM a, p"""
 )
 def e5_kpi_row(spark, d):
-    return reports.kpis(scored(spark, d), plan(spark, d))
+    return reports.kpis(scored(spark, d), plan(spark, d), ongoing="On-going")
 
 
 @query(f"WITH {SCORED} SELECT DISTINCT municipality FROM scored WHERE municipality IS NOT NULL ORDER BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import series
-from .registry import query
+from .register import query
 from .testbed import table
 
 LONG = """long AS (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import target
-from .registry import query
+from .register import query
 from .testbed import FLOOR, MON, liquidation, monitoring
 
 STEPS = f"""WITH {MON}, dedup AS (
@@ -79,8 +79,7 @@ def d5_lag_median(spark, d):
 
 @query(STEPS + "SELECT mon_row_id, clamped, CAST(corrected_s AS BIGINT) AS corrected_s FROM fixed")
 def d6_corrected_proxy(spark, d):
-    rows = base(spark, d)
-    return target.with_corrected(rows, target.lag_median(rows)).select("mon_row_id", "clamped", F.unix_timestamp("corrected").alias("corrected_s"))
+    return target.calibrated(base(spark, d)).select("mon_row_id", "clamped", F.unix_timestamp("corrected").alias("corrected_s"))
 
 
 @query(STEPS + "SELECT recovered, clamped, count(*) AS n FROM usable GROUP BY 1, 2")

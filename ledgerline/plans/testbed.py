@@ -49,6 +49,12 @@ def liquidation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").cast("timestamp").alias("submitted"))
 
 
+def known_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of municipalities, which the last five nations lack."""
+    region = table(spark, d, "region")
+    return table(spark, d, "nation").filter("n_nationkey < 20").join(region, F.expr("n_regionkey = r_regionkey")).select(F.col("n_name").alias("municipality"), F.col("r_name").alias("cluster"))
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Published projects: an order each, with a probability made from its key."""
     p = F.expr("pmod(o_orderkey * 7919, 1000) / 1000.0").cast("double")

@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 
 def stage_folder(spark: SparkSession) -> str:
-    """Folder for staged tables that all executors share: spark.checkpoint.dir, or an own one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for staged tables that all executors share: spark.checkpoint.dir, or else the context's checkpoint folder.
+
+    Where neither is set an own folder is made in local mode only; on a cluster that is an error."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        base = context.getCheckpointDir()
     return base.rstrip("/")
 
 
@@ -55,9 +60,14 @@ def keep_batch_keys(old: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return old.join(batch.select(key).distinct(), key, "left_semi")
 
 
-def replace_weeks(df: DataFrame, path: str) -> None:
-    """Write rows by week_of; weeks in df are replaced, others stay."""
+def replace_weeks(df: DataFrame, path: str) -> bool:
+    """Write rows by week_of: weeks in df are replaced as a whole, others stay.
+
+    A frame without rows is refused, so that no week is cleared by mistake: nothing changes, and False is returned."""
+    if df.isEmpty():
+        return False
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("week_of").parquet(path)
+    return True
 
 
 def apply_reports(projects: DataFrame, reports: DataFrame) -> DataFrame:

@@ -236,3 +236,45 @@ def test_stream_sequences_do_not_depend_on_batches(spark, tmp_path):
 def test_missing_score_is_an_error(spark):
     with pytest.raises(KeyError):
         stream.latest_score(spark.createDataFrame([("a", 1.0)], "project_key string, prob double"), "b")
+
+
+def test_unclustered_places_are_not_scheduled(spark):
+    rows = spark.createDataFrame([("a", "North", 0.95, "On-going"), ("b", "Nowhere", 0.99, "On-going"), ("c", None, 0.97, "On-going"), ("d", "North", 0.96, "Complete and in use"), ("e", "North", 0.92, "For REFUND")], "project_key string, municipality string, prob double, status string")
+    table = spark.createDataFrame([("North", "Cluster 1")], "municipality string, cluster string")
+    placed = features.clusters(rows, table).withColumn("tier", F.lit("Critical"))
+    assert {r.project_key: r.cluster for r in placed.collect()} == {"a": "Cluster 1", "b": "Unclustered", "c": "Unclustered", "d": "Cluster 1", "e": "Cluster 1"}
+    assert [r.project_key for r in allocate.priority_projects(placed, least=1).collect()] == ["a"]
+    assert [r.project_key for r in allocate.priority_projects(placed, least=5).collect()] == ["a"]
+
+
+def test_active_projects_are_the_on_going_ones(spark):
+    rows = spark.createDataFrame([("a", "on_going", 0.95), ("b", "on_going", 0.1), ("c", "refunded", 0.99), ("d", "completed", 0.99), ("e", None, 0.99)], "project_key string, status string, prob double")
+    plan = spark.createDataFrame([("a", date(2024, 1, 1))], "project_key string, week_of date")
+    assert tuple(reports.kpis(rows, plan).first()) == (2, 1, 1, 50.0)
+
+
+def test_a_week_is_replaced_only_by_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("a", date(2024, 1, 1)), ("b", date(2024, 1, 1)), ("c", date(2024, 1, 8))], "project_key string, week_of date")
+    path = str(tmp_path / "weeks")
+    assert sinks.replace_weeks(rows, path)
+    assert sinks.replace_weeks(rows.filter("project_key = 'b'"), path)
+    assert not sinks.replace_weeks(rows.filter("false"), path)
+    assert sorted(r.project_key for r in spark.read.parquet(path).collect()) == ["b", "c"]
+
+
+def test_area_under_the_curve_by_pairs(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(rng.randint(0, 1), rng.choice([rng.random(), 0.25, 1.0, 0.0, -1.0, 2.0])) for _ in range(300)]
+    pairs = [(p > q) + (p == q) / 2 for y, p in rows if y for z, q in rows if not z]
+    got = metrics.auc(spark.createDataFrame([*rows, (None, 0.5), (1, None)], "y int, p double")).first()["auc"]
+    assert got == pytest.approx(sum(pairs) / len(pairs))
+
+
+def test_query_modules_import_alone():
+    import subprocess
+    import sys
+
+    for part in ("target", "features", "modelling"):
+        subprocess.run([sys.executable, "-c", f"from ledgerline.plans import {part}_queries"], check=True)
