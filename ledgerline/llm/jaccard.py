@@ -14,10 +14,15 @@ each. Two sets with Jaccard of at least t share at least o(n) = ceil(t n) tokens
   them have at most two others between, counted in both: the pair of them is a key if each token is combined with the
   three frequent ones after it. That is linear in the size of a document, not quadratic.
 
-Every similar pair of classes hence meets in a key. Most meet many times and in large groups, so pairs are not listed
-per group: each class is first compared with the LEADERS classes with which it shares most among those that come first
-or last in its keys in several orders, and components are formed; pairs that share a key are then compared only across
-components, where they can still change the result."""
+Every similar pair of classes hence meets in a key. Most meet many times and in large groups, so pairs are not listed:
+
+* each class is first compared with the LEADERS classes with which it shares most among those that come first or last
+  in its keys in several orders, and components are formed;
+* only keys whose classes lie in several components can still change the result. A leader that shares STRONG keys with
+  a class is a hub of it, and so are its FULLEST keys. The commonest hub among a key's classes is the root of the key,
+  and all classes of all keys of a root are one group, so each pair that shares a key meets in a group. A class is sent
+  once to each group that it is in, with its tokens, and a group gives back as many links as its components need: what
+  is sent grows with the classes and not with their pairs. Groups beyond BLOCK are dealt as pairs of blocks."""
 
 from __future__ import annotations
 
@@ -29,18 +34,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, give_back, grams, mix, row_bounds, save, slices, small_side, text_of, words_in
+from .common import buffers, discard, give_back, grams, mix, row_bounds, save, slices, small_side, text_of, words_in
 from .graph import components
 
-#: A token is counted in a task from so many of its documents on; so many times the tasks make it frequent.
+#: Tokens are counted in windows of about so many. A token is reported from LOCAL times in a window on; LOCAL times the
+#: number of windows make it frequent, so at most WINDOW / LOCAL tokens are frequent, however large the table is.
+WINDOW = 1_000_000
 LOCAL = 4
 #: Prefixes are longer by 1 / EXTEND of e(n), so that as many crowded keys can be left out.
 EXTEND = 2
 #: Orders of classes by which groups name a first and a last one, and how many of these a class is compared with.
 ORDERS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D)
 LEADERS = 4
-#: A leader that shares so many keys with a class is one of its hubs; pairs with a common hub are listed by hub.
+#: A leader that shares so many keys with a class is one of its hubs.
 STRONG = 8
+#: So many keys of a class, those that most other classes have, are hubs too.
+FULLEST = 2
+#: Classes and tokens in a block of a group, about.
+BLOCK, BLOCK_TOKENS = 8192, 2_000_000
+#: Sets of a group that are compared at a time.
+TILE = 512
 #: More keys than any document has, and an end behind all tokens.
 ALL = 2**30
 END = 2**63 - 1
@@ -87,21 +100,101 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     return np.concatenate([rare & ~1, *(np.unique(x).view(np.int64) | 1 for x in pairs)]), ALL, END
 
 
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each pair of sets shares, as a matrix.
+
+    Tokens of many sets are multiplied out as columns of two matrices; the pairs of sets that hold another are counted."""
+    m, n = len(left), len(right)
+    x, y = np.concatenate(left), np.concatenate(right)
+    known, out = np.intersect1d(x, y), np.zeros((m, n), np.float32)
+    if not len(known):
+        return out
+
+    def coded(tokens: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        ok = known[at] == tokens
+        order = np.argsort(at[ok], kind="stable")
+        code = at[ok][order]
+        return code, own[ok][order], np.bincount(code, minlength=len(known))
+
+    (cx, i, fx), (cy, j, fy) = coded(x, left), coded(y, right)
+    many = fx * fy * 32 > m * n
+    column = np.cumsum(many) - 1
+    for lo in range(0, int(many.sum()), 2048):
+        parts = []
+        for code, own, size in ((cx, i, m), (cy, j, n)):
+            here = many[code] & (column[code] >= lo) & (column[code] < lo + 2048)
+            part = np.zeros((size, 2048), np.float32)
+            part[own[here], column[code[here]] - lo] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    few = ~many[cx]
+    cx, i, begin = cx[few], i[few], np.cumsum(fy) - fy
+    upto = np.cumsum(fy[cx])
+    lo = 0
+    while lo < len(cx):
+        done = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, done + 2_000_000, "right")))
+        times = fy[cx[lo:hi]]
+        at = np.repeat(begin[cx[lo:hi]] - (upto[lo:hi] - times - done), times) + np.arange(times.sum())
+        out += np.bincount(np.repeat(i[lo:hi], times) * n + j[at], minlength=m * n).reshape(m, n)
+        lo = hi
+    return out
+
+
+def joining(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of sets that link, as many as it takes to join the labels that links join.
+
+    Sets with one label are not compared; if there are two sides, sets are compared only across these."""
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    _, label = np.unique(label, return_inverse=True)
+    parent, out, across = list(range(int(label.max()) + 1)), [], side.min() != side.max()
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for lo in range(0, len(order), TILE):
+        a = order[lo : lo + TILE]
+        for at in range(lo, len(order), TILE):
+            b = order[at : at + TILE]
+            if 100 * size[a[-1]] < percent * size[b[0]]:
+                break
+            x, y = label[a], label[b]
+            open_ = x[:, None] != y[None, :]
+            if across:
+                open_ &= side[a][:, None] != side[b][None, :]
+            rows, columns = open_.any(1), open_.any(0)
+            if not rows.any():
+                continue
+            a2, b2, open_ = a[rows], b[columns], open_[rows][:, columns]
+            same = shared([sets[k] for k in a2], [sets[k] for k in b2])
+            i, j = np.nonzero(open_ & (100 * same >= percent * (size[a2][:, None] + size[b2][None, :] - same)))
+            _, first = np.unique(label[a2[i]] * len(parent) + label[b2[j]], return_index=True)
+            for p, q in zip(a2[i[first]].tolist(), b2[j[first]].tolist(), strict=True):
+                u, v = root(label[p]), root(label[q])
+                if u != v:
+                    parent[u] = v
+                    out.append((p, q))
+            if len(first):
+                label = np.array([root(k) for k in range(len(parent))])[label]
+    return out
+
+
 def similar(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, n_shingles, class_id, component_id (smallest id in the component).
 
     Rows link when 100 * |intersection| >= percent * |union| of their sets of distinct `words`-word shingles, A-Z
     lower-cased; 50 < percent <= 100. Null, empty and blank texts have no shingles, link with nothing and are their
     own component. Repeated rows and equal sets are one class. Very long texts are handled whole. An empty table gives
-    an empty result; extra columns are ignored.
-
-    Frequent means counted LOCAL times the number of tasks, where a task reports what it meets LOCAL times: a token in
-    more documents than that is always reported, and at most (tokens of an average task) / LOCAL tokens are frequent,
-    however many tasks there are; only these go to the driver and out to all workers."""
+    an empty result; extra columns are ignored."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    docs = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), F.xxhash64(text_of(text_col)).alias("_print"))
     id_type = docs.schema["_id"].dataType.simpleString()
 
     def sets_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, int, list[np.ndarray]]]:
@@ -112,29 +205,31 @@ def similar(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
         give_back()
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kept = ["_id", "n", "class", "token", "times"], []
+        """Rows of documents; and for each window of tokens one without a token and one for each that it often has."""
+        names, kept, kind = ["_id", "_print", "n", "class", "token", "times"], [], None
 
-        def counted() -> tuple[np.ndarray, np.ndarray]:
+        def counted() -> pa.RecordBatch:
             token, times = np.unique(np.concatenate(kept), return_counts=True)
-            return token[times >= LOCAL], times[times >= LOCAL]
+            token, times = token[times >= LOCAL], times[times >= LOCAL]
+            kept.clear()
+            none = pa.nulls(len(token) + 1, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(token) + 1, kind), none, none, none, pa.array([None, *token.tolist()], pa.int64()), pa.array([1, *times.tolist()], pa.int64())], names=names)
 
-        kind = None
         for batch, i, j, sets in sets_of(batches, 1):
             kind = batch.column(0).type
             kept += sets
             ids, none = batch.column(0).slice(i, j - i), pa.nulls(j - i, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64()), none, none], names=names)
+            if sum(map(len, kept)) > WINDOW:
+                yield counted()
         if kept:
-            token, times = counted()
-            kept.clear()
-            none = pa.nulls(len(token), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(token), kind), none, none, pa.array(token), pa.array(times)], names=names)
+            yield counted()
 
-    profiles = save(docs.mapInArrow(profile, f"_id {id_type}, n long, class long, token long, times long"), "profiles")
-    rows = profiles.filter("n is not null").select("_id", "n", "class")
-    tasks = max(1, docs.rdd.getNumPartitions())
-    often = profiles.filter("n is null").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= LOCAL * tasks)
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often.select("token").collect()], np.int64)))
+    profiles = save(docs.select("_id", "_text", "_print").mapInArrow(profile, f"_id {id_type}, _print long, n long, class long, token long, times long"), "profiles")
+    rows = profiles.filter("n is not null").select("_id", "_print", "n", "class")
+    windows = profiles.filter("n is null and token is null").count()
+    often = profiles.filter("n is null and token is not null").groupBy("token").agg(F.sum("times").alias("times")).filter(F.col("times") >= LOCAL * windows)
+    frequent = spark.sparkContext.broadcast(np.sort(often.select("token").toArrow().column(0).to_numpy()))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, _, sets in sets_of(batches, 0):
@@ -153,7 +248,7 @@ def similar(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     members = meeting.withColumn("known", known).withColumns({"_place": place, "weight": F.sum("crowd").over(own)}).filter("_place <= keep")
     members = members.select("key", "class", F.struct("n", (F.col("n") - F.col("singles")).alias("behind"), "known", "end").alias("reach"), "weight")
     members = save(members, "members")
-    classes = save(rows.filter("n > 0").groupBy("class").agg(F.min("_id").alias("doc"), F.first("n").alias("n"), F.count("*").alias("copies")), "classes")
+    classes = save(rows.filter("n > 0").groupBy("class").agg(F.min("_id").alias("doc"), F.min_by("_print", F.struct(F.col("_id").isNull(), "_id")).alias("print"), F.first("n").alias("n"), F.count("*").alias("copies")), "classes")
 
     # a single key of the class whose keys end first is a key of the other too if that has the token at all, so the two
     # share at most the lesser number of known keys, and what the first has behind its keys; for the other class this
@@ -172,8 +267,14 @@ def similar(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     stars = pairs.withColumn("_r", best).filter(F.col("_r") <= LEADERS).select(F.col("leader").alias("a"), F.col("class").alias("b"), "times")
     stars = save(stars, "star-pairs")
 
+    def texts_for(wanted: DataFrame) -> DataFrame:
+        """The text of one document of each class of a saved table, with its other columns."""
+        wanted = small_side(wanted)
+        same = docs["_id"].eqNullSafe(wanted["doc"]) & (docs["_print"] == wanted["print"])
+        return docs.join(wanted, same).select("_text", *(c for c in wanted.columns if c not in ("doc", "print")))
+
     def sets_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, i, j, sets in sets_of(batches, 0):
+        for batch, i, _, sets in sets_of(batches, 0):
             wanted, places, out = batch.column(1), batch.column(2), []
             for d, tokens in enumerate(sets, i):
                 if class_of(tokens) == wanted[d].as_py():
@@ -207,39 +308,86 @@ def similar(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
         give_back()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of saved pairs (a, b) of classes that link. A leader's members are split into parts of about 512."""
+        """Those of saved pairs (a, b) of leaders and classes that link. A leader's classes are split into parts of
+        about 512; a class goes to the few leaders that it has, a leader to its parts, 64 of them at a time."""
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).cast("int").alias("parts"))
-        follow = pairs.join(parts, "a").select(F.col("b").alias("class"), F.struct(F.col("a").alias("root"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role")).alias("place"))
-        lead = parts.select(F.col("a").alias("class"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("class", F.struct(F.col("class").alias("root"), "part", F.lit(0).alias("role")).alias("place"))
-        wanted = follow.union(lead).groupBy("class").agg(F.collect_list("place").alias("places"))
-        wanted = save(wanted.join(classes, "class").select("class", F.col("doc").alias("_id"), "places"), "wanted")
-        found = docs.join(small_side(wanted), "_id").select("_text", "class", "places")
-        sets = found.mapInArrow(sets_out, "root long, part int, role int, class long, tokens binary")
+        follow = pairs.join(parts, "a").select(F.col("b").alias("class"), F.lit(0).alias("turn"), F.struct(F.col("a").alias("root"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role")).alias("place"))
+        lead = parts.select(F.col("a").alias("class"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        lead = lead.select("class", F.expr("part div 64").cast("int").alias("turn"), F.struct(F.col("class").alias("root"), "part", F.lit(0).alias("role")).alias("place"))
+        wanted = follow.union(lead).groupBy("class", "turn").agg(F.collect_list("place").alias("places"))
+        wanted = save(wanted.join(classes, "class").select("class", "places", "doc", "print"), "wanted")
+        sets = texts_for(wanted).mapInArrow(sets_out, "root long, part int, role int, class long, tokens binary")
         dealt = sets.repartition("root", "part").sortWithinPartitions("root", "part", "role", "class")
         return dealt.mapInArrow(compared, "a long, b long")
 
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, j, sets in sets_of(batches, 0):
+            names = batch.column(1).slice(i, j - i).to_pylist()
+            right = [k for k, (name, tokens) in enumerate(zip(names, sets, strict=True)) if class_of(tokens) == name]
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in right], pa.int64()), pa.array([sets[k].tobytes() for k in right], pa.binary())], names=["class", "tokens"])
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links that join components in each group of rows with equal (root, i, j), which come together."""
+        held: list[pa.RecordBatch] = []
+
+        def ended() -> pa.RecordBatch:
+            got = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            names = got["class"].to_numpy()
+            _, once = np.unique(names, return_index=True)
+            got, names = got.take(once), names[once]
+            sets = [np.frombuffer(x, np.int64) for x in got["tokens"].to_pylist()]
+            pairs = np.array(joining(sets, got["component"].to_numpy(), got["side"].to_numpy(), percent), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(names[pairs[:, 0]]), pa.array(names[pairs[:, 1]])], names=["a", "b"])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                if held and tuple(key[lo]) != last:
+                    yield ended()
+                last = tuple(key[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield ended()
+        give_back()
+
+    def across(left: DataFrame) -> DataFrame:
+        """Links between components among the classes that share one of the saved keys (key, class, component, n)."""
+        strong = stars.filter(F.col("times") >= STRONG)
+        crowd = left.groupBy("key").agg(F.count("*").alias("crowd"))
+        fullest = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("crowd"), "key"))
+        fullest = left.join(crowd, "key").withColumn("_r", fullest).filter(F.col("_r") <= FULLEST).select("class", F.xxhash64(F.lit("key"), "key").alias("hub"))
+        hubs = strong.select(F.col("b").alias("class"), F.col("a").alias("hub")).union(strong.select("a", "a")).union(fullest).distinct()
+        hubs = save(hubs, "hubs")
+        best = left.join(hubs, "class").groupBy("key", "hub").agg(F.count("*").alias("times")).groupBy("key").agg(F.max_by("hub", F.struct("times", "hub")).alias("root"))
+        member = save(left.join(best, "key").select("root", "class", "component", "n").distinct(), "group-members")
+        groups = member.groupBy("root").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+        member = member.join(groups.filter("p <> q").drop("p", "q"), "root").withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        member = save(member.select("root", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "class", "component"), "placed-members")
+        wanted = save(member.select("class").distinct().join(classes, "class").select("class", "doc", "print"), "wanted")
+        sets = save(texts_for(wanted).mapInArrow(tokens_of, "class long, tokens binary"), "token-sets")
+        dealt = member.join(sets, "class").select("root", "i", "j", "side", "class", "component", "tokens")
+        dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+        found = save(dealt.mapInArrow(grouped, "a long, b long"), "links")
+        discard(hubs, member, wanted, sets)
+        return found
+
     links = save(verified(stars), "links")
-    joined = components(links)
-    label = save(joined, "labels")
-    lettered = members.join(label.withColumnRenamed("id", "class"), "class", "left").select("key", "class", "reach", F.coalesce("component", "class").alias("component"))
-    lettered = save(lettered, "lettered")
+    label = save(components(links), "labels")
+    lettered = members.join(label.withColumnRenamed("id", "class"), "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"), "reach.n")
     open_keys = lettered.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p <> q").select("key")
     left = save(lettered.join(open_keys, "key"), "open-members")
-    hubs = stars.filter(F.col("times") >= STRONG).groupBy(F.col("b").alias("class")).agg(F.collect_set("a").alias("hubs"))
-    left = left.join(hubs, "class", "left").withColumn("hubs", F.coalesce("hubs", F.array().cast("array<long>")))
-    twin = lambda df, key: df.select(key, F.col("class").alias("c"), F.col("reach").alias("reach2"), F.col("component").alias("other"), F.col("hubs").alias("hubs2"))
-    apart = (F.col("component") < F.col("other")) & plausible
-    by_hub = left.select("class", "reach", "component", "hubs").distinct().withColumn("hub", F.explode("hubs"))
-    lowest_hub = F.col("hub") == F.array_min(F.array_intersect("hubs", "hubs2"))  # so a pair is made once
-    listed = by_hub.join(twin(by_hub, "hub"), "hub").filter(apart & lowest_hub)
-    rest = left.join(twin(left, "key"), "key").filter(apart & ~F.arrays_overlap("hubs", "hubs2"))
-    across = listed.select("class", "c").union(rest.select("class", "c")).select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = save(across.join(done, ["a", "b"], "left_anti"), "cross-pairs")
-    if not across.isEmpty():
-        more = save(verified(across), "links")
+    discard(met, meeting, members)
+    if not left.isEmpty():
+        more = across(left)
         if not more.isEmpty():
             label = save(components(links.union(more)), "labels")
+    discard(left, stars)
     named = classes.join(label.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = named.groupBy("component").agg(F.min("doc").alias("low"), F.count("*").alias("size"))
     known = save(named.join(lowest, "component").filter("copies > 1 or size > 1").select("class", "low"), "components")
@@ -248,4 +396,5 @@ def similar(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share 85 % of their four-word shingles, as components."""
     return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
