@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if it has been measured and has at most so many bytes.
 BROADCAST_BYTES = 64_000_000
 #: Text is handled in Python in slices of about so many bytes, so memory does not follow the batch size.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Rows go to Python in batches of at most about so many bytes while a table is saved.
+BATCH_BYTES = 8_000_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -38,8 +40,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """df as a written table: lineage ends here and a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf, limit = scratch(df.sparkSession, name), df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(limit)
+    conf.set(limit, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(limit, before)
     saved = df.sparkSession.read.schema(df.schema).parquet(path)
     saved.saved_at = path
     return saved
@@ -192,7 +199,7 @@ def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False, stops:
 class Known:
     """Token ids of spans of bytes: each different span is encoded once and kept in a cache that is emptied when full."""
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 150_000):
         self.encode, self.most, self.ids = encode, most, {}
 
     def __call__(self, data: np.ndarray, h: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

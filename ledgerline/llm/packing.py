@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Known, buffers, save, slices, text_of, words_in
+from .common import Known, buffers, give_back, save, slices, text_of, words_in
 
 #: What one more piece costs, in tokens of padding.
 PIECE_COST = 12
@@ -142,6 +142,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
                         made[k] += 1
                         start += length
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(out[0], pa.int64())), *(pa.array(x, kind) for x, (_, kind) in zip(out[1:], columns, strict=True))], names=[id_col, *(name for name, _ in columns)])
+        give_back()
 
     id_type = df.schema[id_col].dataType.simpleString()
     spec = f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, _k int, _worker int, _n long" + ", ids array<int>" * with_ids

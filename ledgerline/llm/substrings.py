@@ -3,9 +3,13 @@
 A shard cannot hold all text, and streaming all documents against all shards would grow with their product. So equal
 windows are first brought to one shard: in a window of `length` words the word 6-gram with the smallest hash is its
 anchor, which equal windows share. Neighbouring windows with one anchor form a run of words. Runs whose anchor occurs
-twice or more are dealt to shards by anchor, different runs once each. Every shard builds an FM-index of its runs and
-streams them against it: backward search gives the suffix interval of each window, that is where its matching
-statistic reaches `length`, and the earliest place in the interval tells whether the window starts earlier elsewhere."""
+twice or more are dealt to shards by anchor, different runs once each. Every shard builds an FM-index of its runs, of
+which only the wavelet matrix is kept, and streams the documents' runs against it in their order: backward search
+gives the matching statistic of each window's end and the suffix interval. A window whose statistic reaches `length`
+starts earlier elsewhere if its interval was met before.
+
+An anchor with more than HOT_RUNS different runs, such as a common phrase amid other words each time, would be too much
+for a shard. Its runs are cut into single windows, of which equal ones come together by a hash of all their words."""
 
 from __future__ import annotations
 
@@ -17,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _power, buffers, give_back, grams, mix, row_bounds, save, slices, text_of, words_in
+from .common import _power, buffers, discard, give_back, grams, mix, row_bounds, save, slices, small_side, text_of, words_in
 
 #: The filter of repeated anchors has at most so many 64-bit words (128 MB); with more anchors more runs pass needlessly.
 FILTER_WORDS = 1 << 24
-#: Different runs in a shard, about.
-SHARD_RUNS = 40_000
+#: Words of different runs in a shard, about, and different runs of one anchor at most.
+SHARD_WORDS = 500_000
+HOT_RUNS = 1_000
+#: Different runs that a task holds at a time before it hands them on.
+HELD_RUNS = 20_000
 
 
 class Bits:
@@ -41,23 +48,22 @@ class Bits:
 
 
 class FMIndex:
-    """FM-index of word sequences: suffix array, and the transform of the text in a wavelet matrix."""
+    """FM-index of word sequences: the transform of their text in a wavelet matrix; text and suffixes aren't kept."""
 
     def __init__(self, runs: list[np.ndarray]):
         sizes = np.array([len(r) for r in runs], np.int64)
-        self.begin = np.cumsum(sizes + 1) - sizes - 1
+        begin = np.cumsum(sizes + 1) - sizes - 1
         flat = np.concatenate(runs)
-        alphabet, codes = np.unique(flat, return_inverse=True)
+        self.alphabet, codes = np.unique(flat, return_inverse=True)
         self.n = len(flat) + len(runs)
-        self.text = np.zeros(self.n, np.int64)  # 0 ends a run
+        text = np.zeros(self.n, np.int64)  # 0 ends a run
         inside = np.ones(self.n, bool)
-        inside[self.begin + sizes] = False
-        self.text[inside] = codes + 1
-        rank = self.text + len(runs)
+        inside[begin + sizes] = False
+        text[inside] = codes + 1
+        rank = text + len(runs)
         rank[~inside] = np.arange(len(runs))
-        self.suffixes = self._sorted(rank)
-        bwt = self.text[self.suffixes - 1]
-        self.sigma = len(alphabet) + 1
+        bwt = text[self._sorted(rank) - 1]
+        self.sigma = len(self.alphabet) + 1
         self.before = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=self.sigma))])
         self.levels: list[tuple[int, Bits, int]] = []
         for bit in range(max(1, int(self.sigma - 1).bit_length()) - 1, -1, -1):
@@ -91,27 +97,27 @@ class FMIndex:
         """One step of backward search for a bound of each interval."""
         return self.before[symbol] + self._down(symbol, i) - self.origin[symbol]
 
-    def earliest(self, start: np.ndarray, length: int) -> np.ndarray:
-        """First place in the text of the `length` symbols from each start."""
-        out = start.copy()
-        active = np.arange(len(start))
-        symbol = self.text[start + length - 1]
-        lo, hi = self.before[symbol], self.before[symbol + 1]
-        for j in range(length - 2, -1, -1):
-            many = hi - lo > 1  # an interval of one is the window itself
-            active, lo, hi = active[many], lo[many], hi[many]
+    def codes(self, symbols: np.ndarray) -> np.ndarray:
+        """Symbols as the index has them; 0 for those that it doesn't have."""
+        at = np.minimum(np.searchsorted(self.alphabet, symbols), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == symbols, at + 1, 0)
+
+    def matching(self, codes: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(matching statistic, its interval) of the end of each window of `length` codes from a start.
+
+        The statistic is how many symbols up to the end are found at two places or more, `length` at most. A window of
+        a run in the index is itself one of the places, so below `length` it is nowhere else."""
+        matched, lo, hi = (np.zeros(len(start), np.int64) for _ in range(3))
+        active, a, b = np.arange(len(start)), np.zeros(len(start), np.int64), np.full(len(start), self.n, np.int64)
+        for j in range(length - 1, -1, -1):
+            symbol = codes[start[active] + j]
+            a, b = self.step(symbol, a), self.step(symbol, b)
+            many = (b - a > 1) & (symbol > 0)
+            active, a, b = active[many], a[many], b[many]
             if not len(active):
-                return out
-            symbol = self.text[start[active] + j]
-            lo, hi = self.step(symbol, lo), self.step(symbol, hi)
-        many = hi - lo > 1
-        active, lo, hi = active[many], lo[many], hi[many]
-        if len(active):
-            left, first, back = np.unique(lo, return_index=True, return_inverse=True)
-            cuts = np.stack([left, hi[first]], 1).ravel()
-            lowest = np.minimum.reduceat(np.append(self.suffixes, self.n), cuts)[::2]
-            out[active] = lowest[back]
-        return out
+                break
+            matched[active], lo[active], hi[active] = length - j, a, b
+        return matched, lo, hi
 
 
 def runs_in(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -179,16 +185,16 @@ def remove_repeats(df: DataFrame, length: int = 20, id_col: str = "doc_id", text
 
     Each word is removed that lies in a window of `length` consecutive words (of [^\\x20\\x09-\\x0D]) of one text whose
     sequence also starts earlier: in a text of a smaller id, or before it in the same text. Windows are judged on the
-    input. 2 <= length <= 64. Null texts have no words; texts of fewer words keep all. Rows that repeat an id and text
-    are at the same places, so neither removes the other; rows with a null id are kept whole and remove nothing. Very
-    long texts are handled whole. An empty table gives an empty result; extra columns are ignored but for those in
-    `carry`, which are handed on.
+    input. 2 <= length <= 64. Ids can be of any type that has an order. Null texts have no words; texts of fewer words
+    keep all. Rows that repeat an id and text are at the same places, so neither removes the other; rows with a null id
+    are kept whole and remove nothing. Very long texts are handled whole. An empty table gives an empty result; extra
+    columns are ignored but for those in `carry`, which are handed on.
 
-    Words go into the index as 32-bit hashes: two windows are taken as equal if 20 of these and the anchor are."""
+    Words go into the index as 64-bit hashes, and equal runs meet by a 64-bit hash of theirs."""
     if not 2 <= length <= 64:
         raise ValueError("length must be 2 to 64")
     carried = [f"_c{k}" for k in range(len(carry))]
-    docs = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"), F.hash(text_of(text_col)).alias("_print"), *(F.col(c).alias(x) for c, x in zip(carry, carried, strict=True)))
+    docs = df.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), F.hash(text_of(text_col)).alias("_print"), *(F.col(c).alias(x) for c, x in zip(carry, carried, strict=True)))
     id_type = df.schema[id_col].dataType.simpleString()
     known = docs.filter("_id is not null").select("_id", "_text", "_print")
 
@@ -222,25 +228,32 @@ def remove_repeats(df: DataFrame, length: int = 20, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([pa.array(run), *(batch.column(k).slice(i, n).take(own) for k in (0, 2)), pa.array(s << 6 | windows)], names=["run", "_id", "_print", "place"])
 
     names = ["anchor", "run", "_id", "place", "words"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each different run of the task, with its first place and its words."""
+        """A row for each different run of the task, with its first place and its words; a few twice if there are many."""
         different: dict[int, tuple] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            rows = [(a, key, *rest) for key, (a, *rest) in different.items()]
+            different.clear()
+            for k in range(0, len(rows), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[k : k + 5000], strict=True), kinds, strict=True)], names=names)
+
         for batch, i, n, anchor, run, row, s, windows, first, h in repeated(batches):
-            h = h.astype(np.uint32)
+            kinds = [pa.int64(), pa.int64(), batch.column(0).type, pa.int64(), pa.binary()]
             own = batch.column(0).slice(i, n).take(pa.array(row)).to_pylist()
             for key, a, doc, at, w, f in zip(run.tolist(), anchor.tolist(), own, (s << 6 | windows).tolist(), (windows + length - 1).tolist(), first.tolist(), strict=True):
                 old = different.get(key)
                 if old is None or (doc, at) < old[1:3]:
                     different[key] = (a, doc, at, old[3] if old else h[f : f + w].tobytes())
-        rows = [(a, key, *rest) for key, (a, *rest) in different.items()]
-        different.clear()
-        for k in range(0, len(rows), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows[k : k + 5000], strict=True), kinds, strict=True)], names=names)
+            if len(different) > HELD_RUNS:
+                yield from handed_on()
+        if different:
+            yield from handed_on()
 
-    texts = known.select("_id", "_text").mapInArrow(texts_of, "anchor long, run long, _id long, place long, words binary")
-    shards = max(2, -(-again.count() * 3 // SHARD_RUNS))
+    texts = save(known.select("_id", "_text").mapInArrow(texts_of, f"anchor long, run long, _id {id_type}, place long, words binary"), "runs")
+    hot = save(texts.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_RUNS).select("anchor"), "hot-anchors")
+    shards = max(2, -(-(texts.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // (8 * SHARD_WORDS)))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each different run: its first place, and which of its windows start earlier in another run."""
@@ -250,21 +263,54 @@ def remove_repeats(df: DataFrame, length: int = 20, id_col: str = "doc_id", text
         table = table.sort_by([("_id", "ascending"), ("place", "ascending"), ("run", "ascending")])
         _, keep = np.unique(table["run"].to_numpy(), return_index=True)
         table = table.take(pa.array(np.sort(keep)))
-        index = FMIndex([np.frombuffer(w, np.uint32) for w in table["words"].to_pylist()])
-        windows = table["place"].to_numpy() & 63
-        nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        start = np.repeat(index.begin, windows) + nth
-        bits = np.where(index.earliest(start, length) < start, np.int64(1) << nth, 0)
-        mask = np.add.reduceat(bits, np.cumsum(windows) - windows)
-        out = [table["run"], table["_id"], table["place"], pa.chunked_array([pa.array(mask)])]
+        runs = [np.frombuffer(w, np.uint64) for w in table["words"].to_pylist()]
+        index, masks = FMIndex(runs), []
+        met = np.zeros(index.n, bool)
+        for k in range(0, len(runs), 4000):  # in the order of documents
+            part = runs[k : k + 4000]
+            sizes = np.array([len(r) for r in part])
+            windows = sizes - length + 1
+            nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            matched, lo, _ = index.matching(index.codes(np.concatenate(part)), np.repeat(np.cumsum(sizes) - sizes, windows) + nth, length)
+            full = np.flatnonzero(matched == length)
+            earlier = met[lo[full]]
+            _, first = np.unique(lo[full], return_index=True)
+            again_here = np.ones(len(full), bool)
+            again_here[first] = False
+            met[lo[full]] = True
+            bits = np.zeros(len(nth), np.int64)
+            bits[full] = np.where(earlier | again_here, np.int64(1) << nth[full], 0)
+            masks.append(np.add.reduceat(bits, np.cumsum(windows) - windows))
+        out = [table["run"], table["_id"], table["place"], pa.chunked_array([pa.array(np.concatenate(masks))])]
         yield pa.RecordBatch.from_arrays([x.combine_chunks() for x in out], names=["run", "first_id", "first_place", "mask"])
-        del index, table, start, bits, nth
+        del index, table, runs, met
         give_back()
 
-    firsts = save(texts.repartition(shards, "anchor").mapInArrow(searched, "run long, first_id long, first_place long, mask long"), "searched")
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of runs: (hash of its words, run, nth window of it, first place of the run)."""
+        for batch in (b.slice(i, 5000) for b in batches for i in range(0, b.num_rows, 5000)):
+            runs = [np.frombuffer(w, np.uint64) for w in batch.column(2).to_pylist()]
+            sizes = np.array([len(r) for r in runs])
+            windows = sizes - length + 1
+            own, nth = np.repeat(np.arange(len(runs)), windows), np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+            key = sequence_hashes(np.concatenate(runs), (np.cumsum(sizes) - sizes)[own] + nth, np.full(len(own), length))
+            first = batch.column(1).take(pa.array(own))
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(own)), pa.array(nth), *(first.field(k) for k in (0, 1))], names=["window", "run", "nth", "first_id", "first_place"])
+
+    cold = texts.join(small_side(hot), "anchor", "left_anti").select("anchor", "run", "_id", "place", "words")
+    firsts = cold.repartition(shards, "anchor").mapInArrow(searched, f"run long, first_id {id_type}, first_place long, mask long")
+    if not hot.isEmpty():
+        once = texts.join(small_side(hot), "anchor").groupBy("run").agg(F.min(F.struct("_id", "place")).alias("first"), F.first("words").alias("words"))
+        parts = save(once.mapInArrow(cut_up, f"window long, run long, nth long, first_id {id_type}, first_place long"), "windows")
+        start = (F.shiftright("first_place", 6) + F.col("nth")).alias("start")
+        earliest = parts.groupBy("window").agg(F.min(F.struct("first_id", start)).alias("earliest"))
+        judged = parts.join(earliest, "window").withColumn("bit", F.when(F.struct("first_id", start) != F.col("earliest"), F.expr("shiftleft(1L, cast(nth as int))")).otherwise(F.lit(0).cast("long")))
+        firsts = firsts.union(judged.groupBy("run", "first_id", "first_place").agg(F.sum("bit").alias("mask")))
+    firsts = save(firsts, "searched")
+    discard(texts)
     every = F.expr("shiftleft(1L, cast(place & 63 as int)) - 1")
     elsewhere = (F.col("_id") != F.col("first_id")) | (F.col("place") != F.col("first_place"))
-    marks = known.mapInArrow(occurrences, "run long, _id long, _print int, place long").join(firsts, "run")
+    marks = known.mapInArrow(occurrences, f"run long, _id {id_type}, _print int, place long").join(firsts, "run")
     marks = marks.withColumn("mask", F.when(elsewhere, every).otherwise(F.col("mask"))).filter("mask <> 0")
     marks = marks.groupBy("_id", "_print").agg(F.collect_list(F.struct(F.shiftright("place", 6).alias("s"), "mask")).alias("marks"))
 
@@ -297,11 +343,12 @@ def remove_repeats(df: DataFrame, length: int = 20, id_col: str = "doc_id", text
 
     result = docs.join(marks.hint("shuffle_merge"), ["_id", "_print"], "left").select("_id", "_text", "marks", *carried)
     kind = ", ".join(f"{x} {docs.schema[x].dataType.simpleString()}" for x in carried)
-    result = result.mapInArrow(cleaned, "_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + f", {kind}" * bool(carried))
-    own = [] if id_col in carry else [F.col("_id").cast(id_type).alias(id_col)]
+    result = result.mapInArrow(cleaned, f"_id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + f", {kind}" * bool(carried))
+    own = [] if id_col in carry else [F.col("_id").alias(id_col)]
     texts = ["kept_text"] * with_text
     return result.select(*own, "n_words", "n_removed", "kept_sha256", *texts, *(F.col(x).alias(c) for c, x in zip(carry, carried, strict=True)))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 words that start earlier elsewhere, removed from all documents."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
