@@ -201,4 +201,5 @@ def without(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all vectors."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

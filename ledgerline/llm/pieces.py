@@ -248,4 +248,5 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def op4_sentencepiece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, and the texts that they decode to."""
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), str(tokenizer_file("piece_bpe_32k.model")), with_pieces=False)

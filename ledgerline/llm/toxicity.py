@@ -276,6 +276,7 @@ def score(df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labelled ones that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, machine).select("doc_id", held_out().alias("held_out"), "score", "predicted")

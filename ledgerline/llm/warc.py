@@ -6,6 +6,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,21 +23,23 @@ SAMPLE_BYTES = 2_000_000
 DICTIONARY_BYTES = 32_768
 
 
-def record(target: str, kind: str, digest: str, payload: bytes, refers_to: str | None, page_id: int) -> bytes:
-    """One WARC/1.1 record; a revisit has no payload of its own."""
+def record(target: str, kind: str, digest: str, payload: bytes, refers_to: object, page_id: object) -> bytes:
+    """One WARC/1.1 record; a revisit has no payload of its own, and a page without an id none in its header."""
+    named = lambda x: quote(str(x), safe=" :")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if kind == "response" else b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{target if page_id is None else named(page_id)}')}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "WARC-Target-URI: " + target.replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"WARC-Page-ID: {page_id}",
     ]
+    if page_id is not None:
+        head.append(f"WARC-Page-ID: {named(page_id)}")
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{named(refers_to)}')}>", f"WARC-Refers-To-Page-ID: {named(refers_to)}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -93,10 +96,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     """Write pages as archives under path, one for each task.
 
     Of records with equal payloads of at least `least` bytes that with the smallest id is a response and the others
-    revisit it; smaller payloads are all responses. Rows that repeat an id and payload are all written alike. A null
-    payload or address counts as empty. An archive is a skippable frame with its dictionary and then a Zstandard frame
+    revisit it; smaller payloads are all responses. Rows that repeat an id and payload are all written alike; rows
+    without an id are responses, and none revisits them. A null payload or address counts as empty. An archive is a skippable frame with its dictionary and then a Zstandard frame
     for each record; between rows stands an empty skippable frame. Only the first SAMPLE_BYTES of an archive are held
-    in memory. An empty table gives no archive; extra columns are ignored."""
+    in memory. A task's part of the table must stay below 2 GB compressed, as an archive is read as one row. An empty table gives no archive; extra columns are ignored."""
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -152,11 +155,12 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint", with_payload:
                     head, _, block = reader.decompress(body).partition(b"\r\n\r\n")
                     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
                     http, _, rest = block[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
+                    page, first = (None if x is None else unquote(x) for x in (fields.get("WARC-Page-ID"), fields.get("WARC-Refers-To-Page-ID")))
                     kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
                     if kind == "response" and hashlib.sha256(rest).hexdigest() != digest:
-                        raise ValueError(f"payload of page {fields['WARC-Page-ID']} is damaged")
+                        raise ValueError(f"payload of page {page} is damaged")
                     n = len(rest) if kind == "response" else int(http.rpartition(b": ")[2])
-                    yield (fields["WARC-Page-ID"], fields["WARC-Target-URI"], kind, n, digest, fields.get("WARC-Refers-To-Page-ID"), *[rest if kind == "response" else None] * with_payload)
+                    yield (page, fields["WARC-Target-URI"], kind, n, digest, first, *[rest if kind == "response" else None] * with_payload)
 
         kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * with_payload]
         for batch in batches:
@@ -177,6 +181,7 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint", with_payload:
 
 
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back from them."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = scratch(spark, "warc")
     write(pages, path)

@@ -83,8 +83,8 @@ def test_fuzzed_texts_encode_as_the_libraries_do():
     from tokenizers import Tokenizer
 
     rng = random.Random(1)
-    bits = ["the", "The", " ", "  ", "\n", "é", "日本", "▁", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "a.b", ",", "...", " ", "́", "x" * 40, "<s>", "12", "I'LL", "\x00"]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    bits = ["the", "The", " ", "  ", "\n", "é", "日本", "▁", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'start", "%'t", "É", "ÀB", "ß", "ﬁ", "İ", "Σ", "&&", "a.b", ",", "...", " ", "́", "x" * 40, "<s>", "12", "I'LL", "\x00"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
     model, own = Tokenizer.from_file(WORD_FILE), packing.WordEncoder(WORD_FILE)
     data, offsets = common.buffers(pa.array(texts))
     ids, ends = own(data, offsets)
@@ -177,15 +177,39 @@ def test_repeats_are_removed_as_by_brute_force(docs, frame, length):
     assert all((r.n_words, r.n_removed, r.kept_sha256, r.kept_text) == want[r.doc_id] for r in got)
 
 
-def test_index_finds_the_earliest_place():
+def test_index_gives_matching_statistics():
     rng = np.random.default_rng(3)
-    runs = [rng.integers(0, 4, rng.integers(5, 12)).astype(np.uint32) for _ in range(60)]
+    runs = [rng.integers(0, 4, rng.integers(5, 12)).astype(np.uint64) for _ in range(60)]
     index = substrings.FMIndex(runs)
-    starts = np.concatenate([b + np.arange(len(r) - 4) for b, r in zip(index.begin, runs, strict=True)])
-    place = {}
-    for p in starts.tolist():
-        place.setdefault(tuple(index.text[p : p + 5]), p)
-    assert index.earliest(starts, 5).tolist() == [place[tuple(index.text[p : p + 5])] for p in starts.tolist()]
+    symbols = np.concatenate(runs)
+    inside = {tuple(r[i : i + k].tolist()) for k in range(1, 6) for r in runs for i in range(len(r) - k + 1)}
+    times = Counter(tuple(r[i : i + k].tolist()) for k in range(1, 6) for r in runs for i in range(len(r) - k + 1))
+    start = np.arange(len(symbols) - 4)
+    matched, lo, hi = index.matching(index.codes(symbols), start, 5)
+    for p, n, width in zip(start.tolist(), matched.tolist(), (hi - lo).tolist(), strict=True):
+        part = tuple(symbols[p + 5 - n : p + 5].tolist())
+        if n < 5:  # one symbol more is found once at most
+            more = tuple(symbols[p + 4 - n : p + 5].tolist())
+            assert (n == 0 or times[part] > 1) and times[more] <= 1
+        else:
+            assert part in inside and times[part] == width > 1
+    seven = index.matching(index.codes(np.full(5, 7, np.uint64)), np.zeros(1, int), 5)
+    assert seven[0].tolist() == [0]
+
+
+def test_hot_anchors_are_cut_into_windows(spark, docs, frame, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_RUNS", 3)
+    for length in (5, 20):
+        want = removed(docs, length)
+        got = substrings.remove_repeats(frame, length).collect()
+        assert all((r.n_words, r.n_removed, r.kept_sha256, r.kept_text) == want[r.doc_id] for r in got)
+
+
+def test_text_ids_are_taken_in_their_order(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [("b", " ".join(words)), ("a", " ".join(words[:30])), (None, " ".join(words)), ("c", None)]
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": 0, "b": 30, None: 0, "c": 0}
 
 
 # ---------------------------------------------------------------- Jaccard join
@@ -251,16 +275,18 @@ def test_components_of_a_long_chain(spark):
 
 def test_archives_round_trip_and_name_revisits(spark):
     big = "x" * 120 + "P*M\x18\0\0\0\0" + "é"
-    rows = [(5, "u", big, 1), (3, "u", big, 1), (9, None, big, 1), (1, "u", "s", 1), (2, "u", "s", 1), (4, "u", None, 1), (6, "", "", 1), (7, "a\r\nb", big + "1" * 3_000_000, 2)]
+    rows = [(5, "u", big, 1), (3, "u", big, 1), (9, None, big, 1), (1, "u", "s", 1), (2, "u", "s", 1), (4, "u", None, 1), (6, "", "", 1), (7, "a\r\nb", big + "1" * 3_000_000, 2), (None, "u", big, 1), (None, None, None, 1)]
     path = common.scratch(spark, "warc")
     warc.write(spark.createDataFrame(rows, "page_id long, url string, html string, record_type int"), path)
-    got = {r.page_id: r for r in warc.read(spark, path).collect()}
-    for page_id, _, html, _ in rows:
+    read = warc.read(spark, path).collect()
+    assert sorted((r.payload_bytes, r.record_type, r.refers_to) for r in read if r.page_id is None) == [(0, "response", None), (len(big.encode()), "response", None)]
+    got = {r.page_id: r for r in read}
+    for page_id, _, html, _ in rows[:-2]:
         raw, r = (html or "").encode(), got[page_id]
         assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", 3) if page_id in (5, 9) else ("response", None))
         assert r.payload is None if page_id in (5, 9) else bytes(r.payload) == raw
-    assert len(got) == len(rows)
+    assert len(read) == len(rows) and len(got) == len(rows) - 1
 
 
 def test_a_plain_reader_reads_an_archive(spark):
@@ -271,7 +297,7 @@ def test_a_plain_reader_reads_an_archive(spark):
     warc.write(pages, path)
     content = bytes(spark.read.format("binaryFile").load(path).filter("length > 0").first()["content"])
     (magic, raw), *rest = list(warc.frames(content))
-    assert magic == warc.DICTIONARY_FRAME and raw[:4] == zstandard.MAGIC_NUMBER.to_bytes(4, "little")[:0] + raw[:4]
+    assert magic == warc.DICTIONARY_FRAME and raw[:4] == (0xEC30A437).to_bytes(4, "little")
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
     records = [reader.decompress(frame) for magic, frame in rest if not magic]
     assert len(records) == 200 and all(r.startswith(b"WARC/1.1\r\n") for r in records)
@@ -287,9 +313,94 @@ def test_licence_lines(spark):
     assert all(got[i] == (0, "", None) for i in (0, 1, 2, 5))
 
 
+def licences_in(text, least=0.8):
+    """(template, best Dice) of each template with a window that matches, window by window."""
+    w, out = licenses.words_of(text or ""), []
+    for k, t in enumerate(licenses.templates(licenses.NOTICES, least)):
+        theirs, best = set(t.pairs), 0
+        for s in range(len(w) - 1):
+            if f"{w[s]} {w[s + 1]}" in theirs:
+                window = w[s : s + t.length]
+                own = {f"{a} {b}" for a, b in zip(window, window[1:], strict=False)}
+                best = max(best, 2 * len(own & theirs) / (len(own) + len(theirs)))
+        if best >= least - 1e-9:
+            out.append((k, t.name, best))
+    return out
+
+
+def wrapped(text, width=60, lead="# "):
+    import textwrap
+
+    return "\n".join(lead + line for line in textwrap.wrap(text, width))
+
+
+def test_licences_by_brute_force(spark):
+    rng = random.Random(4)
+    notices = [n for ns in licenses.NOTICES.values() for n in ns]
+    filler = ["river", "market", "software", "the", "license", "copy", "of", "to", "apache", "mit", "version", "2.0"]
+    texts = [None, "", "MIT", "\n\n"]
+    for k in range(120):
+        words = rng.choice(notices).split()
+        for _ in range(rng.randrange(len(words) // 4 + 1)):
+            i = rng.randrange(len(words))
+            words[i : i + 1] = rng.choice([[], [rng.choice(filler)], [words[i].upper(), rng.choice(filler)]])
+        around = lambda: " ".join(rng.choice(filler) for _ in range(rng.choice([0, 5, 40])))
+        texts.append(f"{around()} {wrapped(' '.join(words) or 'x', 40 + k % 50, rng.choice(['', '# ', ' * ']))}\n{around()}")
+    got = {r.doc_id: (r.n_matches, r.licenses, r.best_dice) for r in licenses.scan(table(spark, texts)).collect()}
+    hits = 0
+    for i, text in enumerate(texts):
+        want = licences_in(text)
+        hits += bool(want)
+        assert got[i] == (len(want), ",".join(sorted({n for _, n, _ in want})), round(max((d for *_, d in want)), 6) if want else None), text
+    assert 40 < hits < len(texts)
+
+
+def test_whole_and_wrapped_licences_and_rows_by_themselves(spark):
+    full = {name: max(licenses.NOTICES[name], key=len) for name in ("MIT", "BSD-3-Clause", "ISC", "Unlicense", "Zlib")}
+    rows = [(i, f"Copyright (c) 2020 A. Person\n\n{wrapped(text, 78, '')}\n\nimport os\n" + "x = 1\n" * 300) for i, text in enumerate(full.values())]
+    header = "int main;\n" + wrapped(licenses.NOTICES["MIT"][1], 70, " * ") + "\nand more text that follows the header\n"
+    rows += [(70, header), (70, "plain"), (None, header), (None, None), (71, "so it is released under the MIT license, as said")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_matches, r.licenses) for r in licenses.scan(df).collect()]
+    assert [g[2] for g in got[:5]] == ["MIT", "BSD-2-Clause,BSD-3-Clause", "0BSD,ISC", "Unlicense", "Zlib"]
+    assert got[5:] == [(70, 1, "MIT"), (70, 0, ""), (None, 1, "MIT"), (None, 0, ""), (71, 1, "MIT")]
+
+
 # ---------------------------------------------------------------- toxicity
 
 
+def test_features_are_all_gapped_subsequences():
+    rng = random.Random(6)
+    for _ in range(40):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(3, 12))) for _ in range(2))
+
+        def direct(u):
+            out = Counter()
+            for i in range(len(u)):
+                for j in range(i + 1, len(u)):
+                    for k in range(j + 1, len(u)):
+                        if k - i < toxicity.SPAN:
+                            out[u[i] + u[j] + u[k]] += toxicity.DECAY ** (k - i + 1)
+            return out
+
+        x, y = direct(a), direct(b)
+        rows, seen = toxicity.dense([a, b])
+        want = sum(x[s] * y[s] for s in x)
+        # lengths are of subsequences one by one, which needs no table of those that repeat
+        scale = [np.sqrt(sum((toxicity.DECAY ** (k - i + 1)) ** 2 for i in range(len(u)) for j in range(i + 1, len(u)) for k in range(j + 1, len(u)) if k - i < toxicity.SPAN)) for u in (a, b)]
+        assert len(seen) == len(set(x) | set(y))
+        assert float(rows[0] @ rows[1]) == pytest.approx(want / scale[0] / scale[1], rel=1e-4)
+
+
+def test_the_machine_is_its_kernel_expansion():
+    rng = np.random.default_rng(2)
+    x = np.hstack([rng.normal(size=(80, 5)), np.ones((80, 1))])
+    y = np.where(x[:, 0] + 0.3 * x[:, 1] > 0.2, 1.0, -1.0)
+    w = toxicity.hinge(x, y, np.full(80, 10.0), rounds=2000)
+    loss = lambda v: 0.5 * v @ v + 10 * np.maximum(0, 1 - y * (x @ v)).sum()
+    assert all(loss(w) <= loss(w + d) + 1e-6 * loss(w) + 0.05 for d in rng.normal(size=(300, 6)) * 0.05)
+
+
 def test_insults_are_found_with_gaps(spark):
     rng = random.Random(2)
     filler = ["river", "market", "paper", "window", "garden", "silver", "doctor", "letter", "mountain", "summer", "winter", "station"]
@@ -358,6 +469,37 @@ def test_top_k_is_exact_with_ties(spark):
     assert set(got["query_id"]) == {0, 50, 100, 150, 200, 250}
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(8)
+    sizes = [1.0, 2.0**15, 2.0**21, 3e6, 1e17, 1e300, 1e307]
+    x = [[float(v) for v in rng.normal(size=4) * sizes[i % 7 if i % 3 else 0]] for i in range(120)] + [[1.0], [3e6], [2e6], [-3e6], [0.0], []]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    w = [[*topk.integers(np.array(v, float)), 0, 0, 0, 0][:4] for v in x]
+    assert w[121] == [768_000_000, 0, 0, 0]
+    got = {}
+    for r in topk.top_k(df, F.expr("vec_id % 10 = 0 or vec_id > 119")).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    for q, ranks in got.items():
+        score = [sum(a * b for a, b in zip(w[q], v, strict=True)) for v in w]
+        best = sorted((j for j in range(len(w)) if j != q), key=lambda j: (-score[j], j))[:5]
+        assert [ranks[r] for r in range(1, 6)] == [(j, score[j] if abs(score[j]) < 2**63 else None) for j in best]
+    assert len(got) == 18
+
+
+def test_a_block_stops_only_on_proof():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 24))
+    x[200:220] = x[7] + rng.normal(size=(20, 24)) * 0.02
+    small = np.arange(3000, dtype=np.int32)
+    block = topk.Block(small, x, small, *topk.postings_of(topk.whole(x)))
+    w = np.floor(256 * x).astype(int)
+    for q, found in zip((7, 205, 9, 2000), block.best([7, 205, 9, 2000], x[[7, 205, 9, 2000]], 5, np.full(4, -np.inf)), strict=True):
+        score = w @ w[q]
+        assert found == [(j, score[j]) for j in np.lexsort((small, -score)) if j != q][:5]
+    c, _ = block.possible(topk.whole(x[[7]]), 5, (np.zeros(0, int), np.zeros(0, int)), np.full(1, -np.inf))
+    assert len(c) < 3000 * topk.FEW
+
+
 # ---------------------------------------------------------------- sharding
 
 
@@ -372,6 +514,35 @@ def test_shards_are_whole_groups_and_even(docs, frame):
     assert all(len(s) == 1 for s in by_text.values())
     for _, part in got.groupby("shard"):
         assert sorted(part["slot"]) == list(range(len(part)))
+    groups = Counter()
+    for t in docs:
+        groups[t or ""] += len((t or "").encode()) + 1
+    loads = got.groupby("shard")["size"].sum().reindex(range(8), fill_value=0)
+    assert max(groups.values()) < loads.min() and loads.max() - loads.min() <= 0.01 * loads.mean()
+
+
+@pytest.mark.parametrize(("most", "spread"), [(600, 0.005), (100, 0.5)])
+def test_levels_of_lumps_leave_shards_even(spark, monkeypatch, most, spread):
+    rng = random.Random(3)
+    texts = ["x" * rng.randint(1, 300) + str(i) for i in range(3000)] + ["y" * 40_000, "z" * 30_000, *["c" * 500] * 40]
+    monkeypatch.setattr(sharding, "BUCKET", 100)
+    got = sharding.shard_by_bytes(table(spark, texts), most=most, fine=64).toPandas()
+    loads = got.groupby("shard")["size"].sum()
+    assert len(got) == len(texts) and loads.sum() == sum(len(t) + 1 for t in texts) and loads.max() - loads.min() <= spread * loads.mean()
+    assert got[got["doc_id"] >= 3002]["shard"].nunique() == 1
+
+
+def test_differencing_of_few_items_is_near_the_best():
+    rng, worse = np.random.default_rng(1), 0
+    for _ in range(60):
+        sizes = rng.integers(1, 100, 9)
+        loads = np.bincount(sharding.difference(sizes, 2), weights=sizes, minlength=2)
+        best = min(abs(2 * int(sum(s for b, s in enumerate(sizes) if mask >> b & 1)) - int(sizes.sum())) for mask in range(512))
+        worse += abs(loads[0] - loads[1]) - best
+        assert abs(loads[0] - loads[1]) >= best
+    assert worse / 60 <= 4
+    loads = np.bincount(sharding.difference(np.array([4, 5, 6, 7, 8]), 2), weights=[4, 5, 6, 7, 8])
+    assert sorted(loads) == [14, 16]  # the known result of differencing here
 
 
 def test_differencing_beats_greedy_order():
@@ -384,6 +555,41 @@ def test_differencing_beats_greedy_order():
 # ---------------------------------------------------------------- all of them
 
 
+def test_very_long_texts(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 8))) for _ in range(900)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(60_000))
+    notice = max(licenses.NOTICES["MIT"], key=len)
+    near = long.split()
+    near[500:600], near[30_000] = [], "changed"
+    texts = ["short text of words", long, " ".join(near), long[:150_000] + " " + wrapped(notice) + " " + long[200_000:], "z" * 3_000_000]
+    df = table(spark, texts)
+    model = Tokenizer.from_file(WORD_FILE)
+    packed = packing.pack(df.filter("doc_id < 4"), WORD_FILE).toPandas()
+    for i in range(4):
+        ids = [x for part in packed[packed["doc_id"] == i].sort_values("start")["ids"] for x in part]
+        assert ids == [*model.encode(texts[i], add_special_tokens=False).ids, 2]
+    want = removed(texts, 20)
+    assert all((r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id][:3] for r in substrings.remove_repeats(df, 20).collect())
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE_FILE)
+    for r in pieces.encode(df.filter("doc_id < 4"), PIECE_FILE).collect():
+        assert list(r.ids) == library.encode(texts[r.doc_id], add_bos=True, add_eos=True)
+    found = {r.doc_id: r.licenses for r in licenses.scan(df).collect()}
+    assert found == {0: "", 1: "", 2: "", 3: "MIT", 4: ""}
+    sets = sets_of(texts, 5)
+    assert {r.doc_id: r.component_id for r in jaccard.similar(df).collect()} == dict(enumerate(components_of(sets, 80)))
+    machine = toxicity.fit(["you numskull there", "a paper window"] * 12, np.array([True, False] * 12))
+    parts = table(spark, [long, "numskull", f"{long} numskull"])
+    marks = [r.score for r in toxicity.score(parts, machine).orderBy("doc_id").collect()]
+    assert marks[2] == max(marks[:2]) and marks[1] > marks[0]
+    got = {r.doc_id: (r["size"], r.text_crc32) for r in sharding.shard_by_bytes(df).collect()}
+    assert got == {i: (len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in enumerate(texts)}
+
+
 def test_empty_tables_and_repeated_rows(spark):
     empty, labels = table(spark, []), spark.createDataFrame([], "doc_id long, toxic int")
     machine = toxicity.train(empty, labels)
