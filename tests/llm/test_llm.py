@@ -653,3 +653,25 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert all(kept[2][i] == kept[1][i] for i in kept[2] if i != 152)
     packed = pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(packed["doc_id"]) == set(kept[2]) and packed.groupby("sequence_id")["length"].sum().max() <= 4096
+
+
+def test_pipeline_stages_take_awkward_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, class string"
+    same = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, None), (2, ""), (3, same), (3, same), (4, same), (None, same), (None, None), (5, "z" * 400_000), (6, "a few words")]
+    for name, part in (("empty", []), ("odd", rows)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame([(i, t, None, None, None, 0.5, "x") for i, t in part], kind).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, None, None), (3, 0, 1), (3, 0, 0)] if part else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(pipeline.STAGES[:-1]):
+            stage(spark, now, folder).write.parquet(f"{folder}/{k}.parquet")
+            now = spark.read.parquet(f"{folder}/{k}.parquet")
+            assert now.columns == pipeline.COLUMNS
+        ids = sorted(r.doc_id for r in now.collect() if r.doc_id is not None)
+        assert ids == ([1, 2, 3, 3, 5, 6] if part else [])
+        assert now.filter("doc_id is null").count() == (2 if part else 0)
+        packed = pipeline.STAGES[-1][1](spark, now, folder)
+        assert packed.select("doc_id").distinct().count() == (6 if part else 0)
