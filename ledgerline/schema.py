@@ -37,29 +37,6 @@ STATUS_VOCABULARY = {
     "for bidding": "For Bidding",
     "for implementation": "For Implementation",
 }
-REMARKS_VOCABULARY = {
-    "liquidated": "Liquidated",
-    "unliquidated": "Unliquidated",
-    "unliquidated as per office record": "Unliquidated (Office Record)",
-    "unliquidated as per office  record": "Unliquidated (Office Record)",
-    "unliquidated per office record": "Unliquidated (Office Record)",
-    "unliquidated per offce record": "Unliquidated (Office Record)",
-    "unliquidated as per offfice record": "Unliquidated (Office Record)",
-    "unliquidated based on office list of fund transfer": "Unliquidated (Office Record)",
-    "unliquidated/validated": "Unliquidated/Validated",
-    "liquidated/validated": "Liquidated/Validated",
-    "validated/liquidated": "Liquidated/Validated",
-    "validated": "Validated",
-    "monitored": "Monitored",
-}
-CLUSTERS = {
-    "North Coastal": ("Concepcion", "Estancia", "Balasan", "Batad", "Carles", "San Dionisio", "Ajuy", "Sara", "Lemery"),
-    "Central Metro": ("Iloilo City", "Pavia", "Leganes", "Zarraga", "Santa Barbara", "San Miguel", "Cabatuan", "New Lucena"),
-    "Western Upland": ("Igbaras", "Guimbal", "Tigbauan", "San Joaquin", "Miagao", "Tubungan", "Alimodian", "Leon", "Oton", "Maasin"),
-    "Eastern Lowland": ("Banate", "Barotac Nuevo", "Dingle", "Anilao", "Dueñas", "San Enrique", "Dumangas", "Barotac Viejo"),
-    "Interior Passi Corridor": ("Passi City", "Calinog", "Lambunao", "Bingawan", "Badiangan", "Mina", "Pototan", "San Rafael", "Janiuay"),
-}
-MUNICIPALITY_CUTOFF = 80
 LABEL_PREFIXES = {"STATUS_clean_": "Status", "municipality_canonical_": "Municipality", "project_type_": "Project Type", "contractor_spec_": "Contractor Specialization"}
 LABELS = {
     "AMOUNT (Php)": "Budget (₱, scaled)",
