@@ -12,13 +12,19 @@ from ..functions import text
 from .target import contains_any
 
 
+#: Further readings of a cell, tried last.
+TIMED_FORMATS = ("M/d/yyyy H:mm[:ss]", "M/d/yyyy h:mm[:ss] a", "d MMM yyyy", "d MMMM yyyy", "yyyy/M/d")
+
+
 def to_date(c: Column | str, window: tuple[str, str] = S.DATE_WINDOW) -> Column:
-    """Date of a messy cell: a whole serial number, or one of the known formats; null outside the window."""
+    """Date of a messy cell: a whole serial number, else an ISO date with or without a time, else one of the known
+    formats, else the known day orders with a time; null outside the window."""
     c = F.trim(text.col(c))
     number = c.try_cast("double")
     low, high = S.SERIAL_RANGE
     serial = F.when((number == F.floor(number)) & number.between(low, high), F.date_add(F.lit(S.SERIAL_ORIGIN).cast("date"), number.cast("int")))
-    parsed = F.coalesce(*(F.try_to_timestamp(c, F.lit(f)).cast("date") for f in (*S.DATE_FORMATS, S.DAY_FIRST_FORMAT)))
+    parsed = F.coalesce(*(F.try_to_timestamp(c, F.lit(f)).cast("date") for f in (*S.DATE_FORMATS, S.DAY_FIRST_FORMAT, *TIMED_FORMATS)))
+    parsed = F.coalesce(c.try_cast("timestamp_ntz").cast("date"), parsed)
     day = F.when(F.upper(c).isin(*S.MISSING_WORDS), None).when(number.isNotNull(), serial).otherwise(parsed)
     return F.when(day.between(F.lit(window[0]).cast("date"), F.lit(window[1]).cast("date")), day)
 

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import OUTLIER_LEAST_ROWS, WET_MONTHS
+from ..functions import text
+from ..schema import LABEL_PREFIXES, LABELS, OUTLIER_LEAST_ROWS, WET_MONTHS
+from ..sources.sinks import reread
 
+#: Columns made from the target; they never take part in imputation.
+TARGET_COLUMNS = ("overrun", "overrun_pct", "actual_days", "standard_days")
+#: Ranges to a unit of value, for exact quartiles.
+RANGES = 256
 #: Cluster of a place that has none.
 UNCLUSTERED = "Unclustered"
 
@@ -19,14 +26,33 @@ def date_features(df: DataFrame, column: str, horizon: str) -> DataFrame:
     return df.withColumns({"month": F.month(c), "quarter": F.quarter(c), "days_to_horizon": F.datediff(F.lit(horizon).cast("date"), c.cast("date")), "wet_season": F.when(c.isNotNull(), F.month(c).isin(*WET_MONTHS).cast("int"))})
 
 
+def quartiles(df: DataFrame, value: str, stratum: str) -> DataFrame:
+    """Exact (stratum, n, q1, q3) of a column by linear interpolation, for strata of any size.
+
+    Values are counted first; counts by ranges tell which ranges hold the wanted ranks, and only values of these are put
+    in order, range by range. So no stratum is sorted or held as a whole."""
+    by_value = df.filter(F.col(value).isNotNull() & F.col(stratum).isNotNull()).groupBy(stratum, F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("range", F.floor(F.col("v") * RANGES))
+    in_order = Window.partitionBy(stratum).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = by_value.groupBy(stratum, "range").agg(F.sum("c").alias("c")).withColumns({"upto": F.sum("c").over(in_order), "n": F.sum("c").over(Window.partitionBy(stratum))})
+    place = {q: q * (F.col("n") - 1) for q in (0.25, 0.75)}
+    ranks = [f(p) for p in place.values() for f in (F.floor, F.ceil)]
+    held = F.exists(F.array(*ranks), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c")))
+    wanted = ranges.filter(held).select(stratum, "range", "n", (F.col("upto") - F.col("c")).alias("before"))
+    inside = Window.partitionBy(stratum, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    near = by_value.join(wanted, [stratum, "range"]).withColumn("upto", F.col("before") + F.sum("c").over(inside))
+    at = near.groupBy(stratum).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") > r, F.col("v"))).alias(f"v{i}") for i, r in enumerate(ranks)))
+    between = lambda low, high, p: F.col(low) + (F.col(high) - F.col(low)) * (p - F.floor(p))
+    return at.select(stratum, "n", between("v0", "v1", place[0.25]).alias("q1"), between("v2", "v3", place[0.75]).alias("q3"))
+
+
 def outliers(df: DataFrame, amount: str, stratum: str, least: int = OUTLIER_LEAST_ROWS) -> DataFrame:
     """Flag of log amounts outside 1.5 interquartile ranges of their stratum; small strata have none."""
     logged = df.withColumn("_log", F.log1p(F.greatest(F.col(amount), F.lit(0))))
-    bounds = logged.groupBy(stratum).agg(F.count("_log").alias("_n"), F.percentile("_log", [0.25, 0.75]).alias("_q"))
+    bounds = quartiles(logged, "_log", stratum).select(stratum, F.col("n").alias("_n"), F.col("q1").alias("_q1"), F.col("q3").alias("_q3"))
     joined = logged.join(bounds, stratum, "left")
-    width = 1.5 * (F.col("_q")[1] - F.col("_q")[0])
-    outside = (F.col("_log") < F.col("_q")[0] - width) | (F.col("_log") > F.col("_q")[1] + width)
-    return joined.withColumn("outlier", F.coalesce((F.col("_n") >= least) & outside, F.lit(False))).drop("_log", "_n", "_q")
+    width = 1.5 * (F.col("_q3") - F.col("_q1"))
+    outside = (F.col("_log") < F.col("_q1") - width) | (F.col("_log") > F.col("_q3") + width)
+    return joined.withColumn("outlier", F.coalesce((F.col("_n") >= least) & outside, F.lit(False))).drop("_log", "_n", "_q1", "_q3")
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str], with_null: bool = False) -> DataFrame:
@@ -37,23 +63,36 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str], with_null: bool =
     return df.withColumns(made)
 
 
-def impute_pair(df: DataFrame, a: str, b: str, rounds: int = 5) -> DataFrame:
-    """Missing a and b by regression on each other: means at first, then each from the line fitted where it is known.
+def impute(df: DataFrame, columns: Sequence[str], rounds: int = 15, barred: Sequence[str] = TARGET_COLUMNS) -> DataFrame:
+    """df with <column>_full for each of the columns: missing values by chained regression on the other columns.
 
-    Every round is one aggregate of the whole frame; only its few coefficients come to the plan of the next."""
-    known_a, known_b = F.col(a).isNotNull(), F.col(b).isNotNull()
-    mean = df.agg(F.avg(a).alias("a"), F.avg(b).alias("b")).first()
-    line_a, line_b = (0.0, mean["a"]), (0.0, mean["b"])
+    Means stand in at first. In each round each column in turn is fitted by least squares on all others, where it is
+    known, and its missing values are set from the fit. Columns made from the target are barred, even if asked for, and
+    columns without any value stay null. A fit is one aggregate of sums of products; only these few numbers come to the
+    driver. A round's values are staged, so the plan does not grow."""
+    asked = [c for c in columns if c not in barred]
+    mean = df.agg(*(F.avg(c).alias(c) for c in asked)).first().asDict() if asked else {}
+    known = [c for c in asked if mean[c] is not None]
+    out = df.withColumns({f"{c}_full": F.coalesce(F.col(c).cast("double"), F.lit(mean[c])) for c in asked})
+    if len(known) < 2:
+        return out
     for _ in range(rounds):
-        now_b = F.coalesce(F.col(b), F.lit(line_b[0]) * F.coalesce(F.col(a), F.lit(mean["a"])) + F.lit(line_b[1]))
-        fit = df.filter(known_a).agg(F.regr_slope(F.col(a), now_b).alias("s"), F.regr_intercept(F.col(a), now_b).alias("i")).first()
-        line_a = (fit["s"] or 0.0, fit["i"] if fit["i"] is not None else mean["a"])
-        now_a = F.coalesce(F.col(a), F.lit(line_a[0]) * F.coalesce(F.col(b), F.lit(mean["b"])) + F.lit(line_a[1]))
-        fit = df.filter(known_b).agg(F.regr_slope(F.col(b), now_a).alias("s"), F.regr_intercept(F.col(b), now_a).alias("i")).first()
-        line_b = (fit["s"] or 0.0, fit["i"] if fit["i"] is not None else mean["b"])
-    full_a = F.coalesce(F.col(a), F.lit(line_a[0]) * F.coalesce(F.col(b), F.lit(mean["b"])) + F.lit(line_a[1]))
-    full_b = F.coalesce(F.col(b), F.lit(line_b[0]) * F.coalesce(F.col(a), F.lit(mean["a"])) + F.lit(line_b[1]))
-    return df.withColumns({f"{a}_full": full_a, f"{b}_full": full_b})
+        for c in known:
+            others = [x for x in known if x != c]
+            z = [F.lit(1.0), *(F.col(f"{x}_full") - F.lit(mean[x]) for x in others)]
+            y = F.col(c) - F.lit(mean[c])
+            pairs = [(i, j) for i in range(len(z)) for j in range(i + 1)]
+            sums = out.filter(F.col(c).isNotNull()).agg(*(F.sum(z[i] * z[j]) for i, j in pairs), *(F.sum(x * y) for x in z)).first()
+            gram = np.zeros((len(z), len(z)))
+            for (i, j), v in zip(pairs, sums[: len(pairs)], strict=True):
+                gram[i, j] = gram[j, i] = v
+            fit = np.linalg.lstsq(gram, np.array(sums[len(pairs) :], dtype=float), rcond=None)[0]
+            guess = F.lit(mean[c])
+            for w, x in zip(fit, z, strict=True):
+                guess = guess + F.lit(float(w)) * x
+            out = out.withColumn(f"{c}_full", F.coalesce(F.col(c).cast("double"), guess))
+        out = reread(out, "imputed")
+    return out
 
 
 def bucket(key: Column | str, n: int = 100) -> Column:
@@ -116,14 +155,14 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5) -> DataFra
     sizes = laned.groupBy(label, "_lane").agg(F.count("*").alias("_c"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(label).orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     nth = F.row_number().over(Window.partitionBy(label, "_lane").orderBy(F.md5(F.col(key).cast("string")), key)) - 1
-    return laned.withColumn("_nth", nth).join(F.broadcast(before), [label, "_lane"]).withColumn("fold", F.pmod(F.col("_before") + F.col("_nth"), F.lit(k)).cast("int")).drop("_lane", "_nth", "_before")
+    return laned.withColumn("_nth", nth).join(before, [label, "_lane"]).withColumn("fold", F.pmod(F.col("_before") + F.col("_nth"), F.lit(k)).cast("int")).drop("_lane", "_nth", "_before")
 
 
-def label_of(column: str, prefixes: Mapping[str, str], exact: Mapping[str, str]) -> str:
-    """Readable label of a feature column: by its prefix, else an exact table, else its words as a title."""
-    for prefix, name in prefixes.items():
-        if column.startswith(prefix):
-            return f"{name}: {column[len(prefix):].replace('_', ' ').strip()}"
-    if column in exact:
-        return exact[column]
-    return column.replace("_", " ").strip().title()
+def label_of(feature: Column | str, prefixes: Mapping[str, str] = LABEL_PREFIXES, exact: Mapping[str, str] = LABELS) -> Column:
+    """Readable label of a feature's name: by its prefix, else an exact table, else its words as a title; null for null."""
+    c = text.col(feature)
+    words = lambda x: F.trim(F.replace(x, F.lit("_"), F.lit(" ")))
+    out = F.coalesce(text.lookup(c, exact), text.title(words(c)))
+    for prefix, name in reversed(prefixes.items()):
+        out = F.when(c.startswith(prefix), F.concat(F.lit(f"{name}: "), words(c.substr(len(prefix) + 1, 1_000_000)))).otherwise(out)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -22,16 +23,24 @@ def exact_links(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
 
 def exact_links_with_veto(left: DataFrame, right: DataFrame, keys: Sequence[str], veto: str) -> DataFrame:
     """As exact_links, but rows whose known veto values differ don't link: each left row in turn takes the first right
-    row that is free and agrees. Only rows of one key meet, in one cogroup each."""
+    row that is free and agrees. Only rows of one key meet, in one cogroup each; ids are unique, and free rows wait in
+    a line for each veto value, so a key costs its rows and not their pairs."""
 
     def linked(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        free, out = list(b.sort_values("id").itertuples()), []
-        for x in a.sort_values("id").itertuples():
-            for k, y in enumerate(free):
-                if pd.isna(x.veto) or pd.isna(y.veto) or not x.veto or not y.veto or x.veto == y.veto:
-                    out.append((x.id, y.id, 100.0, "exact"))
-                    del free[k]
-                    break
+        known = lambda v: None if pd.isna(v) or not v else v
+        b, by_value, taken, out = b.sort_values("id"), defaultdict(deque), set(), []
+        every = deque(b["id"])
+        for i, v in zip(b["id"], b["veto"], strict=True):
+            by_value[known(v)].append(i)
+        for i, v in a.sort_values("id")[["id", "veto"]].itertuples(index=False):
+            lines = [every] if known(v) is None else [by_value[known(v)], by_value[None]]
+            for line in lines:
+                while line and line[0] in taken:
+                    line.popleft()
+            first = min((line[0] for line in lines if line), default=None)
+            if first is not None:
+                taken.add(first)
+                out.append((i, first, 100.0, "exact"))
         return pd.DataFrame(out, columns=["left_id", "right_id", "match_score", "match_method"])
 
     side = lambda df: df.dropna(subset=list(keys)).select("id", *keys, F.col(veto).alias("veto")).groupBy(*keys)
@@ -95,13 +104,16 @@ def fuzzy_links(left: DataFrame, right: DataFrame, block: str, cutoff: float = F
 
 
 def canonical(df: DataFrame, column: str, names: DataFrame, cutoff: float, scope: str | None = None, score: Score = text.levenshtein_ratio) -> DataFrame:
-    """df with <column>_canonical: the nearest name of a small reference list (in the same scope if given) from the
-    cutoff on, else the title case of the text. Distinct texts are scored once and joined back."""
+    """df with <column>_canonical: the nearest name of a reference list (in the same scope if given) from the cutoff on,
+    else the title case of the text. Distinct texts are scored once, with names of a length that allows the cutoff, and
+    joined back."""
     keys = [scope] if scope else []
-    texts = df.filter(F.col(column).isNotNull()).select(column, *keys).distinct()
-    known = F.broadcast(names.select(F.col("name").alias("_name"), *keys))
-    pairs = texts.join(known, keys) if scope else texts.crossJoin(known)
-    marked = pairs.withColumn("_score", score(text.place_name(column), text.place_name("_name"))).filter(F.col("_score") >= cutoff - 1e-9)
+    least = cutoff / 100 if score is text.levenshtein_ratio else cutoff / (200 - cutoff)
+    texts = df.filter(F.col(column).isNotNull()).select(column, *keys).distinct().withColumn("_text", text.place_name(column))
+    size = F.length("_text")
+    texts = texts.withColumn("_size", F.explode(F.sequence(F.ceil(size * least - 1e-9), F.floor(size / least + 1e-9))))
+    known = names.select(F.col("name").alias("_name"), text.place_name("name").alias("_known"), *keys).withColumn("_size", F.length("_known").cast("long"))
+    marked = texts.join(known, [*keys, "_size"]).withColumn("_score", score(F.col("_text"), F.col("_known"))).filter(F.col("_score") >= cutoff - 1e-9)
     best = marked.groupBy(column, *keys).agg(F.min_by("_name", F.struct(-F.col("_score"), F.col("_name"))).alias("_best"))
     return df.join(best, [column, *keys], "left").withColumn(f"{column}_canonical", F.coalesce("_best", text.title(F.trim(column)))).drop("_best")
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ def feature_columns(df: DataFrame, deny: Sequence[str]) -> list[str]:
     return sorted(c for c, kind in df.dtypes if kind in numeric and c not in deny)
 
 
+def feature_matrix(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, x): the columns as doubles in the given order, those that df lacks as 0 and missing values as 0."""
+    return df.select(key, F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in columns)).alias("x"))
+
+
 def forest(trees: int = 300, depth: int = 8) -> RandomForestClassifier:
     return RandomForestClassifier(labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=3, seed=42)
 
@@ -71,16 +78,59 @@ def out_of_fold(df: DataFrame, make: Callable, name: str, k: int = 5, prepare: C
     return out
 
 
-def text_classifier(words: int = 2, chars: tuple[int, int] = (2, 4)) -> Pipeline:
-    """Word and character n-gram counts, damped and weighted, into a logistic regression. Input column text, label y."""
-    stages, columns = [RegexTokenizer(inputCol="text", outputCol="w1", pattern=r"\W+"), RegexTokenizer(inputCol="text", outputCol="c1", pattern=".", gaps=False)], []
-    for prefix, sizes in (("w", range(1, words + 1)), ("c", range(chars[0], chars[1] + 1))):
-        for n in sizes:
-            if n > 1:
-                stages.append(NGram(n=n, inputCol=f"{prefix}1", outputCol=f"{prefix}{n}"))
-            stages += [CountVectorizer(inputCol=f"{prefix}{n}", outputCol=f"{prefix}{n}_n", minDF=2), IDF(inputCol=f"{prefix}{n}_n", outputCol=f"{prefix}{n}_f")]
-            columns.append(f"{prefix}{n}_f")
-    return Pipeline(stages=[*stages, assembler(columns), LogisticRegression(labelCol="y", weightCol="weight", regParam=0.01)])
+def word_grams(words: Column, n: int) -> Column:
+    """Runs of n words of an array of words."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")) if n > 1 else words
+
+
+def char_grams(words: Column, n: int) -> Column:
+    """Runs of n characters inside words, each with a space before and after it; never across words."""
+    padded = F.filter(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), lambda w: F.length(w) >= n)
+    return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: w.substr(i, F.lit(n)))))
+
+
+class Terms(Transformer):
+    """Arrays w (words of two characters and more, and their runs) and c (characters' runs inside words) of column text."""
+
+    def __init__(self, words: int = 2, low: int = 2, high: int = 4) -> None:
+        super().__init__()
+        self.words, self.low, self.high = words, low, high
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        lower = F.lower(F.coalesce("text", F.lit("")))
+        df = df.withColumn("_w", F.regexp_extract_all(lower, F.lit(r"(?U)\b\w\w+\b"), F.lit(0))).withColumn("_c", F.filter(F.split(lower, r"(?U)\s+"), lambda w: w != ""))
+        runs = [F.when(F.size("_w") >= n, word_grams(F.col("_w"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, self.words + 1)]
+        chars = [char_grams(F.col("_c"), n) for n in range(self.low, self.high + 1)]
+        return df.withColumns({"w": F.concat(*runs), "c": F.concat(*chars)}).drop("_w", "_c")
+
+
+class Damped(Transformer):
+    """<name>_f: (1 + log count) * (1 + inverse document frequency) of the counts <name>_n and their product <name>_i, made
+    to unit length."""
+
+    def __init__(self, name: str = "w") -> None:
+        super().__init__()
+        self.name = name
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        @F.udf(VectorUDT(), useArrow=True)
+        def damped(counts, scaled):
+            values = (1 + np.log(counts.values)) * (1 + scaled.values / counts.values)
+            return Vectors.sparse(counts.size, counts.indices, values / (np.linalg.norm(values) or 1.0))
+
+        size = df.schema[f"{self.name}_n"].metadata
+        return df.withColumn(f"{self.name}_f", damped(f"{self.name}_n", f"{self.name}_i").alias(f"{self.name}_f", metadata=size))
+
+
+def text_classifier(n: int, words: int = 2, chars: tuple[int, int] = (2, 4), strength: float = 2.0) -> Pipeline:
+    """Runs of words and of characters inside words, with damped counts times smoothed inverse document frequency and unit
+    length for each of the two, into a balanced logistic regression. Input columns text, y, weight; n is the number of
+    rows fitted, by which the inverse penalty `strength` is divided."""
+    stages = [Terms(words, *chars)]
+    for x in "wc":
+        stages += [CountVectorizer(inputCol=x, outputCol=f"{x}_n"), IDF(inputCol=f"{x}_n", outputCol=f"{x}_i"), Damped(x)]
+    fit = LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / (strength * max(n, 1)), standardization=False, maxIter=200)
+    return Pipeline(stages=[*stages, assembler(["w_f", "c_f"]), fit])
 
 
 def gated(rule: Column, predicted: Column, confidence: Column, least: float = CONFIDENCE) -> tuple[Column, Column]:
@@ -94,11 +144,26 @@ def fallback(p1: Column, p2: Column, p3: Column) -> Column:
     return F.coalesce(p3, (p1 + p2) / 2)
 
 
+def stack(df: DataFrame, learners: dict[str, Callable], k: int = 5, prepare: dict[str, Callable] | None = None) -> tuple[DataFrame, PipelineModel]:
+    """Out-of-fold probabilities of all base learners, a column each, and the stacker fitted on them.
+
+    df has y, weight and fold; it should be a written table, as each fold of each learner reads it. prepare gives a
+    learner's own handling of the rows it is fitted on."""
+    out = None
+    for fold in range(k):
+        rest, part = df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold)
+        for name, make in learners.items():
+            model = make().fit((prepare or {}).get(name, lambda x: x)(rest))
+            part = probability(model.transform(part), name).drop("features")
+        out = part if out is None else out.unionByName(part)
+    return out, Pipeline(stages=[assembler(list(learners)), stacker()]).fit(out)
+
+
 def score_open(df: DataFrame, models: dict[str, PipelineModel], meta: PipelineModel, tier: Callable[[str], Column], closed: Column) -> DataFrame:
     """Probabilities of all base models, the stacked one, its tier, and a flag for closed rows."""
     for name, model in models.items():
         df = probability(model.transform(df), name).drop("features")
-    scored = probability(meta.transform(df), "prob")
+    scored = probability(meta.transform(df), "prob").drop("features")
     return scored.withColumn("tier", tier("prob")).withColumn("excluded", closed)
 
 

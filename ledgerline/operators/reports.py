@@ -106,7 +106,7 @@ def pins(df: DataFrame, centres: DataFrame, spread: float = 0.02) -> DataFrame:
     """Real coordinates, or those of the town with an offset that depends on the key alone."""
     h = string_hash("project_key")
     angle, radius = F.pmod(h, F.lit(360)) * F.lit(3.141592653589793 / 180), spread * F.sqrt(F.pmod(F.floor(h / 360), F.lit(1000)) / 1000)
-    placed = df.join(F.broadcast(centres), "municipality", "left")
+    placed = df.join(centres, "municipality", "left")
     return placed.withColumn("pin_lat", F.coalesce("lat", F.col("town_lat") + radius * F.sin(angle))).withColumn("pin_lng", F.coalesce("lng", F.col("town_lng") + radius * F.cos(angle)))
 
 

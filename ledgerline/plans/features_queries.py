@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, sequences
-from ..schema import LABEL_PREFIXES, LABELS
 from .register import query
 from .target_queries import STEPS, labelled
 from .testbed import MON, SCORED, known_clusters, monitoring, scored, table
@@ -84,11 +83,10 @@ def g3_membership_split(spark, d):
     return rows.join(done, "project_key", "left_anti").join(train, "project_key", "left_semi").groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('release_month', 'Release Month'), ('project_type_Infrastructure', 'Project Type: Infrastructure'), ('days_to_horizon', 'Days To Horizon')) t(feature, label)")
+@query("SELECT p_partkey, unnest(['Project Type: ' || p_type, p_brand || ' Rate', 'Release Month']) AS label FROM part")
 def h2_feature_labels(spark, d):
-    columns = ["release_month", "project_type_Infrastructure", "days_to_horizon"]
-    rows = [(c, features.label_of(c, LABEL_PREFIXES, LABELS)) for c in columns]
-    return table(spark, d, "region").limit(1).select(F.explode(F.array(*(F.struct(F.lit(a).alias("feature"), F.lit(b).alias("label")) for a, b in rows))).alias("x")).select("x.*")
+    names = F.array(F.concat(F.lit("project_type_"), F.col("p_type")), F.concat(F.lower("p_brand"), F.lit("_rate")), F.lit("release_month"))
+    return table(spark, d, "part").select("p_partkey", F.explode(names).alias("feature")).select("p_partkey", features.label_of("feature").alias("label"))
 
 
 @query(f"WITH {EVENTS} SELECT keys.project_key, CAST(count(k) AS INTEGER) AS n_real, CAST(5 - count(k) AS INTEGER) AS n_pad FROM keys LEFT JOIN seq ON keys.project_key = seq.project_key GROUP BY keys.project_key")
@@ -97,20 +95,20 @@ def h5_array_functions(spark, d):
     return rows.select("project_key", F.size(F.filter("mask", lambda m: m)).alias("n_real"), F.size(F.filter("steps", lambda s: s["days"] == -1)).alias("n_pad"))
 
 
-def _impute_sql(rounds: int = 5) -> str:
-    """The same rounds as nested one-row tables."""
+def _impute_sql(rounds: int = 15) -> str:
+    """The same rounds, each as two fits and a table."""
     out = """WITH g AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS a, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal * 0.5 + (s_suppkey % 13) * 100.0 END AS b FROM supplier),
-m AS (SELECT avg(a) AS ma, avg(b) AS mb FROM g), lb0 AS (SELECT CAST(0 AS DOUBLE) AS s, mb AS i FROM m)"""
+g0 AS MATERIALIZED (SELECT s_suppkey, a, b, coalesce(a, (SELECT avg(a) FROM g)) AS fa, coalesce(b, (SELECT avg(b) FROM g)) AS fb FROM g)"""
     for k in range(1, rounds + 1):
-        out += f""", la{k} AS (SELECT regr_slope(a, coalesce(b, lb{k - 1}.s * coalesce(a, ma) + lb{k - 1}.i)) AS s, regr_intercept(a, coalesce(b, lb{k - 1}.s * coalesce(a, ma) + lb{k - 1}.i)) AS i FROM g, m, lb{k - 1} WHERE a IS NOT NULL)
-, lb{k} AS (SELECT regr_slope(b, coalesce(a, la{k}.s * coalesce(b, mb) + la{k}.i)) AS s, regr_intercept(b, coalesce(a, la{k}.s * coalesce(b, mb) + la{k}.i)) AS i FROM g, m, la{k} WHERE b IS NOT NULL)"""
-    return out + f"\nSELECT s_suppkey, round(coalesce(a, la{rounds}.s * coalesce(b, mb) + la{rounds}.i), 5) AS a_full, round(coalesce(b, lb{rounds}.s * coalesce(a, ma) + lb{rounds}.i), 5) AS b_full FROM g, m, la{rounds}, lb{rounds}"
+        out += f""",\nh{k} AS MATERIALIZED (SELECT g{k - 1}.* EXCLUDE (fa), coalesce(a, s * fb + i) AS fa FROM g{k - 1}, (SELECT regr_slope(a, fb) AS s, regr_intercept(a, fb) AS i FROM g{k - 1}) f)
+, g{k} AS MATERIALIZED (SELECT h{k}.* EXCLUDE (fb), coalesce(b, s * fa + i) AS fb FROM h{k}, (SELECT regr_slope(b, fa) AS s, regr_intercept(b, fa) AS i FROM h{k}) f)"""
+    return out + f"\nSELECT s_suppkey, round(fa, 4) AS a_full, round(fb, 4) AS b_full FROM g{rounds}"
 
 
 @query(_impute_sql())
 def i1_imputation(spark, d):
-    rows = table(spark, d, "supplier").selectExpr("s_suppkey", "case when s_suppkey % 5 <> 0 then s_acctbal end as a", "case when s_suppkey % 7 <> 0 then s_acctbal * 0.5 + (s_suppkey % 13) * 100.0 end as b")
-    return features.impute_pair(rows, "a", "b").select("s_suppkey", F.round("a_full", 5).alias("a_full"), F.round("b_full", 5).alias("b_full"))
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey", "case when s_suppkey % 5 <> 0 then s_acctbal end as a", "case when s_suppkey % 7 <> 0 then s_acctbal * 0.5 + (s_suppkey % 13) * 100.0 end as b", "1 as overrun")
+    return features.impute(rows, ["a", "b", "overrun"]).select("s_suppkey", F.round("a_full", 4).alias("a_full"), F.round("b_full", 4).alias("b_full"))
 
 
 @query(

@@ -8,31 +8,46 @@ from pyspark.sql import functions as F
 
 from ..operators import allocate, features, metrics, models
 from ..operators.reports import tier
+from ..sources.sinks import reread
 from .register import query
 from .reports_queries import PLAN, TIER, plan
 from .target_queries import STEPS, labelled
 from .testbed import SCORED, known_clusters, scored, table
 
+FEATURES, STEPS_OF = [f"f{i}" for i in range(8)], [f"s{i}" for i in range(15)]
 PRED = f"""{SCORED}, pred AS (SELECT project_key, CAST(order_id % 2 AS INTEGER) AS y, prob AS p FROM scored WHERE prob IS NOT NULL)"""
 
 
+#: Sizes of the queries that fit each learner many times; the operators' defaults are 300 trees, 300 rounds and 5 folds.
+TREES, ROUNDS, STACK_FOLDS = 50, 20, 3
+
+
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).filter("prob is not null").select("project_key", F.expr("cast(order_id % 2 as int)").alias("y"), F.col("prob").alias("p"))
 
 
 def learning_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of the embedding table as features f0..f7, label below 5 as class, with folds and weights."""
-    rows = table(spark, d, "embeddings").filter("embedding is not null").select(F.concat(F.lit("V_"), F.col("vec_id").cast("string")).alias("project_key"), F.expr("cast(label < 5 as int)").alias("y"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)))
-    return models.with_weights(features.stratified_folds(rows.filter("y is not null"), "y", "project_key", 3))
+    """Vectors of the embedding table: components as features f0..f7 and steps s0..s14, label below 5 as class, and a side
+    by key: those of the test side stand for the open population."""
+    rows = table(spark, d, "embeddings").filter("embedding is not null")
+    parts = (F.get("embedding", i).cast("double").alias(c) for i, c in enumerate((*FEATURES, *STEPS_OF)))
+    known = rows.select(F.concat(F.lit("V_"), F.col("vec_id").cast("string")).alias("project_key"), F.expr("cast(label < 5 as int)").alias("y"), *parts)
+    return features.split(known.filter("y is not null"), "project_key")
+
 
+def folded(rows: DataFrame, k: int) -> DataFrame:
+    """Rows with folds and weights, written once, as every fit reads them."""
+    return reread(models.with_weights(features.stratified_folds(rows, "y", "project_key", k)), "learning")
 
-FEATURES = [f"f{i}" for i in range(8)]
 
 
-@query("SELECT * FROM (VALUES ('c_acctbal'), ('c_custkey')) t(feature)")
-def b13_feature_columns(spark, d):
-    rows = table(spark, d, "customer")
-    return spark.createDataFrame([(c,) for c in models.feature_columns(rows, ["c_nationkey"])], "feature string")
+
+@query("SELECT c_custkey, CAST(0 AS DOUBLE) AS x0, coalesce(CAST(c_acctbal AS DOUBLE), 0) AS x1, CAST(length(c_name) AS DOUBLE) AS x2 FROM customer")
+def b13_feature_matrix(spark, d):
+    """Numeric columns of customers but for keys, after one that they lack."""
+    rows = table(spark, d, "customer").withColumn("name_length", F.length("c_name"))
+    columns = ["absent", *models.feature_columns(rows, ["c_custkey", "c_nationkey"])]
+    return models.feature_matrix(rows, "c_custkey", columns).select("c_custkey", *(F.col("x")[i].alias(f"x{i}") for i in range(3)))
 
 
 @query(f"WITH {PRED}, b AS (SELECT project_key, CASE WHEN y = 0 AND p > 0.95 THEN 1 ELSE y END AS y FROM pred WHERE p > 0.1) SELECT (SELECT count(*) FROM pred WHERE p <= 0.1) AS only_left, 0 AS only_right, count(*) FILTER (WHERE pred.y <> b.y) AS differ FROM pred JOIN b ON pred.project_key = b.project_key")
@@ -82,6 +97,15 @@ POOL = f"""{SCORED}, open_rows AS (SELECT *, {TIER} AS tier FROM scored JOIN nat
 ), pool AS (SELECT project_key, prob, cluster, tier, CASE WHEN tier = 'Critical' THEN 2.5 ELSE 1.0 END AS risk_weight FROM open_rows WHERE tier IN ('High', 'Critical') ORDER BY prob DESC, project_key LIMIT 150)"""
 
 
+VISITS = f"""{POOL}, nth AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY cluster ORDER BY risk_weight DESC, prob DESC, project_key) - 1) / 3) AS BIGINT) AS block FROM pool
+), blocks AS (SELECT cluster, block, sum(risk_weight) AS w FROM nth GROUP BY cluster, block), taken AS (SELECT * FROM blocks ORDER BY w DESC, cluster, block LIMIT 20
+), slots AS (SELECT cluster, block, row_number() OVER (ORDER BY cluster, block) - 1 AS slot FROM taken
+), visits AS (
+  SELECT 'Inspector ' || CAST(slot // 4 + 1 AS VARCHAR) AS inspector, list_extract(['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday'], slot % 4 + 1) AS day, project_key, nth.cluster, tier, prob, risk_weight
+  FROM nth JOIN slots ON nth.cluster = slots.cluster AND nth.block = slots.block
+)"""
+
+
 def pool(spark: SparkSession, d: str) -> DataFrame:
     """The pool of open projects; places of the last five nations have no cluster, so they can't be scheduled."""
     clustered = features.clusters(scored(spark, d).drop("cluster"), known_clusters(spark, d))
@@ -92,12 +116,12 @@ def schedule(spark: SparkSession, d: str) -> DataFrame:
     return allocate.assign_visits(pool(spark, d), [f"Inspector {i}" for i in range(1, 6)])
 
 
-@query()
+@query(f"WITH {VISITS} SELECT count(*) AS visits, count(DISTINCT project_key) AS projects, count(*) FILTER (WHERE tier = 'Critical') AS critical, count(DISTINCT cluster) AS clusters, (SELECT count(*) FROM pool) AS pool FROM visits")
 def e12_schedule_summary(spark, d):
     return allocate.schedule_summary(schedule(spark, d), pool(spark, d))
 
 
-@query()
+@query(f"WITH {VISITS} SELECT inspector, day, count(*) AS n, count(DISTINCT cluster) AS clusters FROM visits GROUP BY inspector, day")
 def e13_daily_loads(spark, d):
     return allocate.loads(schedule(spark, d))
 
@@ -115,10 +139,13 @@ def f6_priority_pool(spark, d):
 
 @query()
 def i11_text_classifier(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "labels").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", F.col("text"), F.col("quality").alias("y"))
-    rows = models.with_weights(docs.filter("y is not null and text is not null"))
-    fitted = models.text_classifier(1, (2, 2)).fit(rows)
-    return models.probability(fitted.transform(rows), "p").select("doc_id", "y", "p")
+    """Fitted on the train side of labelled documents, and applied to all of them."""
+    label = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("y"))
+    rows = table(spark, d, "documents").filter("text is not null").join(label.filter("y is not null"), "doc_id").select("doc_id", "text", "y")
+    rows = features.split(rows, "doc_id")
+    train = reread(models.with_weights(rows.filter("split = 'train'")), "labelled")
+    fitted = models.text_classifier(train.count()).fit(train)
+    return models.probability(fitted.transform(rows), "p").select("doc_id", "split", "y", "p")
 
 
 @query(f"WITH {SCORED} SELECT project_key, CASE WHEN status = 'Completed' THEN 'rule-label' WHEN prob >= 0.7 THEN 'model-label' END AS label, CASE WHEN status = 'Completed' THEN 'rule' WHEN prob >= 0.7 THEN 'model' ELSE 'none' END AS origin FROM scored")
@@ -130,55 +157,63 @@ def i12_gated_fallback(spark, d):
 
 @query()
 def i14_out_of_fold(spark, d):
+    make = lambda: Pipeline(stages=[models.assembler(FEATURES), models.forest(TREES)])
+    return models.out_of_fold(folded(learning_rows(spark, d), 5), make, "p", 5).select("project_key", "y", "fold", "p")
+
+
+def held_out(spark: SparkSession, d: str, learner) -> DataFrame:
+    """Metrics on the test side of a learner fitted on the train side."""
     rows = learning_rows(spark, d)
-    make = lambda: Pipeline(stages=[models.assembler(FEATURES), models.forest(10, 4)])
-    return models.out_of_fold(rows, make, "p", 3).select("project_key", "y", "fold", "p")
+    train = folded(rows.filter("split = 'train'"), 5)
+    fitted = Pipeline(stages=[models.assembler(FEATURES), learner]).fit(train)
+    return metrics.evaluate(models.probability(fitted.transform(rows.filter("split = 'test'")), "p"))
 
 
 @query()
 def i15_random_forest(spark, d):
-    rows = learning_rows(spark, d)
-    fitted = Pipeline(stages=[models.assembler(FEATURES), models.forest(20, 6)]).fit(rows.filter("fold > 0"))
-    return metrics.evaluate(models.probability(fitted.transform(rows.filter("fold = 0")), "p"))
+    return held_out(spark, d, models.forest())
 
 
 @query()
 def i16_boosted_trees(spark, d):
-    rows = learning_rows(spark, d)
-    fitted = Pipeline(stages=[models.assembler(FEATURES), models.boosted(10, 3)]).fit(rows.filter("fold > 0"))
-    return metrics.evaluate(models.probability(fitted.transform(rows.filter("fold = 0")), "p"))
+    return held_out(spark, d, models.boosted(ROUNDS))
 
 
 @query()
 def i17_sequence_learner(spark, d):
+    """Fitted on the train side, and applied to all sequences."""
     from .features_queries import sequence_rows
 
     steps = F.flatten(F.transform("steps", lambda s: F.array(s["event_type"].cast("double"), s["days"].cast("double"), s["amount"])))
     rows = sequence_rows(spark, d).select("project_key", F.expr("cast(n_events >= 2 as int)").alias("y"), steps.alias("x"))
-    rows = rows.select("project_key", "y", *(F.col("x")[i].alias(f"x{i}") for i in range(15)))
-    learner = Pipeline(stages=[models.assembler([f"x{i}" for i in range(15)]), models.sequence_learner(15, 20)])
-    return models.probability(learner.fit(models.balanced(rows, "project_key")).transform(rows), "p").select("project_key", "y", "p")
+    rows = features.split(rows.select("project_key", "y", *(F.col("x")[i].alias(c) for i, c in enumerate(STEPS_OF))), "project_key")
+    train = reread(models.balanced(rows.filter("split = 'train'"), "project_key"), "sequences")
+    learner = Pipeline(stages=[models.assembler(STEPS_OF), models.sequence_learner(len(STEPS_OF))])
+    return models.probability(learner.fit(train).transform(rows), "p").select("project_key", "split", "y", "p")
 
 
-def stacked(spark: SparkSession, d: str):
-    rows = learning_rows(spark, d).cache()
-    first = models.out_of_fold(rows, lambda: Pipeline(stages=[models.assembler(FEATURES), models.forest(10, 4)]), "p1", 3).drop("features")
-    both = models.out_of_fold(first, lambda: Pipeline(stages=[models.assembler(FEATURES), models.boosted(5, 3)]), "p2", 3).drop("features")
-    return both, Pipeline(stages=[models.assembler(["p1", "p2"]), models.stacker()]).fit(both)
+LEARNERS = {
+    "p1": lambda: Pipeline(stages=[models.assembler(FEATURES), models.forest(TREES)]),
+    "p2": lambda: Pipeline(stages=[models.assembler(FEATURES), models.boosted(ROUNDS)]),
+    "p3": lambda: Pipeline(stages=[models.assembler(STEPS_OF), models.sequence_learner(len(STEPS_OF))]),
+}
+PREPARE = {"p3": lambda rows: models.balanced(rows, "project_key")}
 
 
 @query()
 def i18_stacker(spark, d):
-    rows, meta = stacked(spark, d)
-    return models.probability(meta.transform(rows), "p").select("project_key", "y", "p")
+    rows, meta = models.stack(folded(learning_rows(spark, d), STACK_FOLDS), LEARNERS, k=STACK_FOLDS, prepare=PREPARE)
+    return models.probability(meta.transform(rows), "p").select("project_key", "y", "p1", "p2", "p3", "p")
 
 
 @query()
 def i19_score_open(spark, d):
+    """All three learners and the stacker come from the train side; the rows scored are those of the other side."""
     rows = learning_rows(spark, d)
-    _, meta = stacked(spark, d)
-    base = {name: Pipeline(stages=[models.assembler(FEATURES), learner]).fit(rows) for name, learner in (("p1", models.forest(10, 4)), ("p2", models.boosted(5, 3)))}
-    return models.score_open(rows, base, meta, tier, F.col("y") == 1).select("project_key", "p1", "p2", "prob", "tier", "excluded")
+    train = folded(rows.filter("split = 'train'"), STACK_FOLDS)
+    _, meta = models.stack(train, LEARNERS, k=STACK_FOLDS, prepare=PREPARE)
+    base = {name: make().fit(PREPARE.get(name, lambda x: x)(train)) for name, make in LEARNERS.items()}
+    return models.score_open(rows.filter("split = 'test'"), base, meta, tier, F.col("y") == 1).select("project_key", "p1", "p2", "p3", "prob", "tier", "excluded")
 
 
 @query(f"WITH {SCORED} SELECT project_key, coalesce(prob, ((order_id % 10) / 10.0 + (order_id % 7) / 10.0) / 2) AS p FROM scored")
@@ -194,23 +229,28 @@ def i21_linear_contributions(spark, d):
 @query()
 def i21_sampled_contributions(spark, d):
     """Contributions of every row, against 100 background rows as in the reference: the first by hash of the key."""
-    rows = learning_rows(spark, d)
+    rows = models.with_weights(learning_rows(spark, d))
     fitted = Pipeline(stages=[models.assembler(FEATURES[:4]), models.forest(5, 3)]).fit(rows)
     background = rows.orderBy(F.xxhash64("project_key"), "project_key").limit(100)
     return models.sampled_contributions(fitted, rows, background, FEATURES[:4], 2)
 
 
-@query()
+@query(f"WITH {VISITS} SELECT inspector, day, project_key, cluster, tier, prob FROM visits")
 def j1_visit_assignment(spark, d):
     return schedule(spark, d).select("inspector", "day", "project_key", "cluster", "tier", "prob")
 
 
-@query("SELECT 'once' AS rule, 'x' AS subject WHERE 1 = 0")
+@query(
+    f"""WITH {VISITS} SELECT 'once' AS rule, project_key AS subject FROM visits GROUP BY project_key HAVING count(*) > 1
+UNION ALL SELECT 'daily', inspector || '/' || day FROM visits GROUP BY inspector, day HAVING count(*) > 3
+UNION ALL SELECT 'weekly', inspector FROM visits GROUP BY inspector HAVING count(*) > 12
+UNION ALL SELECT 'one cluster', inspector || '/' || day FROM visits GROUP BY inspector, day HAVING count(DISTINCT cluster) > 1"""
+)
 def j2_constraint_audit(spark, d):
     return allocate.violations(schedule(spark, d))
 
 
-@query()
+@query(f"WITH {VISITS} SELECT sum(risk_weight) - 0.75 * count(DISTINCT inspector || '/' || cluster) AS objective FROM visits")
 def j3_objective(spark, d):
     return allocate.objective(schedule(spark, d))
 

@@ -2,8 +2,10 @@
 
 from datetime import date, datetime
 
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text
@@ -19,7 +21,7 @@ def one(spark, expr):
 
 @pytest.mark.parametrize(
     ("cell", "expected"),
-    [("44927", date(2023, 1, 1)), ("2016", None), ("44927.5", None), ("N/A", None), ("", None), ("May 2, 2023", date(2023, 5, 2)), ("3-29-2021", date(2021, 3, 29)), ("06/21/2023", date(2023, 6, 21)), ("01/01/1955", None), ("13/05/2023", date(2023, 5, 13))],
+    [("44927", date(2023, 1, 1)), ("2016", None), ("44927.5", None), ("N/A", None), ("", None), ("May 2, 2023", date(2023, 5, 2)), ("3-29-2021", date(2021, 3, 29)), ("06/21/2023", date(2023, 6, 21)), ("01/01/1955", None), ("13/05/2023", date(2023, 5, 13)), ("2016-05-01 00:00:00", date(2016, 5, 1)), ("2016-05-01T08:30:00", date(2016, 5, 1)), ("5/2/2023 10:30", date(2023, 5, 2)), ("2 May 2023", date(2023, 5, 2)), ("soon", None)],
 )
 def test_dates(spark, cell, expected):
     assert one(spark, clean.to_date(F.lit(cell))) == expected
@@ -278,3 +280,95 @@ def test_query_modules_import_alone():
 
     for part in ("target", "features", "modelling"):
         subprocess.run([sys.executable, "-c", f"from ledgerline.plans import {part}_queries"], check=True)
+
+
+def test_quartiles_are_exact_in_any_distribution(spark):
+    draw = np.random.default_rng(1)
+    values = {"spread": draw.normal(5, 3, 501), "narrow": 2 + draw.random(400) / 1000, "equal": np.full(50, 1.5), "two": np.array([1.0, 2.0]), "one": np.array([3.0])}
+    rows = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x] + [("null", None), (None, 1.0)], "k string, v double")
+    found = {r["k"]: (r["n"], r["q1"], r["q3"]) for r in features.quartiles(rows, "v", "k").collect()}
+    assert found.keys() == values.keys()
+    for k, x in values.items():
+        assert found[k] == pytest.approx((len(x), np.quantile(x, 0.25), np.quantile(x, 0.75)))
+
+
+def test_chained_imputation_by_hand(spark):
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(60, 3)) @ np.array([[1, 0.5, 0.2], [0, 1, 0.4], [0, 0, 1]]) + [10, -3, 100]
+    gone = draw.random(x.shape) < 0.25
+    full = np.where(gone, (x * ~gone).sum(0) / (~gone).sum(0), x)
+    for _ in range(4):
+        for j in range(3):
+            z = np.column_stack([np.ones(60), np.delete(full, j, 1)])
+            fit = np.linalg.lstsq(z[~gone[:, j]], x[~gone[:, j], j], rcond=None)[0]
+            full[gone[:, j], j] = (z @ fit)[gone[:, j]]
+    rows = [(i, *(None if g else float(v) for v, g in zip(x[i], gone[i], strict=True)), None, 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, empty double, overrun double")
+    out = features.impute(df, ["a", "b", "c", "empty", "overrun"], rounds=4).orderBy("id").toPandas()
+    assert out[["a_full", "b_full", "c_full"]].to_numpy() == pytest.approx(full)
+    assert out["empty_full"].isna().all() and "overrun_full" not in out
+
+
+def test_veto_takes_the_first_free_row_that_agrees(spark):
+    draw = np.random.default_rng(3)
+    side = lambda n: [(i, f"k{draw.integers(3)}", [None, "", "x", "y", "z"][draw.integers(5)]) for i in range(n)]
+    a, b = side(60), side(50)
+    free, expected = list(b), set()
+    for i, k, v in a:
+        hit = next((r for r in free if r[1] == k and (not v or not r[2] or v == r[2])), None)
+        if hit:
+            free.remove(hit)
+            expected.add((i, hit[0]))
+    frame = lambda rows: spark.createDataFrame(rows, "id long, k string, v string")
+    found = linkage.exact_links_with_veto(frame(a), frame(b), ["k"], "v").collect()
+    assert {(r["left_id"], r["right_id"]) for r in found} == expected
+
+
+def test_canonical_names_against_all_pairs(spark):
+    names, texts = ["San Jose", "San Juan", "Santa Ana", "Sta. Ana", "Lipa"], ["san jose", "SAN JOS", "Brgy San Juan", "santa anna", "lip", "", "Elsewhere", None]
+    df, known = spark.createDataFrame([(t,) for t in texts], "place string"), spark.createDataFrame([(n,) for n in names], "name string")
+    found = {r["place"]: r["place_canonical"] for r in linkage.canonical(df, "place", known, 80).collect()}
+    pairs = df.join(known, how="cross").select("place", "name", text.levenshtein_ratio(text.place_name("place"), text.place_name("name")).alias("s")).filter("s >= 80").collect()
+    for t in texts:
+        best = min(((-r["s"], r["name"]) for r in pairs if r["place"] == t), default=None)
+        assert found[t] == (best[1] if best else None if t is None else one(spark, text.title(F.lit(t))))
+
+
+def test_latest_score_of_all_batches(spark, tmp_path):
+    when = lambda day: datetime(2024, 1, day)
+    batch = lambda rows: spark.createDataFrame(rows, "project_key string, report_id long, observed_at timestamp, reason string, score double")
+    sink = stream.rescore_batch(str(tmp_path), lambda df: F.col("score"))
+    sink(batch([("a", 1, when(5), None, 0.1), ("b", 2, when(1), None, 0.2), ("b", 3, when(2), "bad", 0.9)]), 0)
+    for _ in range(2):
+        sink(batch([("a", 4, when(3), None, 0.8), ("b", 5, when(1), None, 0.95)]), 1)
+    found = stream.latest_scores(spark.read.parquet(str(tmp_path))).collect()
+    assert {(r["project_key"], r["report_id"], r["prob"], r["tier"]) for r in found} == {("a", 1, 0.1, "Low"), ("b", 5, 0.95, "Critical")}
+
+
+def test_text_terms_and_classifier(spark):
+    words = F.array(F.lit("ab"), F.lit("cde"))
+    assert one(spark, models.char_grams(words, 4)) == [" ab ", " cde"[0:4], "cde "]
+    assert one(spark, models.word_grams(F.array(F.lit("a"), F.lit("b"), F.lit("c")), 2)) == ["a b", "b c"]
+    rows = spark.createDataFrame([("road concreting of the street", 1), ("roads and street lights", 1), ("streets roadd", 1), ("", 1), ("purchase of chairs", 0), ("chairs chairs and tables", 0), ("purchased tablets", 0), (None, 0)], "text string, y int")
+    fitted = models.text_classifier(8).fit(models.with_weights(rows))
+    new = models.probability(fitted.transform(spark.createDataFrame([("street road",), ("purchase chairs",)], "text string")), "p").collect()
+    assert new[0]["p"] > 0.5 > new[1]["p"]
+
+
+def test_stack_of_three_learners(spark):
+    draw = np.random.default_rng(4)
+    rows = spark.createDataFrame([(f"k{i}", int(i % 3 == 0), float(i % 3 == 0) + float(draw.normal()) / 3) for i in range(90)], "project_key string, y int, f double")
+    folded = sinks.reread(models.with_weights(features.stratified_folds(rows, "y", "project_key", 3)), "t")
+    make = lambda learner: lambda: Pipeline(stages=[models.assembler(["f"]), learner()])
+    learners = {"p1": make(lambda: models.forest(3, 2)), "p2": make(lambda: models.boosted(2, 2)), "p3": make(lambda: models.sequence_learner(1, 20))}
+    out, meta = models.stack(folded, learners, 3, {"p3": lambda x: models.balanced(x, "project_key")})
+    scored = models.probability(meta.transform(out), "p").toPandas()
+    assert sorted(scored["project_key"]) == sorted(f"k{i}" for i in range(90))
+    assert ((scored["p"] > 0.5) == (scored["y"] == 1)).mean() > 0.8
+
+
+def test_feature_labels_and_matrix(spark):
+    cases = {"project_type_Infrastructure": "Project Type: Infrastructure", "Year": "Release Year", "days_to_horizon": "Days To Horizon", None: None}
+    found = spark.createDataFrame([(c,) for c in cases], "c string").select("c", features.label_of("c").alias("x")).collect()
+    assert {r["c"]: r["x"] for r in found} == cases
+    assert models.feature_matrix(spark.createDataFrame([("k", 2, None)], "k string, a int, b double"), "k", ["b", "none", "a"]).first()["x"] == [0.0, 0.0, 2.0]
