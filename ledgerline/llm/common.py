@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import re
 import struct
 import tempfile
@@ -107,25 +108,15 @@ def text_of(col: str = "text") -> Column:
 
 # ---------------------------------------------------------------- words as 64-bit hashes, without a Python object per word
 
-_rng = np.random.default_rng(20240607)
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE_LOWER[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _BASE modulo 2**64, and of its inverse."""
-    if not _powers or len(_powers["up"]) < n:
-        m = max(n, SLICE_BYTES + 1)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            x = np.full(m, base, np.uint64)
-            x[0] = 1
-            _powers[key] = np.multiply.accumulate(x)
-    return _powers["up"], _powers["down"]
+#: The first 0 to 8 bytes of eight.
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are handled one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -164,12 +155,45 @@ _ENDS = np.zeros(25, bool)
 _ENDS[[5 * a + b for a, b in ((1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (3, 1), (3, 2), (3, 3), (3, 4), (4, 3))]] = True
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position, as a little-endian number; behind the end are zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+
+
 def span_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A hash of each span of bytes; lower: A-Z count as a-z."""
-    up, down = _power(len(data) + 1)
-    total = np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[: len(data)])
-    h = total[end - 1] - np.where(first > 0, total[np.maximum(first - 1, 0)], np.uint64(0))
-    return mix(h * down[first] + (end - first).astype(np.uint64))
+    """A hash of each span of bytes; lower: A-Z count as a-z.
+
+    Eight bytes at a time go through mix, so that no form of the input makes spans collide but by chance; spans of
+    more than LONG bytes are hashed by blake2b."""
+    data = LOWER[data] if lower else data
+    view, size = eights(data), end - first
+    h = mix(size.astype(np.uint64) * np.uint64(_BASE))
+    on = np.arange(len(h))
+    for k in range(0, LONG, 8):
+        on = on[size[on] > k] if k else on
+        if not len(on):
+            break
+        part = view[first[on] + k] & _HEAD[np.minimum(size[on] - k, 8)]
+        h[on] = mix(h[on] ^ part)
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[first[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_spans(data: np.ndarray, first: np.ndarray, end: np.ndarray, first2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether spans of bytes are equal to other spans, byte by byte."""
+    view, size = eights(data), end - first
+    same = size == end2 - first2
+    on = np.flatnonzero(same & (first != first2))
+    for k in range(0, LONG, 8):
+        on = on[size[on] > k] if k else on
+        if not len(on):
+            break
+        same[on] &= ((view[first[on] + k] ^ view[first2[on] + k]) & _HEAD[np.minimum(size[on] - k, 8)]) == 0
+    for i in on[size[on] > LONG].tolist():
+        same[i] = data[first[i] : end[i]].tobytes() == data[first2[i] : end2[i]].tobytes()
+    return same
 
 
 def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False, stops: bool = False) -> tuple[np.ndarray, ...]:
@@ -197,30 +221,41 @@ def words_in(data: np.ndarray, offsets: np.ndarray, lower: bool = False, stops:
 
 
 class Known:
-    """Token ids of spans of bytes: each different span is encoded once and kept in a cache that is emptied when full."""
+    """Token ids of spans of bytes: each different span is encoded once and kept in a cache that is emptied when full.
+
+    The cache goes by bytes. Hashes only group the spans of a call, and a span that isn't what its group holds is told apart."""
 
     def __init__(self, encode, most: int = 150_000):
         self.encode, self.most, self.ids = encode, most, {}
 
     def __call__(self, data: np.ndarray, h: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all spans in turn, number of ids up to each span and in all). encode: list of strings -> id lists."""
+        if not len(h):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
         if len(self.ids) > self.most:
             self.ids.clear()
-        unique, at, back = np.unique(h, return_index=True, return_inverse=True)
-        keys, known = unique.tolist(), self.ids
+        begin = int(first.min())
+        data, first, end = data[begin : int(end.max())], first - begin, end - begin
+        _, at, back = np.unique(h, return_index=True, return_inverse=True)
+        odd = np.flatnonzero(~same_spans(data, first, end, first[at[back]], end[at[back]]))
+        if len(odd):
+            places: dict[bytes, int] = {}
+            back[odd] = [places.setdefault(data[first[i] : end[i]].tobytes(), len(at) + len(places)) for i in odd.tolist()]
+            _, once = np.unique(back[odd], return_index=True)
+            at = np.concatenate([at, odd[once]])
+        raw = data.tobytes()
+        keys, known = [raw[a:b] for a, b in zip(first[at].tolist(), end[at].tolist(), strict=True)], self.ids
         each = list(map(known.get, keys))
         if new := [i for i, x in enumerate(each) if x is None]:
-            lo, hi = first[at[new]], end[at[new]]
-            begin = int(lo.min())
-            raw = data[begin : int(hi.max())].tobytes()
-            spans = [raw[a:b].decode() for a, b in zip((lo - begin).tolist(), (hi - begin).tolist(), strict=True)]
-            for i, x in zip(new, self.encode(spans), strict=True):
-                known[keys[i]] = each[i] = struct.pack(f"<{len(x)}I", *x)
+            for i, x in zip(new, self.encode([keys[i].decode() for i in new]), strict=True):
+                each[i] = struct.pack(f"<{len(x)}I", *x)
+                if len(keys[i]) <= LONG:
+                    known[keys[i]] = each[i]
         lengths = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        flat, begin = np.frombuffer(b"".join(each), "<u4"), np.cumsum(lengths) - lengths
+        flat, begins = np.frombuffer(b"".join(each), "<u4"), np.cumsum(lengths) - lengths
         n = lengths[back]
         after = np.concatenate([[0], np.cumsum(n)])
-        return flat[np.repeat(begin[back] - after[:-1], n) + np.arange(after[-1])], after
+        return flat[np.repeat(begins[back] - after[:-1], n) + np.arange(after[-1])], after
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -229,10 +264,25 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
-        out = out * np.uint64(_BASE) + h[i : i + len(out)]
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(_BASE) + h[i : i + len(out)]
     return mix(out + np.uint64(n))
 
 
+def sequence_hashes(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each sequence of word hashes, from those of its first and its last power of two of words."""
+    out = np.zeros(len(first), np.uint64)
+    level, step = h, 1
+    while len(first):
+        on = (size >= step) & (size < 2 * step)
+        a, b = level[first[on]], level[first[on] + size[on] - step]
+        out[on] = mix(mix(a + size[on].astype(np.uint64)) * np.uint64(_BASE) + b)
+        if 2 * step > size.max():
+            break
+        level = mix(mix(level[:-step]) * np.uint64(_BASE) + level[step:])
+        step *= 2
+    return out.view(np.int64)
+
+
 def row_bounds(row: np.ndarray, n: int) -> np.ndarray:
     """Where each of n rows begins in an array sorted by row, and the end."""
     return np.searchsorted(row, np.arange(n + 1))

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Known, buffers, give_back, save, slices, text_of, words_in
+from .common import LOWER, Known, buffers, give_back, save, slices, text_of, words_in
 
 #: What one more piece costs, in tokens of padding.
 PIECE_COST = 12
@@ -82,9 +82,11 @@ class WordEncoder:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, where each row begins in them and the end)."""
-        plain = b"<|" not in data[offsets[0] : offsets[-1]].tobytes()  # special tokens are told apart by case
-        h, row, first, end = words_in(data, offsets, lower=plain, stops=plain)
-        ids, upto = self.known(data, h if plain else h ^ np.uint64(1), first, end)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        plain = b"<|" not in data.tobytes()  # special tokens are told apart by case
+        data = LOWER[data] if plain else data
+        h, row, first, end = words_in(data, offsets, stops=plain)
+        ids, upto = self.known(data, h, first, end)
         return ids, upto[np.searchsorted(row, np.arange(len(offsets)))]
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _power, buffers, discard, give_back, grams, mix, row_bounds, save, slices, small_side, text_of, words_in
+from .common import buffers, discard, give_back, grams, mix, row_bounds, save, sequence_hashes, slices, small_side, text_of, words_in
 
 #: The filter of repeated anchors has at most so many 64-bit words (128 MB); with more anchors more runs pass needlessly.
 FILTER_WORDS = 1 << 24
@@ -145,12 +145,6 @@ def runs_in(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return g[place[new]].view(np.int64), row[first], first - row_bounds(row, len(offsets) - 1)[row[first]], windows, first, h
 
 
-def sequence_hashes(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    up, down = _power(len(h) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
-    return mix((total[first + size] - total[first]) * down[first] + size.astype(np.uint64)).view(np.int64)
-
-
 def filter_bits(anchor: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Word of a Bloom filter for each anchor, and its four bits there."""
     a, bits = anchor.view(np.uint64), np.zeros(len(anchor), np.uint64)
