@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .infill import ORACLE_INFILL, op13_fill_in_middle
 from .jaccard import op10_ngram_jaccard_join
 from .licenses import ORACLE_LICENSES, op5_license_scan
+from .merkle import ORACLE_MERKLE, op12_merkle_manifest
 from .neighbours import op7_embedding_near_dedup
 from .oracles import REPEATS, SIMILAR, VECTORS
 from .packing import op1_harmonic_packing
@@ -27,6 +29,8 @@ QUERIES = {
         op8_exact_topk,
         op9_karmarkar_karp_sharding,
         op10_ngram_jaccard_join,
+        op12_merkle_manifest,
+        op13_fill_in_middle,
     )
 }
 ORACLES: dict[str, str] = {
@@ -36,4 +40,6 @@ ORACLES: dict[str, str] = {
     "op3_warc_archive": ORACLE_WARC,
     "op5_license_scan": ORACLE_LICENSES,
     "op8_exact_topk": ORACLE_TOPK,
+    "op12_merkle_manifest": ORACLE_MERKLE,
+    "op13_fill_in_middle": ORACLE_INFILL,
 }
