@@ -39,13 +39,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: lineage ends here and a lost executor costs no recomputation."""
+def save(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a written table: lineage ends here and a lost executor costs no recomputation. options: of the writer."""
     path, conf, limit = scratch(df.sparkSession, name), df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     before = conf.get(limit)
     conf.set(limit, BATCH_BYTES)
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         conf.set(limit, before)
     saved = df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bwt import op11_suffix_array_dedup
 from .infill import ORACLE_INFILL, op13_fill_in_middle
 from .jaccard import op10_ngram_jaccard_join
 from .licenses import ORACLE_LICENSES, op5_license_scan
@@ -29,6 +30,7 @@ QUERIES = {
         op8_exact_topk,
         op9_karmarkar_karp_sharding,
         op10_ngram_jaccard_join,
+        op11_suffix_array_dedup,
         op12_merkle_manifest,
         op13_fill_in_middle,
     )
