@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import FUZZY_CUTOFF, FUZZY_TOP, YEAR_TOLERANCE
-
-Score = Callable[[Column, Column], Column]
-
+from . import similarity
+from .similarity import LEVENSHTEIN, Similarity
 
 def exact_links(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One-to-one links of equal keys (none of them null), in id order: the nth left row with the nth right one."""
@@ -51,43 +50,15 @@ def residual(left: DataFrame, links: DataFrame) -> DataFrame:
     return left.join(links.select(F.col("left_id").alias("id")), "id", "left_anti")
 
 
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """200 * longest common subsequence / total length, by bit rows."""
-
-    def one(x: str, y: str) -> float:
-        if not x and not y:
-            return 100.0
-        places: dict[str, int] = {}
-        for i, ch in enumerate(x):
-            places[ch] = places.get(ch, 0) | 1 << i
-        full = (1 << len(x)) - 1
-        row = full
-        for ch in y:
-            hit = row & places.get(ch, 0)
-            row = ((row + hit) | (row - hit)) & full
-        return 200.0 * (len(x) - row.bit_count()) / (len(x) + len(y))
-
-    return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def indel(a: Column, b: Column) -> Column:
-    """The indel ratio as a vectorised function, for callers that need it in place of the Levenshtein ratio."""
-    return F.pandas_udf(indel_ratio, "double")(a, b)
-
-
-def scored_names(left: DataFrame, right: DataFrame, block: str, cutoff: float, score: Score = text.levenshtein_ratio) -> DataFrame:
+def scored_names(left: DataFrame, right: DataFrame, block: str, cutoff: float, score: Similarity = LEVENSHTEIN) -> DataFrame:
     """(block, left name, right name, score) of distinct sorted names of a block that reach the cutoff.
 
-    Names are scored once, not per row, and only where their lengths allow the cutoff."""
+    Names are scored once, not per row, and only where an index of their q-grams lets two of them meet."""
     names = lambda df, name: df.filter(F.col(block).isNotNull() & F.col("name").isNotNull()).select(block, text.token_sort_key("name").alias(name)).distinct()
-    a, b = names(left, "_left"), names(right, "_right")
-    least = cutoff / 100 if score is text.levenshtein_ratio else cutoff / (200 - cutoff)
-    shorter, longer = F.least(F.length("_left"), F.length("_right")), F.greatest(F.length("_left"), F.length("_right"))
-    pairs = a.join(b, block).filter(shorter >= longer * least - 1e-9)
-    return pairs.withColumn("score", score(F.col("_left"), F.col("_right"))).filter(F.col("score") >= cutoff - 1e-9)
+    return similarity.pairs(names(left, "_left"), names(right, "_right"), block, cutoff, score)
 
 
-def fuzzy_links(left: DataFrame, right: DataFrame, block: str, cutoff: float = FUZZY_CUTOFF, top: int = FUZZY_TOP, years: int = YEAR_TOLERANCE, veto: str | None = None, score: Score = text.levenshtein_ratio) -> DataFrame:
+def fuzzy_links(left: DataFrame, right: DataFrame, block: str, cutoff: float = FUZZY_CUTOFF, top: int = FUZZY_TOP, years: int = YEAR_TOLERANCE, veto: str | None = None, score: Similarity = LEVENSHTEIN) -> DataFrame:
     """For each left row the best right row of its block: the top five by score are taken first, then those outside
     the year tolerance or with another veto value go (an unknown value passes), then the first left links."""
     names = scored_names(left, right, block, cutoff, score)
@@ -103,12 +74,12 @@ def fuzzy_links(left: DataFrame, right: DataFrame, block: str, cutoff: float = F
     return found.select("left_id", "right_id", F.round("score", 6).alias("match_score"), F.lit("fuzzy").alias("match_method"), F.col(block).alias("block"), "year_left", "year_right")
 
 
-def canonical(df: DataFrame, column: str, names: DataFrame, cutoff: float, scope: str | None = None, score: Score = text.levenshtein_ratio) -> DataFrame:
+def canonical(df: DataFrame, column: str, names: DataFrame, cutoff: float, scope: str | None = None, score: Similarity = LEVENSHTEIN) -> DataFrame:
     """df with <column>_canonical: the nearest name of a reference list (in the same scope if given) from the cutoff on,
     else the title case of the text. Distinct texts are scored once, with names of a length that allows the cutoff, and
     joined back."""
     keys = [scope] if scope else []
-    least = cutoff / 100 if score is text.levenshtein_ratio else cutoff / (200 - cutoff)
+    least = score.ratio(cutoff)
     texts = df.filter(F.col(column).isNotNull()).select(column, *keys).distinct().withColumn("_text", text.place_name(column))
     size = F.length("_text")
     texts = texts.withColumn("_size", F.explode(F.sequence(F.ceil(size * least - 1e-9), F.floor(size / least + 1e-9))))
@@ -118,6 +89,23 @@ def canonical(df: DataFrame, column: str, names: DataFrame, cutoff: float, scope
     return df.join(best, [column, *keys], "left").withColumn(f"{column}_canonical", F.coalesce("_best", text.title(F.trim(column)))).drop("_best")
 
 
+#: What a place without a listed name resolves to.
+UNMAPPED = "Unmapped"
+
+
+def resolved(df: DataFrame, column: str, names: DataFrame, cutoff: float, score: Similarity = LEVENSHTEIN) -> DataFrame:
+    """df with <column>_resolved: a listed name for the last comma-separated part of a text, else for the whole of it, else Unmapped.
+
+    A part is only taken for a name of the list, never for its own title case; parts that are blank don't count as the last."""
+    parts = F.filter(F.transform(F.split(F.col(column), ","), F.trim), lambda x: x != "")
+    texts = df.select(column).distinct().filter(F.trim(column) != "")
+    asked = texts.select(column, F.posexplode(F.array(F.element_at(parts, -1), F.col(column))).alias("_turn", "_part")).filter(F.col("_part").isNotNull())
+    listed = names.select("name").distinct()
+    found = canonical(asked, "_part", listed, cutoff, score=score).join(listed.select(F.col("name").alias("_part_canonical")), "_part_canonical", "left_semi")
+    first = found.groupBy(column).agg(F.min_by("_part_canonical", "_turn").alias("_found"))
+    return df.join(first, column, "left").withColumn(f"{column}_resolved", F.coalesce("_found", F.lit(UNMAPPED))).drop("_found")
+
+
 def crosswalk(hub: DataFrame, liquidations: DataFrame, monitorings: DataFrame) -> DataFrame:
     """A row per hub row with its links; of several links of a row the first by right id."""
     first = lambda links, name: links.groupBy("left_id").agg(F.min_by(F.struct("right_id", "match_score", "match_method"), "right_id").alias("_x")).select(F.col("left_id").alias("id"), F.col("_x.right_id").alias(f"{name}_row_id"), F.col("_x.match_score").alias(f"{name}_score"), F.col("_x.match_method").alias(f"{name}_method"))

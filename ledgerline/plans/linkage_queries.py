@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import linkage
+from ..operators.similarity import INDEL
 from .register import query
 from .testbed import table
 
@@ -60,9 +61,15 @@ def c4_similarity(spark, d):
     return linkage.scored_names(*sides(spark, d), "brand", 70).select("brand", F.col("_left").alias("left_name"), F.col("_right").alias("right_name"), F.round("score", 6).alias("score"))
 
 
-@query()
+#: Longest common subsequence by bit rows, in names of at most 62 letters: a bit for each letter of the left name.
+COMMON = """len({0}) - bit_count(list_reduce(list_prepend((1::BIGINT << len({0})) - 1, list_transform(string_split({1}, ''), lambda c: CAST(list_sum(list_transform(range(0, len({0})),
+  lambda i: CASE WHEN substr({0}, CAST(i + 1 AS INTEGER), 1) = c THEN 1::BIGINT << i ELSE 0 END)) AS BIGINT))), lambda v, m: ((v + (v & m)) & ((1::BIGINT << len({0})) - 1)) | (v - (v & m))))"""
+
+
+@query(f"""WITH {SIDES}, n AS (SELECT DISTINCT a.brand, a.k AS l, b.k AS r FROM a JOIN b ON a.brand = b.brand), s AS (SELECT brand, l, r, 200.0 * ({COMMON.format('l', 'r')}) / (len(l) + len(r)) AS score FROM n)
+SELECT brand, l AS left_name, r AS right_name, round(score, 6) AS score FROM s WHERE score >= 70 - 1e-9""")
 def c4_indel_similarity(spark, d):
-    return linkage.scored_names(*sides(spark, d), "brand", 70, linkage.indel)
+    return linkage.scored_names(*sides(spark, d), "brand", 70, INDEL).select("brand", F.col("_left").alias("left_name"), F.col("_right").alias("right_name"), F.round("score", 6).alias("score"))
 
 
 @query("SELECT s_suppkey, n_name AS canonical FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -72,6 +79,15 @@ def c5_canonical_name(spark, d):
     return linkage.canonical(raw, "place", nation.select("name"), 95).select("s_suppkey", F.col("place_canonical").alias("canonical"))
 
 
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 3 THEN 'Unmapped' ELSE n_name END AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def c5_resolved_place(spark, d):
+    """Places written as address and name, as name alone, with a trailing comma, and as an address without a name."""
+    nation = table(spark, d, "nation").select(F.col("n_name").alias("name"), "n_nationkey")
+    ways = F.expr("case s_suppkey % 4 when 0 then concat(s_name, ', ', initcap(name)) when 1 then lower(name) when 2 then concat('Brgy. ', name, ', ,') else concat(s_name, ', Nowhere') end")
+    raw = table(spark, d, "supplier").join(nation, F.expr("s_nationkey = n_nationkey")).select("s_suppkey", ways.alias("place"))
+    return linkage.resolved(raw, "place", nation.select("name"), 95).select("s_suppkey", F.col("place_resolved").alias("place"))
+
+
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN n_name ELSE 'Nation_' || CAST(n_nationkey AS VARCHAR) END AS canonical FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def c6_scoped_canonical(spark, d):
     nation = table(spark, d, "nation").select(F.col("n_name").alias("name"), "n_nationkey", F.col("n_regionkey").alias("scope"))

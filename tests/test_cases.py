@@ -118,10 +118,6 @@ def test_fuzzy_link_falls_through_and_stops_at_five(spark):
     assert link(1) == [11] and link(5) == []
 
 
-def test_indel_ratio():
-    assert linkage.indel_ratio(pd.Series(["ab cd", "", "abc", None]), pd.Series(["ab cd", "", "xyz", "a"])).round(3).tolist()[:3] == [100.0, 100.0, 0.0]
-
-
 def test_small_stratum_has_no_outlier(spark):
     rows = [("a", float(i)) for i in range(8)] + [("a", 1e9)] + [("b", float(100 + i)) for i in range(11)] + [("b", 1e9)]
     got = features.outliers(spark.createDataFrame(rows, "k string, v double"), "v", "k").filter("outlier").collect()
