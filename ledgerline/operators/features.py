@@ -63,6 +63,27 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str], with_null: bool =
     return df.withColumns(made)
 
 
+def categories(df: DataFrame, columns: Sequence[str], least: int = 1) -> dict[str, list[str]]:
+    """The values of each column that at least `least` rows have, in order: one pass, counted before they come to the driver.
+
+    Meant for columns of few values, as each becomes a column."""
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns)))
+    counted = df.select(cells.alias("x")).select("x.*").filter("value is not null").groupBy("name", "value").count().filter(F.col("count") >= least)
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    for r in counted.orderBy("name", "value").collect():
+        out[r["name"]].append(r["value"])
+    return out
+
+
+def one_hot_frame(df: DataFrame, columns: Sequence[str], with_null: Sequence[str] = (), least: int = 1) -> tuple[DataFrame, list[str]]:
+    """df with 0/1 columns for the values that its columns have, and a null column for those in with_null; and their names."""
+    names = []
+    for c, values in categories(df, columns, least).items():
+        df = one_hot(df, c, values, c in with_null)
+        names += [f"{c}_{v}" for v in values] + [f"{c}_null"] * (c in with_null)
+    return df, names
+
+
 def impute(df: DataFrame, columns: Sequence[str], rounds: int = 15, barred: Sequence[str] = TARGET_COLUMNS) -> DataFrame:
     """df with <column>_full for each of the columns: missing values by chained regression on the other columns.
 
@@ -145,11 +166,19 @@ def clusters(df: DataFrame, table: DataFrame, key: str = "municipality") -> Data
     return df.join(table.withColumnRenamed("cluster", "_cluster"), key, "left").withColumn("cluster", F.coalesce("_cluster", F.lit(UNCLUSTERED))).drop("_cluster")
 
 
+def check_folds(df: DataFrame, label: str, k: int) -> None:
+    """An error if a class has fewer rows than folds, so that some fold would lack it."""
+    small = df.groupBy(label).agg(F.count("*").alias("n")).filter(F.col("n") < k).orderBy(label).collect()
+    if small:
+        raise ValueError(f"{k} folds need {k} rows of each class; too few: " + ", ".join(f"{r[label]} ({r['n']})" for r in small))
+
+
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5) -> DataFrame:
-    """Fold 0..k-1 of each row, dealt evenly in each class in MD5 order of its key.
+    """Fold 0..k-1 of each row, dealt evenly in each class in MD5 order of its key; classes smaller than k are refused.
 
     Rows are ranked inside MD5 lanes of their class, so a large class is spread; a lane's fold begins where the lane
     before it ended."""
+    check_folds(df, label, k)
     lane = bucket(key, 256)
     laned = df.withColumn("_lane", lane)
     sizes = laned.groupBy(label, "_lane").agg(F.count("*").alias("_c"))

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import CONFIDENCE
+from ..sources.sinks import reread
 
 
 def assembler(columns: Sequence[str]) -> VectorAssembler:
@@ -68,14 +74,18 @@ def probability(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
 
 
-def out_of_fold(df: DataFrame, make: Callable, name: str, k: int = 5, prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
-    """Prediction of each row by a model fitted on the other folds."""
-    out = None
-    for fold in range(k):
-        model = make().fit(prepare(df.filter(F.col("fold") != fold)))
-        part = probability(model.transform(df.filter(F.col("fold") == fold)), name)
-        out = part if out is None else out.unionByName(part)
-    return out
+def fit_all(jobs: Mapping[Any, Callable[[], Any]], parallelism: int = 4) -> dict[Any, Any]:
+    """Results of jobs that run side by side, as one fit seldom fills a cluster; the table that they read should be written."""
+    keys = list(jobs)
+    with ThreadPool(max(1, min(parallelism, len(keys)))) as pool:
+        done = pool.map(inheritable_thread_target(SparkSession.active())(lambda key: jobs[key]()), keys)
+    return dict(zip(keys, done, strict=True))
+
+
+def out_of_fold(df: DataFrame, make: Callable, name: str, k: int = 5, prepare: Callable[[DataFrame], DataFrame] = lambda x: x, parallelism: int = 4) -> DataFrame:
+    """Prediction of each row by a model fitted on the other folds. df is a written table with a column fold; fits run side by side."""
+    models = fit_all({fold: lambda fold=fold: make().fit(prepare(df.filter(F.col("fold") != fold))) for fold in range(k)}, parallelism)
+    return reduce(DataFrame.unionByName, (probability(models[fold].transform(df.filter(F.col("fold") == fold)), name) for fold in range(k)))
 
 
 def word_grams(words: Column, n: int) -> Column:
@@ -144,26 +154,59 @@ def fallback(p1: Column, p2: Column, p3: Column) -> Column:
     return F.coalesce(p3, (p1 + p2) / 2)
 
 
-def stack(df: DataFrame, learners: dict[str, Callable], k: int = 5, prepare: dict[str, Callable] | None = None) -> tuple[DataFrame, PipelineModel]:
+def predicted(df: DataFrame, base: Mapping[str, PipelineModel], optional: str | None = None, known: Column | None = None) -> DataFrame:
+    """Probabilities of all base models, a column each; that of the optional one is the mean of the others where it isn't known."""
+    for name, model in base.items():
+        df = probability(model.transform(df), name).drop("features")
+    if optional is not None:
+        others = [F.col(name) for name in base if name != optional]
+        df = df.withColumn(optional, F.when(known, F.col(optional)).otherwise(sum(others[1:], others[0]) / len(others)))
+    return df
+
+
+def stack(df: DataFrame, learners: dict[str, Callable], k: int = 5, prepare: dict[str, Callable] | None = None, optional: str | None = None, known: Column | None = None, parallelism: int = 4) -> tuple[DataFrame, PipelineModel]:
     """Out-of-fold probabilities of all base learners, a column each, and the stacker fitted on them.
 
-    df has y, weight and fold; it should be a written table, as each fold of each learner reads it. prepare gives a
-    learner's own handling of the rows it is fitted on."""
-    out = None
-    for fold in range(k):
-        rest, part = df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold)
-        for name, make in learners.items():
-            model = make().fit((prepare or {}).get(name, lambda x: x)(rest))
-            part = probability(model.transform(part), name).drop("features")
-        out = part if out is None else out.unionByName(part)
+    df has y, weight and fold; it is a written table, as each fold of each learner reads it, all side by side. prepare
+    gives a learner's own handling of the rows it is fitted on; for the optional learner and known see predicted."""
+    own = lambda name, rows: (prepare or {}).get(name, lambda x: x)(rows)
+    jobs = {(fold, name): lambda fold=fold, name=name: learners[name]().fit(own(name, df.filter(F.col("fold") != fold))) for fold in range(k) for name in learners}
+    fitted = fit_all(jobs, parallelism)
+    parts = (predicted(df.filter(F.col("fold") == fold), {name: fitted[fold, name] for name in learners}, optional, known) for fold in range(k))
+    out = reread(reduce(DataFrame.unionByName, parts), "out-of-fold")
     return out, Pipeline(stages=[assembler(list(learners)), stacker()]).fit(out)
 
 
-def score_open(df: DataFrame, models: dict[str, PipelineModel], meta: PipelineModel, tier: Callable[[str], Column], closed: Column) -> DataFrame:
+@dataclass
+class Stack:
+    """Base models by name, the stacker over them, and what their inputs need: columns, and the range of days of the train side."""
+
+    base: dict[str, PipelineModel]
+    meta: PipelineModel
+    low: float
+    high: float
+    optional: str = "p3"
+
+    def save(self, path: str) -> None:
+        for name, model in {**self.base, "meta": self.meta}.items():
+            model.write().overwrite().save(f"{path}/{name}")
+        spark = SparkSession.active()
+        spark.createDataFrame([(list(self.base), self.low, self.high, self.optional)], "base array<string>, low double, high double, optional string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, path: str) -> Stack:
+        about = SparkSession.active().read.parquet(f"{path}/about").first()
+        base = {name: PipelineModel.load(f"{path}/{name}") for name in about["base"]}
+        return cls(base, PipelineModel.load(f"{path}/meta"), about["low"], about["high"], about["optional"])
+
+    def score(self, df: DataFrame, known: Column) -> DataFrame:
+        """df with the base probabilities and prob; known: whether the optional learner's input is there."""
+        return probability(self.meta.transform(predicted(df, self.base, self.optional, known)), "prob").drop("features")
+
+
+def score_open(df: DataFrame, models: dict[str, PipelineModel], meta: PipelineModel, tier: Callable[[str], Column], closed: Column, optional: str | None = None, known: Column | None = None) -> DataFrame:
     """Probabilities of all base models, the stacked one, its tier, and a flag for closed rows."""
-    for name, model in models.items():
-        df = probability(model.transform(df), name).drop("features")
-    scored = probability(meta.transform(df), "prob").drop("features")
+    scored = probability(meta.transform(predicted(df, models, optional, known)), "prob").drop("features")
     return scored.withColumn("tier", tier("prob")).withColumn("excluded", closed)
 
 

@@ -6,42 +6,22 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import allocate, features, metrics, models
+from ..operators import allocate, contributions, features, metrics, models
 from ..operators.reports import tier
 from ..sources.sinks import reread
+from .projects import PREPARE, STACK_FOLDS, folded, has_steps, projects, trained
 from .register import query
 from .reports_queries import PLAN, TIER, plan
 from .target_queries import STEPS, labelled
 from .testbed import SCORED, known_clusters, scored, table
 
-FEATURES, STEPS_OF = [f"f{i}" for i in range(8)], [f"s{i}" for i in range(15)]
 PRED = f"""{SCORED}, pred AS (SELECT project_key, CAST(order_id % 2 AS INTEGER) AS y, prob AS p FROM scored WHERE prob IS NOT NULL)"""
 
 
-#: Sizes of the queries that fit each learner many times; the operators' defaults are 300 trees, 300 rounds and 5 folds.
-TREES, ROUNDS, STACK_FOLDS = 50, 20, 3
-
-
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).filter("prob is not null").select("project_key", F.expr("cast(order_id % 2 as int)").alias("y"), F.col("prob").alias("p"))
 
 
-def learning_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of the embedding table: components as features f0..f7 and steps s0..s14, label below 5 as class, and a side
-    by key: those of the test side stand for the open population."""
-    rows = table(spark, d, "embeddings").filter("embedding is not null")
-    parts = (F.get("embedding", i).cast("double").alias(c) for i, c in enumerate((*FEATURES, *STEPS_OF)))
-    known = rows.select(F.concat(F.lit("V_"), F.col("vec_id").cast("string")).alias("project_key"), F.expr("cast(label < 5 as int)").alias("y"), *parts)
-    return features.split(known.filter("y is not null"), "project_key")
-
-
-def folded(rows: DataFrame, k: int) -> DataFrame:
-    """Rows with folds and weights, written once, as every fit reads them."""
-    return reread(models.with_weights(features.stratified_folds(rows, "y", "project_key", k)), "learning")
-
-
-
-
 @query("SELECT c_custkey, CAST(0 AS DOUBLE) AS x0, coalesce(CAST(c_acctbal AS DOUBLE), 0) AS x1, CAST(length(c_name) AS DOUBLE) AS x2 FROM customer")
 def b13_feature_matrix(spark, d):
     """Numeric columns of customers but for keys, after one that they lack."""
@@ -157,16 +137,18 @@ def i12_gated_fallback(spark, d):
 
 @query()
 def i14_out_of_fold(spark, d):
-    make = lambda: Pipeline(stages=[models.assembler(FEATURES), models.forest(TREES)])
-    return models.out_of_fold(folded(learning_rows(spark, d), 5), make, "p", 5).select("project_key", "y", "fold", "p")
+    """Overrun of each resolved project, by a forest that was fitted on the four other folds."""
+    made = projects(spark, d)
+    return models.out_of_fold(folded(made.known(), 5), made.learners()["p1"], "p", 5).select("project_key", "y", "fold", "p")
 
 
 def held_out(spark: SparkSession, d: str, learner) -> DataFrame:
-    """Metrics on the test side of a learner fitted on the train side."""
-    rows = learning_rows(spark, d)
-    train = folded(rows.filter("split = 'train'"), 5)
-    fitted = Pipeline(stages=[models.assembler(FEATURES), learner]).fit(train)
-    return metrics.evaluate(models.probability(fitted.transform(rows.filter("split = 'test'")), "p"))
+    """Metrics on the test side of a learner fitted on the train side, and the share of the larger class there."""
+    made = projects(spark, d)
+    fitted = Pipeline(stages=[models.assembler(made.features), learner]).fit(folded(made.known().filter("split = 'train'"), 5))
+    test = made.known().filter("split = 'test'")
+    larger = test.agg(F.round(F.greatest(F.avg("y"), 1 - F.avg("y")), 4).alias("majority"))
+    return metrics.evaluate(models.probability(fitted.transform(test), "p")).crossJoin(larger)
 
 
 @query()
@@ -181,39 +163,28 @@ def i16_boosted_trees(spark, d):
 
 @query()
 def i17_sequence_learner(spark, d):
-    """Fitted on the train side, and applied to all sequences."""
-    from .features_queries import sequence_rows
-
-    steps = F.flatten(F.transform("steps", lambda s: F.array(s["event_type"].cast("double"), s["days"].cast("double"), s["amount"])))
-    rows = sequence_rows(spark, d).select("project_key", F.expr("cast(n_events >= 2 as int)").alias("y"), steps.alias("x"))
-    rows = features.split(rows.select("project_key", "y", *(F.col("x")[i].alias(c) for i, c in enumerate(STEPS_OF))), "project_key")
-    train = reread(models.balanced(rows.filter("split = 'train'"), "project_key"), "sequences")
-    learner = Pipeline(stages=[models.assembler(STEPS_OF), models.sequence_learner(len(STEPS_OF))])
-    return models.probability(learner.fit(train).transform(rows), "p").select("project_key", "split", "y", "p")
-
-
-LEARNERS = {
-    "p1": lambda: Pipeline(stages=[models.assembler(FEATURES), models.forest(TREES)]),
-    "p2": lambda: Pipeline(stages=[models.assembler(FEATURES), models.boosted(ROUNDS)]),
-    "p3": lambda: Pipeline(stages=[models.assembler(STEPS_OF), models.sequence_learner(len(STEPS_OF))]),
-}
-PREPARE = {"p3": lambda rows: models.balanced(rows, "project_key")}
+    """Overrun from the steps of a project and their mask: fitted on the train side, and applied to all resolved projects with steps."""
+    made = projects(spark, d)
+    rows = made.known().filter(has_steps())
+    train = reread(PREPARE["p3"](rows.filter("split = 'train'")), "sequences")
+    return models.probability(made.learners()["p3"]().fit(train).transform(rows), "p").select("project_key", "split", "y", "p")
 
 
 @query()
 def i18_stacker(spark, d):
-    rows, meta = models.stack(folded(learning_rows(spark, d), STACK_FOLDS), LEARNERS, k=STACK_FOLDS, prepare=PREPARE)
+    made = projects(spark, d)
+    rows, meta = models.stack(folded(made.known(), STACK_FOLDS), made.learners(), STACK_FOLDS, PREPARE, "p3", has_steps())
     return models.probability(meta.transform(rows), "p").select("project_key", "y", "p1", "p2", "p3", "p")
 
 
 @query()
 def i19_score_open(spark, d):
-    """All three learners and the stacker come from the train side; the rows scored are those of the other side."""
-    rows = learning_rows(spark, d)
-    train = folded(rows.filter("split = 'train'"), STACK_FOLDS)
-    _, meta = models.stack(train, LEARNERS, k=STACK_FOLDS, prepare=PREPARE)
-    base = {name: make().fit(PREPARE.get(name, lambda x: x)(train)) for name, make in LEARNERS.items()}
-    return models.score_open(rows.filter("split = 'test'"), base, meta, tier, F.col("y") == 1).select("project_key", "p1", "p2", "p3", "prob", "tier", "excluded")
+    """All three learners and the stacker come from the train side; the rows scored are the open projects."""
+    made = projects(spark, d)
+    stack = trained(made)
+    rows = made.rows.filter("y is null")
+    out = models.score_open(rows, stack.base, stack.meta, tier, F.col("status").contains("refund"), "p3", has_steps())
+    return out.select("project_key", "p1", "p2", "p3", "prob", "tier", "excluded")
 
 
 @query(f"WITH {SCORED} SELECT project_key, coalesce(prob, ((order_id % 10) / 10.0 + (order_id % 7) / 10.0) / 2) AS p FROM scored")
@@ -226,13 +197,27 @@ def i21_linear_contributions(spark, d):
     return models.linear_contributions(predictions(spark, d), {"p": 2.0, "y": -0.5}).select("project_key", "feature", F.round("contribution", 9).alias("contribution"))
 
 
+@query()
+def i21_tree_contributions(spark, d):
+    """Contributions of all features to the mean probability of both tree models, for every open project, against 100
+    projects of the train side, on which the models are fitted too."""
+    made = projects(spark, d)
+    train, learners = folded(made.known().filter("split = 'train'"), STACK_FOLDS), made.learners()
+    fitted = models.fit_all({name: lambda name=name: learners[name]().fit(train) for name in ("p1", "p2")})
+    return contributions.tree_contributions(list(fitted.values()), made.rows.filter("y is null"), train, made.features).select("project_key", "feature", "contribution")
+
+
 @query()
 def i21_sampled_contributions(spark, d):
-    """Contributions of every row, against 100 background rows as in the reference: the first by hash of the key."""
-    rows = models.with_weights(learning_rows(spark, d))
-    fitted = Pipeline(stages=[models.assembler(FEATURES[:4]), models.forest(5, 3)]).fit(rows)
+    """The estimate by sampled walks, which takes any model: a small forest on four components of the vectors, two
+    permutations, 100 background rows, the first by hash of the key. Tree models have exact ones, above."""
+    names = [f"f{i}" for i in range(4)]
+    parts = (F.get("embedding", i).cast("double").alias(c) for i, c in enumerate(names))
+    known = table(spark, d, "embeddings").filter("embedding is not null and label is not null")
+    rows = models.with_weights(known.select(F.concat(F.lit("V_"), F.col("vec_id").cast("string")).alias("project_key"), F.expr("cast(label < 5 as int)").alias("y"), *parts))
+    fitted = Pipeline(stages=[models.assembler(names), models.forest(5, 3)]).fit(rows)
     background = rows.orderBy(F.xxhash64("project_key"), "project_key").limit(100)
-    return models.sampled_contributions(fitted, rows, background, FEATURES[:4], 2)
+    return models.sampled_contributions(fitted, rows, background, names, 2)
 
 
 @query(f"WITH {VISITS} SELECT inspector, day, project_key, cluster, tier, prob FROM visits")

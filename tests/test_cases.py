@@ -205,32 +205,6 @@ def test_required_columns_and_import(spark, tmp_path):
     assert [tuple(r) for r in sinks.import_rows(rows, F.col("status")).collect()][0][:2] == ("P1", "a, b")
 
 
-def test_late_reports_come_through_once(spark, tmp_path):
-    path, seen = str(tmp_path / "in"), []
-    rows = [(1, "2026-06-01"), (2, None), (3, "2026-01-01"), (1, "2026-06-01"), (4, "2020-01-01"), (3, "2026-01-01")]
-    for i, day in rows:  # a file and a batch each
-        spark.createDataFrame([(i, "a", "On-going", 1.0, 1.0, datetime.fromisoformat(day) if day else None)], stream.SCHEMA).coalesce(1).write.mode("append").json(path)
-    sink = lambda batch, _: seen.extend(r.report_id for r in batch.collect())
-    unique = stream.once(stream.with_verdict(stream.report_stream(spark, path)))
-    unique.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(seen) == [1, 2, 3, 4]
-
-
-def test_stream_sequences_do_not_depend_on_batches(spark, tmp_path):
-    rows = [(i, f"p{i % 3}", datetime(2024, 1, 1 + i * 7 % 28), float(i)) for i in range(24)]
-    results = []
-    for parts in (1, 4):
-        path, out = tmp_path / f"in{parts}", tmp_path / f"out{parts}"
-        for k in range(parts):
-            spark.createDataFrame([(i, p, "On-going", 1.0, a, t) for i, p, t, a in rows if i % parts == k], stream.SCHEMA).coalesce(1).write.mode("append").json(str(path))
-        sink = lambda batch, n, out=out: batch.withColumn("batch", F.lit(n)).write.parquet(f"{out}/n={n}")
-        job = stream.visit_sequences(stream.report_stream(spark, str(path))).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / f"c{parts}")).foreachBatch(sink).trigger(availableNow=True).start()
-        job.awaitTermination()
-        last = spark.read.parquet(str(out)).groupBy("project_key").agg(F.max_by(F.struct("days", "amounts"), "batch").alias("x"))
-        results.append(sorted((r.project_key, str(r.x)) for r in last.collect()))
-    assert results[0] == results[1]
-
-
 def test_missing_score_is_an_error(spark):
     with pytest.raises(KeyError):
         stream.latest_score(spark.createDataFrame([("a", 1.0)], "project_key string, prob double"), "b")
@@ -330,17 +304,6 @@ def test_canonical_names_against_all_pairs(spark):
         assert found[t] == (best[1] if best else None if t is None else one(spark, text.title(F.lit(t))))
 
 
-def test_latest_score_of_all_batches(spark, tmp_path):
-    when = lambda day: datetime(2024, 1, day)
-    batch = lambda rows: spark.createDataFrame(rows, "project_key string, report_id long, observed_at timestamp, reason string, score double")
-    sink = stream.rescore_batch(str(tmp_path), lambda df: F.col("score"))
-    sink(batch([("a", 1, when(5), None, 0.1), ("b", 2, when(1), None, 0.2), ("b", 3, when(2), "bad", 0.9)]), 0)
-    for _ in range(2):
-        sink(batch([("a", 4, when(3), None, 0.8), ("b", 5, when(1), None, 0.95)]), 1)
-    found = stream.latest_scores(spark.read.parquet(str(tmp_path))).collect()
-    assert {(r["project_key"], r["report_id"], r["prob"], r["tier"]) for r in found} == {("a", 1, 0.1, "Low"), ("b", 5, 0.95, "Critical")}
-
-
 def test_text_terms_and_classifier(spark):
     words = F.array(F.lit("ab"), F.lit("cde"))
     assert one(spark, models.char_grams(words, 4)) == [" ab ", " cde"[0:4], "cde "]
