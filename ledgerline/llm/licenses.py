@@ -33,6 +33,18 @@ def _gnu(name: str, version: str) -> str:
     )
 
 
+_ADDRESS = "write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+
+
+def _gnu2(name: str, version: str, thing: str) -> str:
+    """The same notice as it was worded for the second versions."""
+    return (
+        f"This {thing} is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. "
+        f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. "
+        f"You should have received a copy of the {name} along with this {thing}; if not, {_ADDRESS}"
+    )
+
+
 #: Templates by licence: short forms, opening sentences, whole texts of licences of up to a page, and the notices by
 #: which files name the longer ones.
 NOTICES: dict[str, tuple[str, ...]] = {
@@ -49,14 +61,19 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", _gnu("GNU General Public License", "2")),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License.",
+        _gnu("GNU General Public License", "2"),
+        _gnu2("GNU General Public License", "2", "program"),
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         _gnu("GNU General Public License", "3"),
     ),
     "ISC": (_ISC_GRANT + _ISC_NOTICE, f"{_ISC_GRANT}{_ISC_NOTICE} {_ISC_REST}"),
-    "LGPL-2.1": (_gnu("GNU Lesser General Public License", "2.1"),),
+    "LGPL-2.1": (_gnu("GNU Lesser General Public License", "2.1"), _gnu2("GNU Lesser General Public License", "2.1", "library")),
     "LGPL-3.0": (_gnu("GNU Lesser General Public License", "3"),),
     "MIT": ("Released under the MIT License.", _MIT_GRANT, f"{_MIT_GRANT} {_MIT_REST}"),
     "MPL-2.0": (
@@ -113,7 +130,9 @@ def scan(df: DataFrame, notices: Mapping[str, tuple[str, ...]] = NOTICES, least:
     Text and templates are words of a-z and 0-9 in lower case, whatever stands between them, so a notice matches in
     one line, wrapped over lines, or amid other text. A template of L words is compared with each window of L words
     (fewer at the end of a text) that starts at one of its bigrams, and matches if twice the number of distinct
-    bigrams they share, over the sum of what each has, is at least `least`. Size bounds come first and lose nothing:
+    bigrams they share, over the sum of what each has, is at least `least`. Where the best windows of two licences overlap, only
+    the one that shares more bigrams counts (of ties the one with the higher coefficient), so versions that differ in a
+    word don't match each other, nor a licence one that begins like it. Size bounds come first and lose nothing:
     a text has one of the words that a match needs; it shares enough bigrams with the template; so does the window.
 
     Each row is scanned by itself, without a shuffle: rows that repeat an id or have none each get their own result.
@@ -129,11 +148,17 @@ def scan(df: DataFrame, notices: Mapping[str, tuple[str, ...]] = NOTICES, least:
     pairs = F.zip_with("own", F.slice("own", 2, F.greatest(F.size("own"), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
 
     def best_of(t: Column) -> Column:
-        """The best Dice coefficient of the template over its windows; null if no window shares enough bigrams."""
+        """(Dice coefficient, minus the first pair, bigrams shared) of the template's best window, the first of these; null if none shares enough bigrams."""
+
+        def of(at: Column) -> Column:
+            # bigrams of the template stand at these places, in order, so a window has enough if the need-th is inside
+            starts = F.filter(at, lambda i, k: F.coalesce(F.get(at, k + t["need"] - 1) < i + t["length"] - 1, F.lit(False)))
+            counted = F.transform(starts, lambda i: F.transform(F.array(F.array_distinct(F.slice("pairs", i + 1, t["length"] - 1))), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_intersect(w, t["theirs"])).alias("shared"), (-i).alias("back"))))
+            dice = lambda x: 2.0 * x["shared"] / (x["n"] + t["m"])
+            return F.array_max(F.transform(F.flatten(counted), lambda x: F.struct(dice(x).alias("dice"), x["back"].alias("back"), x["shared"].alias("shared"))))
+
         at = F.filter(F.transform("pairs", lambda p, i: F.when(F.array_contains(t["theirs"], p), i)), lambda i: i.isNotNull())
-        starts = F.filter(at, lambda i: F.size(F.filter(at, lambda j: (j >= i) & (j < i + t["length"] - 1))) >= t["need"])
-        dice = lambda w: 2.0 * F.size(F.array_intersect(w, t["theirs"])) / (F.size(w) + t["m"])
-        return F.array_max(F.transform(starts, lambda i: dice(F.array_distinct(F.slice("pairs", i + 1, t["length"] - 1)))))
+        return F.get(F.transform(F.array(at), of), 0)
 
     rows = df.select(F.col(id_col).alias("_id"), words.alias("words"))
     rows = rows.select("_id", F.when(F.arrays_overlap("words", all_words), own).alias("own"))
@@ -141,8 +166,11 @@ def scan(df: DataFrame, notices: Mapping[str, tuple[str, ...]] = NOTICES, least:
     rows = rows.select("_id", "pairs", F.array_intersect("pairs", all_pairs).alias("hits"))
     likely = F.when(F.size("hits") > 0, F.filter(each, lambda t: F.size(F.array_intersect("hits", t["theirs"])) >= t["need"]))
     rows = rows.select("_id", "pairs", likely.alias("likely"))
-    found = F.filter(F.transform("likely", lambda t: F.struct(t["name"].alias("name"), best_of(t).alias("dice"))), lambda x: x["dice"] >= least - 1e-9)
-    rows = rows.select("_id", F.when(F.size("likely") > 0, found).alias("found"))
+    scored = F.transform("likely", lambda t: F.struct(t["name"].alias("name"), t["length"].alias("length"), best_of(t).alias("best")))
+    scored = F.transform(scored, lambda x: F.struct(x["name"].alias("name"), x["best"]["dice"].alias("dice"), x["best"]["shared"].alias("shared"), (-x["best"]["back"]).alias("first"), (x["length"] - x["best"]["back"] - 1).alias("end")))
+    rows = rows.select("_id", F.when(F.size("likely") > 0, F.filter(scored, lambda x: x["dice"] >= least - 1e-9)).alias("every"))
+    better = lambda x, y: (y["name"] != x["name"]) & ((y["shared"] > x["shared"]) | (y["shared"] == x["shared"]) & (y["dice"] > x["dice"] + 1e-12)) & (y["first"] < x["end"]) & (x["first"] < y["end"])
+    rows = rows.select("_id", F.filter("every", lambda x: ~F.exists("every", lambda y: better(x, y))).alias("found"))
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["name"]))), ",")
     return rows.select(
         F.col("_id").alias(id_col),
@@ -180,10 +208,13 @@ WITH t(k, pair) AS (VALUES
   FROM s JOIN size ON size.k = s.k JOIN h ON h.uid = s.uid AND h.k = s.k AND h.pos BETWEEN s.pos AND s.pos + size.l - 2
   GROUP BY s.uid, s.k, s.pos, size.l, size.m, size.name, size.need HAVING count(DISTINCT h.pair) >= size.need
 ), d AS (
-  SELECT x.uid, x.k, x.name, 2.0 * x.x / (count(DISTINCT p.pair) + x.m) AS dice
+  SELECT x.uid, x.k, x.name, x.l, x.pos, x.x, 2.0 * x.x / (count(DISTINCT p.pair) + x.m) AS dice
   FROM x JOIN p ON p.uid = x.uid AND p.pos BETWEEN x.pos AND x.pos + x.l - 2
-  GROUP BY x.uid, x.k, x.name, x.pos, x.x, x.m
-), b AS (SELECT uid, k, name, max(dice) AS dice FROM d GROUP BY uid, k, name HAVING max(dice) >= {least} - 1e-9
+  GROUP BY x.uid, x.k, x.name, x.l, x.pos, x.x, x.m
+), e AS (
+  SELECT uid, k, name, l, max(dice) AS dice, min(pos) FILTER (WHERE top) AS pos, arg_min(x, pos) FILTER (WHERE top) AS x FROM (SELECT *, dice = max(dice) OVER (PARTITION BY uid, k) AS top FROM d) GROUP BY uid, k, name, l HAVING max(dice) >= {least} - 1e-9
+), b AS (
+  SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.uid = e.uid AND o.name <> e.name AND (o.x > e.x OR o.x = e.x AND o.dice > e.dice + 1e-12) AND o.pos < e.pos + e.l - 1 AND e.pos < o.pos + o.l - 1)
 ), f AS (SELECT uid, count(*) AS n_matches, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, round(max(dice), 6) AS best_dice FROM b GROUP BY uid)
 SELECT u.doc_id, coalesce(f.n_matches, 0) AS n_matches, coalesce(f.licenses, '') AS licenses, f.best_dice
 FROM u LEFT JOIN f ON f.uid = u.uid
