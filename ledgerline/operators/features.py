@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import LABEL_PREFIXES, LABELS, OUTLIER_LEAST_ROWS, WET_MONTHS
-from ..sources.sinks import reread
 
 #: Columns made from the target; they never take part in imputation.
 TARGET_COLUMNS = ("overrun", "overrun_pct", "actual_days", "standard_days")
@@ -26,23 +25,28 @@ def date_features(df: DataFrame, column: str, horizon: str) -> DataFrame:
     return df.withColumns({"month": F.month(c), "quarter": F.quarter(c), "days_to_horizon": F.datediff(F.lit(horizon).cast("date"), c.cast("date")), "wet_season": F.when(c.isNotNull(), F.month(c).isin(*WET_MONTHS).cast("int"))})
 
 
-def quartiles(df: DataFrame, value: str, stratum: str) -> DataFrame:
-    """Exact (stratum, n, q1, q3) of a column by linear interpolation, for strata of any size.
+def quantiles(df: DataFrame, value: str, stratum: str, shares: Sequence[float], per_unit: int = RANGES) -> DataFrame:
+    """Exact (stratum, n, q0, q1, ...) of a column by linear interpolation, for strata of any size.
 
-    Values are counted first; counts by ranges tell which ranges hold the wanted ranks, and only values of these are put
-    in order, range by range. So no stratum is sorted or held as a whole."""
-    by_value = df.filter(F.col(value).isNotNull() & F.col(stratum).isNotNull()).groupBy(stratum, F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("range", F.floor(F.col("v") * RANGES))
+    Values are counted first; counts by ranges, `per_unit` to a unit of value, tell which ranges hold the wanted ranks, and
+    only values of these are put in order, range by range. So no stratum is sorted or held as a whole."""
+    by_value = df.filter(F.col(value).isNotNull() & F.col(stratum).isNotNull()).groupBy(stratum, F.col(value).alias("v")).agg(F.count("*").alias("c")).withColumn("range", F.floor(F.col("v") * per_unit))
     in_order = Window.partitionBy(stratum).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     ranges = by_value.groupBy(stratum, "range").agg(F.sum("c").alias("c")).withColumns({"upto": F.sum("c").over(in_order), "n": F.sum("c").over(Window.partitionBy(stratum))})
-    place = {q: q * (F.col("n") - 1) for q in (0.25, 0.75)}
-    ranks = [f(p) for p in place.values() for f in (F.floor, F.ceil)]
+    place = [q * (F.col("n") - 1) for q in shares]
+    ranks = [f(p) for p in place for f in (F.floor, F.ceil)]
     held = F.exists(F.array(*ranks), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c")))
     wanted = ranges.filter(held).select(stratum, "range", "n", (F.col("upto") - F.col("c")).alias("before"))
     inside = Window.partitionBy(stratum, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     near = by_value.join(wanted, [stratum, "range"]).withColumn("upto", F.col("before") + F.sum("c").over(inside))
     at = near.groupBy(stratum).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") > r, F.col("v"))).alias(f"v{i}") for i, r in enumerate(ranks)))
     between = lambda low, high, p: F.col(low) + (F.col(high) - F.col(low)) * (p - F.floor(p))
-    return at.select(stratum, "n", between("v0", "v1", place[0.25]).alias("q1"), between("v2", "v3", place[0.75]).alias("q3"))
+    return at.select(stratum, "n", *(between(f"v{2 * i}", f"v{2 * i + 1}", p).alias(f"q{i}") for i, p in enumerate(place)))
+
+
+def quartiles(df: DataFrame, value: str, stratum: str) -> DataFrame:
+    """Exact (stratum, n, q1, q3)."""
+    return quantiles(df, value, stratum, (0.25, 0.75)).select(stratum, "n", F.col("q0").alias("q1"), F.col("q1").alias("q3"))
 
 
 def outliers(df: DataFrame, amount: str, stratum: str, least: int = OUTLIER_LEAST_ROWS) -> DataFrame:
@@ -84,36 +88,83 @@ def one_hot_frame(df: DataFrame, columns: Sequence[str], with_null: Sequence[str
     return df, names
 
 
-def impute(df: DataFrame, columns: Sequence[str], rounds: int = 15, barred: Sequence[str] = TARGET_COLUMNS) -> DataFrame:
+def least_squares(moments: np.ndarray, y: int) -> np.ndarray:
+    """Intercept and coefficients of a column on all others, from the sums of products of (1, columns); 0 for the column itself."""
+    others = [i for i in range(len(moments)) if i != y + 1]
+    out = np.zeros(len(moments))
+    out[others] = np.linalg.lstsq(moments[np.ix_(others, others)], moments[others, y + 1], rcond=None)[0]
+    return out
+
+
+def bayesian_ridge(moments: np.ndarray, y: int, most: int = 300, tolerance: float = 1e-3, prior: float = 1e-6) -> np.ndarray:
+    """As least_squares, with coefficients shrunk by a precision that is set from the data itself: precisions of the noise
+    and of the coefficients are iterated to the highest evidence."""
+    others = np.array([i for i in range(1, len(moments)) if i != y + 1])
+    n = moments[0, 0]
+    mean = moments[0] / n
+    centred = moments - np.outer(mean, mean) * n
+    gram, cross, total = centred[np.ix_(others, others)], centred[others, y + 1], max(centred[y + 1, y + 1], 0.0)
+    values, vectors = np.linalg.eigh(gram)
+    values = np.maximum(values, 0.0)
+    turned = vectors.T @ cross
+    noise, own, last = 1.0 / (total / n + np.finfo(float).eps), 1.0, None
+    for _ in range(most):
+        w = vectors @ (turned / (values + own / noise))
+        rest = max(total - 2 * w @ cross + w @ gram @ w, 0.0)
+        gamma = (noise * values / (own + noise * values)).sum()
+        own = (gamma + 2 * prior) / (w @ w + 2 * prior)
+        noise = (n - gamma + 2 * prior) / (rest + 2 * prior)
+        if last is not None and np.abs(last - w).sum() < tolerance:
+            break
+        last = w
+    w = vectors @ (turned / (values + own / noise))
+    out = np.zeros(len(moments))
+    out[others] = w
+    out[0] = mean[y + 1] - w @ mean[others]
+    return out
+
+
+def impute(df: DataFrame, columns: Sequence[str], rounds: int = 15, barred: Sequence[str] = TARGET_COLUMNS, fit: Callable[[np.ndarray, int], np.ndarray] = bayesian_ridge) -> DataFrame:
     """df with <column>_full for each of the columns: missing values by chained regression on the other columns.
 
-    Means stand in at first. In each round each column in turn is fitted by least squares on all others, where it is
-    known, and its missing values are set from the fit. Columns made from the target are barred, even if asked for, and
-    columns without any value stay null. A fit is one aggregate of sums of products; only these few numbers come to the
-    driver. A round's values are staged, so the plan does not grow."""
+    Means stand in at first. In each round each column in turn is fitted on all others, where it is known, and its missing
+    values are set from the fit. Columns made from the target are barred, even if asked for, and columns without any
+    value stay null.
+
+    What a row's missing values are set to is linear in its known ones, in every round, by a map that rows with the same
+    missing columns share. So sums of products by pattern of missing columns are all that the rounds need: two aggregates
+    in all, whatever the number of rounds and columns, and one join with the maps."""
     asked = [c for c in columns if c not in barred]
     mean = df.agg(*(F.avg(c).alias(c) for c in asked)).first().asDict() if asked else {}
     known = [c for c in asked if mean[c] is not None]
-    out = df.withColumns({f"{c}_full": F.coalesce(F.col(c).cast("double"), F.lit(mean[c])) for c in asked})
     if len(known) < 2:
-        return out
+        return df.withColumns({f"{c}_full": F.coalesce(F.col(c).cast("double"), F.lit(mean[c])) for c in asked})
+    k = len(known)
+    z = [F.lit(1.0), *(F.coalesce(F.col(c).cast("double") - F.lit(float(mean[c])), F.lit(0.0)) for c in known)]
+    pattern = F.concat(*(F.when(F.col(c).isNull(), "1").otherwise("0") for c in known))
+    pairs = [(i, j) for i in range(k + 1) for j in range(i + 1)]
+    sums = df.groupBy(pattern.alias("pattern")).agg(*(F.sum(z[i] * z[j]).alias(f"s{i}_{j}") for i, j in pairs)).collect()  # a row for each pattern of missing columns
+    moments, maps = {}, {}
+    for r in sums:
+        m = np.zeros((k + 1, k + 1))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"s{i}_{j}"]
+        moments[r["pattern"]] = m
+        maps[r["pattern"]] = np.eye(k + 1) * np.array([1.0, *(x == "0" for x in r["pattern"])])  # full row from (1, known values)
     for _ in range(rounds):
-        for c in known:
-            others = [x for x in known if x != c]
-            z = [F.lit(1.0), *(F.col(f"{x}_full") - F.lit(mean[x]) for x in others)]
-            y = F.col(c) - F.lit(mean[c])
-            pairs = [(i, j) for i in range(len(z)) for j in range(i + 1)]
-            sums = out.filter(F.col(c).isNotNull()).agg(*(F.sum(z[i] * z[j]) for i, j in pairs), *(F.sum(x * y) for x in z)).first()
-            gram = np.zeros((len(z), len(z)))
-            for (i, j), v in zip(pairs, sums[: len(pairs)], strict=True):
-                gram[i, j] = gram[j, i] = v
-            fit = np.linalg.lstsq(gram, np.array(sums[len(pairs) :], dtype=float), rcond=None)[0]
-            guess = F.lit(mean[c])
-            for w, x in zip(fit, z, strict=True):
-                guess = guess + F.lit(float(w)) * x
-            out = out.withColumn(f"{c}_full", F.coalesce(F.col(c).cast("double"), guess))
-        out = reread(out, "imputed")
-    return out
+        for c in range(k):
+            total = sum(maps[p] @ moments[p] @ maps[p].T for p in maps if p[c] == "0")
+            line = fit(total, c)
+            for p in maps:
+                if p[c] == "1":
+                    maps[p][c + 1] = line @ maps[p]
+    rows = [(p, [[float(x) for x in maps[p][c + 1]] for c in range(k)]) for p in maps]
+    table = df.sparkSession.createDataFrame(rows, "_pattern string, _maps array<array<double>>")
+    out = df.withColumn("_pattern", pattern).join(F.broadcast(table), "_pattern")
+    full = lambda c: sum((F.col("_maps")[c][i] * x for i, x in enumerate(z)), F.lit(float(mean[known[c]])))
+    made = {f"{name}_full": F.coalesce(F.col(name).cast("double"), full(c)) for c, name in enumerate(known)}
+    made |= {f"{c}_full": F.lit(None).cast("double") for c in asked if c not in known}
+    return out.withColumns(made).select(*df.columns, *(f"{c}_full" for c in asked))
 
 
 def bucket(key: Column | str, n: int = 100) -> Column:

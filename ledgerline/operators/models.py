@@ -8,15 +8,15 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
-import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..schema import CONFIDENCE
 from ..sources.sinks import reread
@@ -114,22 +114,38 @@ class Terms(Transformer):
         return df.withColumns({"w": F.concat(*runs), "c": F.concat(*chars)}).drop("_w", "_c")
 
 
+#: What a sparse vector is made of.
+PARTS = "v struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+
+
+def parts_of(vector: Column) -> Column:
+    """A vector as a struct of its parts, without a Python worker: vectors have no casts, but go through JSON as what they are."""
+    return F.from_json(F.to_json(F.struct(vector.alias("v"))), PARTS)["v"]
+
+
+def vector_of(size: Column, indices: Column, values: Column) -> Column:
+    """A sparse vector of its parts."""
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), size.alias("size"), indices.alias("indices"), values.alias("values"))
+    return F.from_json(F.to_json(F.struct(parts.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
+
+
 class Damped(Transformer):
     """<name>_f: (1 + log count) * (1 + inverse document frequency) of the counts <name>_n and their product <name>_i, made
-    to unit length."""
+    to unit length. All in the JVM."""
 
     def __init__(self, name: str = "w") -> None:
         super().__init__()
         self.name = name
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        @F.udf(VectorUDT(), useArrow=True)
-        def damped(counts, scaled):
-            values = (1 + np.log(counts.values)) * (1 + scaled.values / counts.values)
-            return Vectors.sparse(counts.size, counts.indices, values / (np.linalg.norm(values) or 1.0))
-
+        made = df.withColumns({"_counts": parts_of(F.col(f"{self.name}_n")), "_scaled": parts_of(F.col(f"{self.name}_i"))})
+        weights = F.zip_with("_counts.values", "_scaled.values", lambda n, x: (1 + F.log(n)) * (1 + x / n))
+        made = made.withColumn("_weights", weights)
+        made = made.withColumn("_norm", F.sqrt(F.aggregate("_weights", F.lit(0.0), lambda s, w: s + w * w)))
+        unit = F.transform("_weights", lambda w: F.when(F.col("_norm") > 0, w / F.col("_norm")).otherwise(w))
+        vector = vector_of(F.col("_counts.size"), F.col("_counts.indices"), unit)
         size = df.schema[f"{self.name}_n"].metadata
-        return df.withColumn(f"{self.name}_f", damped(f"{self.name}_n", f"{self.name}_i").alias(f"{self.name}_f", metadata=size))
+        return made.withColumn(f"{self.name}_f", vector.alias(f"{self.name}_f", metadata=size)).drop("_counts", "_scaled", "_weights", "_norm")
 
 
 def text_classifier(n: int, words: int = 2, chars: tuple[int, int] = (2, 4), strength: float = 2.0) -> Pipeline:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import COMPLETED_WORDS, EXTENSION_WORDS, STANDARD_DAYS
 from ..sources.sinks import reread
+from .features import quantiles
 
 DAY = 86_400
 
@@ -57,14 +58,11 @@ def with_proxy(df: DataFrame, links: DataFrame, key: str = "order_id") -> DataFr
 def lag_median(df: DataFrame) -> DataFrame:
     """One row: median of proxy minus direct in days over rows with both, and their number; 0 and 0 when none.
 
-    Lags are counted by value first, so what is sorted is the few different lags; df is read once."""
+    Lags are counted by value and by day first, and only those of the middle day or two are put in order."""
     lag = (F.unix_timestamp("proxy") - F.unix_timestamp("direct")) / DAY
-    by_value = df.filter("direct is not null and proxy is not null").groupBy(lag.alias("lag")).agg(F.count("*").alias("c"))
-    in_order = Window.orderBy("lag")
-    upto = by_value.withColumns({"upto": F.sum("c").over(in_order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("lag")))
-    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
-    return upto.agg(F.coalesce(middle, F.lit(0.0)).alias("lag_days"), F.coalesce(F.max("n"), F.lit(0)).alias("lag_n"))
+    lags = df.filter("direct is not null and proxy is not null").select(lag.alias("lag"), F.lit(0).alias("all"))
+    middle = quantiles(lags, "lag", "all", (0.5,), per_unit=1)
+    return middle.agg(F.coalesce(F.max("q0"), F.lit(0.0)).alias("lag_days"), F.coalesce(F.max("n"), F.lit(0)).alias("lag_n"))
 
 
 def with_corrected(df: DataFrame, lag: DataFrame) -> DataFrame:

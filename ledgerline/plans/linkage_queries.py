@@ -45,7 +45,19 @@ def c1_exact_link(spark, d):
     return linkage.exact_links(*sides(spark, d), ["name", "brand"]).select("left_id", "right_id")
 
 
-@query()
+PLACE = "CASE WHEN p_partkey % 3 <> 0 THEN CAST(p_partkey % 4 // 2 AS VARCHAR) END"
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, {PLACE} AS v, row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 2 = 0
+), r AS (SELECT p_name AS name, p_brand AS brand, list({{'id': p_partkey, 'v': {PLACE}}} ORDER BY p_partkey) AS free FROM part WHERE p_partkey % 2 = 1 GROUP BY p_name, p_brand
+), t AS (
+  SELECT name, brand, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS left_id, CAST(NULL AS BIGINT) AS right_id, free FROM r
+  UNION ALL
+  SELECT t.name, t.brand, l.n, l.id, hit.id, CASE WHEN hit IS NULL THEN free ELSE list_filter(free, lambda x: x.id <> hit.id) END
+  FROM t JOIN l ON t.name = l.name AND t.brand = l.brand AND l.n = t.n + 1, LATERAL (SELECT list_filter(t.free, lambda x: l.v IS NULL OR x.v IS NULL OR x.v = l.v)[1] AS hit) h
+) SELECT left_id, right_id, 100.0 AS match_score, 'exact' AS match_method FROM t WHERE right_id IS NOT NULL"""
+)
 def c2_exact_link_veto(spark, d):
     a, b = (x.withColumn("place", F.when(F.expr("id % 3 <> 0"), F.expr("cast(id % 4 div 2 as string)"))) for x in sides(spark, d))
     return linkage.exact_links_with_veto(a, b, ["name", "brand"], "place")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, publish
 from ..sources import readers, sinks
+from ..sources.bucketed import BucketTable
 from .register import query
 from .reports_queries import PLAN, REPORTS, TIER, feed, named, plan
 from .testbed import SCORED, scored, table
@@ -62,12 +63,15 @@ def _old_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE 'old' END AS origin, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0")
 def k2_upsert(spark, d):
-    return sinks.upsert(*_old_new(spark, d), "o_orderkey", ["origin"])
+    """Old rows as a table in buckets, which the new ones change in place."""
+    old, new = _old_new(spark, d)
+    return BucketTable.create(old, staged(spark, "published"), "o_orderkey", 16).upsert(new, ["origin"]).read()
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey % 6 IN (2, 4)")
 def k3_delete_stale(spark, d):
-    return sinks.keep_batch_keys(*_old_new(spark, d), "o_orderkey").select("o_orderkey")
+    old, new = _old_new(spark, d)
+    return BucketTable.create(old, staged(spark, "published"), "o_orderkey", 16).keep_only(new).read().select("o_orderkey")
 
 
 @query(
@@ -76,10 +80,10 @@ def k3_delete_stale(spark, d):
 SELECT strftime(week_of, '%Y-%m-%d') AS week_of, count(*) AS n FROM now GROUP BY week_of"""
 )
 def k4_replace_week(spark, d):
-    rows, path = plan(spark, d), staged(spark, "schedule")
-    sinks.replace_weeks(rows, path)
-    sinks.replace_weeks(rows.filter("week_of = date'1997-05-26' and day = 'Monday'"), path)
-    return spark.read.parquet(path).groupBy(F.col("week_of").cast("string").alias("week_of")).agg(F.count("*").alias("n"))
+    rows = plan(spark, d)
+    made = BucketTable.create(rows, staged(spark, "schedule"), "project_key", 16)
+    now = made.replace_where("week_of", rows.filter("week_of = date'1997-05-26' and day = 'Monday'"))
+    return now.read().groupBy(F.col("week_of").cast("string").alias("week_of")).agg(F.count("*").alias("n"))
 
 
 @query(

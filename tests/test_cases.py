@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import IDF, CountVectorizer
 from pyspark.sql import functions as F
 
 from ledgerline.functions import text
@@ -274,11 +275,76 @@ def test_chained_imputation_by_hand(spark):
             full[gone[:, j], j] = (z @ fit)[gone[:, j]]
     rows = [(i, *(None if g else float(v) for v, g in zip(x[i], gone[i], strict=True)), None, 1.0) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, a double, b double, c double, empty double, overrun double")
-    out = features.impute(df, ["a", "b", "c", "empty", "overrun"], rounds=4).orderBy("id").toPandas()
+    out = features.impute(df, ["a", "b", "c", "empty", "overrun"], rounds=4, fit=features.least_squares).orderBy("id").toPandas()
     assert out[["a_full", "b_full", "c_full"]].to_numpy() == pytest.approx(full)
     assert out["empty_full"].isna().all() and "overrun_full" not in out
 
 
+def evidence_ridge(x, y):
+    """Bayesian ridge regression row by row: intercept and coefficients."""
+    xm, ym = x.mean(0), y.mean()
+    x, y = x - xm, y - ym
+    noise, own, last = 1 / (y.var() + np.finfo(float).eps), 1.0, None
+    for _ in range(300):
+        w = np.linalg.solve(x.T @ x + own / noise * np.eye(x.shape[1]), x.T @ y)
+        used = np.trace(np.linalg.solve(x.T @ x + own / noise * np.eye(x.shape[1]), x.T @ x))
+        own, noise = (used + 2e-6) / (w @ w + 2e-6), (len(y) - used + 2e-6) / (((y - x @ w) ** 2).sum() + 2e-6)
+        if last is not None and np.abs(last - w).sum() < 1e-3:
+            break
+        last = w
+    w = np.linalg.solve(x.T @ x + own / noise * np.eye(x.shape[1]), x.T @ y)
+    return ym - xm @ w, w
+
+
+def test_bayesian_imputation_by_rows_and_with_two_jobs(spark):
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(80, 4)) @ draw.normal(size=(4, 4)) + [1000, 0, -50, 3]
+    gone = draw.random(x.shape) < 0.2
+    full = np.where(gone, (x * ~gone).sum(0) / (~gone).sum(0), x)
+    for _ in range(15):
+        for j in range(4):
+            z = np.delete(full, j, 1)
+            at, w = evidence_ridge(z[~gone[:, j]], x[~gone[:, j], j])
+            full[gone[:, j], j] = (at + z @ w)[gone[:, j]]
+    rows = [(i, *(None if g else float(v) for v, g in zip(x[i], gone[i], strict=True))) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double").cache()
+    df.count()
+    done = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("impute"))
+    jobs = []
+    for rounds in (1, 15):
+        before = done()
+        spark.sparkContext.setJobGroup("impute", "")
+        out = features.impute(df, list("abcd"), rounds=rounds)
+        jobs.append(done() - before)
+    spark.sparkContext.setJobGroup("rest", "")
+    assert jobs[0] == jobs[1]
+    got = out.orderBy("id").select(*(f"{c}_full" for c in "abcd")).toPandas().to_numpy()
+    assert got == pytest.approx(full, rel=1e-6) and (got[~gone] == x[~gone]).all()
+
+
+def test_damped_counts_stay_in_the_jvm(spark):
+    rows = spark.createDataFrame([("road road bridge", 1.0), ("road canal", 1.0), ("", 1.0), (None, 0.0)], "text string, y double")
+    terms = models.Terms().transform(rows)
+    counts = CountVectorizer(inputCol="w", outputCol="w_n").fit(terms)
+    counted = counts.transform(terms)
+    made = models.Damped("w").transform(IDF(inputCol="w_n", outputCol="w_i").fit(counted).transform(counted))
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    got = [dict(zip((counts.vocabulary[i] for i in v.indices), v.values, strict=True)) for v in (r.w_f for r in made.collect())]
+    idf = lambda n: 1 + np.log((4 + 1) / (n + 1))
+    raw = {"road": (1 + np.log(2)) * idf(2), "bridge": idf(1), "road road": idf(1), "road bridge": idf(1)}
+    norm = np.sqrt(sum(v * v for v in raw.values()))
+    assert got[0] == pytest.approx({k: v / norm for k, v in raw.items()}) and got[2] == got[3] == {}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 400])
+def test_lag_median_with_times_of_day(spark, n):
+    draw = np.random.default_rng(n)
+    lags = draw.integers(-3 * 86400, 40 * 86400, n)
+    df = spark.createDataFrame([(datetime(2024, 1, 1), datetime(2024, 1, 1) + pd.Timedelta(seconds=int(s)).to_pytimedelta()) for s in lags], "direct timestamp, proxy timestamp")
+    got = target.lag_median(df).first()
+    assert got.lag_n == n and got.lag_days == pytest.approx(np.median(lags / 86400))
+
+
 def test_veto_takes_the_first_free_row_that_agrees(spark):
     draw = np.random.default_rng(3)
     side = lambda n: [(i, f"k{draw.integers(3)}", [None, "", "x", "y", "z"][draw.integers(5)]) for i in range(n)]
