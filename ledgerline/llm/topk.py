@@ -131,7 +131,7 @@ class Block:
 
 
 def top_k(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k best rows for each row that `queries` selects: query_id, rank from 1, id, score; all if fewer.
+    """The k best rows for each row that `queries`, a condition on any columns of df, selects: query_id, rank from 1, id, score; all if fewer.
 
     Components x count as floor(256 x), of any size; the score is the inner product, ties go to the smaller id, and a
     query's own id is no candidate. A score beyond 64 bits is given as null, but ranked by its value.
@@ -144,7 +144,10 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", ve
     Rows without an id, and vectors that are null or hold null or non-finite components, take no part; shorter ones end in zeros. Rows that
     repeat an id are candidates each; equal rows are one query. Empty tables give empty results; extra columns are
     ignored."""
-    rows = save(checked(df.filter(F.col(id_col).isNotNull()), id_col, vector_col, lambda x: x).select(F.col("_id").alias(id_col), "vec", "class"), "vectors")
+    # the condition is on df's own columns, so it is evaluated before these are cut
+    named = df.filter(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.coalesce(queries, F.lit(False)).alias("asked")).alias("_named"), F.col(vector_col).alias("_vector"))
+    rows = checked(named, "_named", "_vector", lambda x: x).select(F.col("_id.id").alias("_id"), F.col("_id.asked").alias("_asked"), "vec", "class")
+    rows = save(rows.withColumnRenamed("_id", id_col), "vectors")
     n, size = rows.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
     dim, blocks = max(1, (size or 0) // 8), max(1, -(-n // BLOCK))
     id_type = rows.schema[id_col].dataType.simpleString()
@@ -161,7 +164,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", ve
 
     grouped = rows.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"), F.col(id_col).alias("id"), "vec").groupBy("block")
     index = save(grouped.applyInArrow(built, f"ids array<{id_type}>, " + ", ".join(f"`{c}` binary" for c in parts)), "impact-index")
-    asked = save(rows.filter(queries).dropDuplicates([id_col, "class"]), "queries")
+    asked = save(rows.filter("_asked").drop("_asked").dropDuplicates([id_col, "class"]), "queries")
     m = asked.count()
     turns = max(1, -(-m * (8 * dim + 64) // QUERY_BYTES))
 

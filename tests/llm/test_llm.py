@@ -498,6 +498,14 @@ def test_top_k_is_exact_with_ties(spark):
     assert set(got["query_id"]) == {0, 50, 100, 150, 200, 250}
 
 
+def test_queries_are_chosen_by_any_column(spark):
+    rows = [(i, [float(i), 1.0], "q" if i == 3 else "other" if i else None, i % 2) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, kind string, class int")
+    for condition, ids in ((F.col("kind") == "q", {3}), (F.col("class") == 1, {1, 3, 5}), (F.col("vec_id") > 4, {5})):
+        got = topk.top_k(df, condition, k=2).collect()
+        assert {r.query_id for r in got} == ids and len(got) == 2 * len(ids) and all(r.vec_id != r.query_id for r in got)
+
+
 def test_top_k_of_large_components(spark):
     rng = np.random.default_rng(8)
     sizes = [1.0, 2.0**15, 2.0**21, 3e6, 1e17, 1e300, 1e307]
