@@ -22,8 +22,12 @@ def exact_links(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
 
 def exact_links_with_veto(left: DataFrame, right: DataFrame, keys: Sequence[str], veto: str) -> DataFrame:
     """As exact_links, but rows whose known veto values differ don't link: each left row in turn takes the first right
-    row that is free and agrees. Only rows of one key meet, in one cogroup each; ids are unique, and free rows wait in
-    a line for each veto value, so a key costs its rows and not their pairs."""
+    row that is free and agrees; ids are unique.
+
+    Where all rows of a key have a known value, its values have nothing to do with each other: the nth left row of a
+    value takes the nth right one, by windows over key and value, so a large key spreads by value. Where some have none, what a row takes
+    depends on all before it. Rows of such a key meet in one cogroup, in which free rows wait in a line for each value, so
+    the key costs its rows and not their pairs."""
 
     def linked(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         known = lambda v: None if pd.isna(v) or not v else v
@@ -42,8 +46,13 @@ def exact_links_with_veto(left: DataFrame, right: DataFrame, keys: Sequence[str]
                 out.append((i, first, 100.0, "exact"))
         return pd.DataFrame(out, columns=["left_id", "right_id", "match_score", "match_method"])
 
-    side = lambda df: df.dropna(subset=list(keys)).select("id", *keys, F.col(veto).alias("veto")).groupBy(*keys)
-    return side(left).cogroup(side(right)).applyInPandas(linked, "left_id long, right_id long, match_score double, match_method string")
+    side = lambda df: df.dropna(subset=list(keys)).select("id", *keys, F.nullif(F.col(veto).cast("string"), F.lit("")).alias("veto"))
+    a, b = side(left), side(right)
+    unknown = a.union(b).filter("veto is null").select(*keys).distinct()
+    apart = [df.join(unknown, list(keys), "left_anti") for df in (a, b)]
+    mixed = [df.join(unknown, list(keys), "left_semi").groupBy(*keys) for df in (a, b)]
+    met = mixed[0].cogroup(mixed[1]).applyInPandas(linked, "left_id long, right_id long, match_score double, match_method string")
+    return exact_links(*apart, [*keys, "veto"]).unionByName(met)
 
 
 def residual(left: DataFrame, links: DataFrame) -> DataFrame:

@@ -186,7 +186,8 @@ def test_every_row_gets_sampled_contributions(spark, data):
     from ledgerline.plans import modelling_queries
 
     got = modelling_queries.i21_sampled_contributions(spark, data).groupBy("project_key").agg(F.count_distinct("feature").alias("n"), F.count("contribution").alias("m")).collect()
-    keys = {r.project_key for r in modelling_queries.learning_rows(spark, data).select("project_key").collect()}
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").filter("embedding is not null and label is not null")
+    keys = {f"V_{r.vec_id}" for r in rows.select("vec_id").collect()}
     assert len(keys) > 10 and {(r.project_key, r.n, r.m) for r in got} == {(k, 4, 4) for k in keys}
 
 
