@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ COLUMNS = 26
 #: Bits of a filter: 2 ** FILTER words at most (128 MB). With more anchors more strings pass needlessly.
 FILTER = 24
 #: Anchors and strings that a task holds before it hands them on.
-HELD_ANCHORS, HELD_STRINGS = 1 << 20, 1 << 17
+HELD_ANCHORS, HELD_STRINGS = 1 << 20, 1 << 18
 #: Text of which the strings are found at a time.
 TEXT_BYTES = 1 << 20
 END = 0  # bytes are shifted by one; UTF-8 has none above 0xF4
@@ -124,7 +125,8 @@ def anchor_filter(anchors: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-SEGMENT_BITS = 8
+#: Segments of anchors are at least 2 ** SEGMENT_BITS; those of strings are as many as make about SEGMENT_BYTES each.
+SEGMENT_BITS, SEGMENT_BYTES = 8, 8_000_000
 
 
 def repeated_anchors(texts: DataFrame, length: int, hot: int) -> DataFrame:
@@ -142,8 +144,9 @@ def repeated_anchors(texts: DataFrame, length: int, hot: int) -> DataFrame:
             at = np.searchsorted(segment, np.arange((1 << SEGMENT_BITS) + 1))
             here = np.flatnonzero(np.diff(at)).tolist()
             cut = [(at[s], at[s + 1]) for s in here]
-            times = times.astype(np.uint32)
-            return pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (anchor, times))], names=["segment", "anchors", "times"])
+            more = [np.flatnonzero(times[a:b] > 1) + a for a, b in cut]  # how often is told only of these
+            parts = [[anchor[a:b].tobytes() for a, b in cut], [anchor[k].tobytes() for k in more], [(times[k] - 1).astype(np.uint32).tobytes() for k in more]]
+            return pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], names=["segment", "anchors", "more", "times"])
 
         for batch in batches:
             data, offsets = buffers(batch.column(0))
@@ -158,8 +161,9 @@ def repeated_anchors(texts: DataFrame, length: int, hot: int) -> DataFrame:
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, times = [], []
         for batch in batches:
-            anchors += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
-            times += [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(2)]
+            for column in (1, 2):
+                anchors += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(column)]
+            times += [np.ones(len(x.as_buffer()) // 8, np.int64) for x in batch.column(1)] + [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(3)]
         if anchors:
             anchor, n = np.concatenate(anchors), np.concatenate(times).astype(np.int64)
             order = np.argsort(anchor, kind="stable")
@@ -175,7 +179,7 @@ def repeated_anchors(texts: DataFrame, length: int, hot: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([again[k : k + (1 << 17)].tobytes()], pa.binary()), pa.array([b"" if k else often.tobytes()], pa.binary())], names=["segment", "again", "hot"])
         give_back()
 
-    made = texts.mapInArrow(counted, "segment int, anchors binary, times binary")
+    made = texts.mapInArrow(counted, "segment int, anchors binary, more binary, times binary")
     return save(made.repartition("segment").mapInArrow(summed, "segment int, again binary, hot binary"), "anchors")
 
 
@@ -308,6 +312,8 @@ def remove_shared(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_
     docs = df.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"), F.hash(text_of(text_col)).alias("_print"))
     known = docs.filter("_id is not null")
     anchors = repeated_anchors(known.select("_text"), length, hot)
+    n = (anchors.agg(F.sum(F.octet_length("again"))).first()[0] or 0) // 8
+    bits = max(SEGMENT_BITS, (n * 300 // SEGMENT_BYTES).bit_length())  # some strings of some 80 bytes for each
     context = df.sparkSession.sparkContext
     again, often = context.broadcast(anchor_filter(anchors, "again")), context.broadcast(anchor_filter(anchors, "hot"))
 
@@ -337,19 +343,30 @@ def remove_shared(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, name, own, prints, s << 6 | windows)], names=["key", "name", "_id", "_print", "place"])
 
     def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each different string of the task, with its smallest id; a few twice if there are many."""
+        """The different strings of the task, each with its smallest id, a few twice if there are many: compressed, a segment a row."""
         held: list[tuple] = []
 
         def handed_on() -> pa.RecordBatch:
             key, name, own = (np.concatenate([x[k] for x in held]) for k in range(3))
-            texts = pa.concat_arrays([x[3] for x in held])
+            texts, offsets = raw_of(pa.concat_arrays([x[3] for x in held]))
             held.clear()
             once = first_of(key, name, own)
-            return pa.RecordBatch.from_arrays([pa.array(key[once]), pa.array(name[once]), pa.array(own[once]), texts.take(pa.array(once))], names=["key", "name", "_id", "string"])
+            segment = key[once].view(np.uint64) >> np.uint64(64 - bits)
+            once, segment = once[np.argsort(segment, kind="stable")], np.sort(segment)
+            size = np.diff(offsets)[once]
+            flat = pick(texts, offsets[once], size)
+            ends, upto = np.append(np.flatnonzero(segment[1:] != segment[:-1]) + 1, len(once)), np.concatenate([[0], np.cumsum(size)])
+            pack, packed, begin = zstandard.ZstdCompressor(level=1), [], 0
+            for end in ends.tolist():
+                part = once[begin:end]
+                packed.append(pack.compress(b"".join(x.tobytes() for x in (key[part], name[part], own[part], size[begin:end].astype(np.uint8), flat[upto[begin] : upto[end]]))))
+                begin = end
+            return pa.RecordBatch.from_arrays([pa.array(segment[ends - 1].astype(np.int32)), pa.array(np.diff(ends, prepend=0)), pa.array(packed, pa.binary())], names=["segment", "n", "strings"])
 
         for key, name, own, _, _, windows, first, data in found(batches):
             once = first_of(key, name, own)
-            held.append((key[once], name[once], own[once], cut_out(data, first[once], windows[once] + length - 1)))
+            if len(once):
+                held.append((key[once], name[once], own[once], cut_out(data, first[once], windows[once] + length - 1)))
             if sum(len(x[0]) for x in held) > HELD_STRINGS:
                 yield handed_on()
         if held:
@@ -360,42 +377,46 @@ def remove_shared(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_
     plain = "key long, name long, first_id long, mask long"
 
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Collections of strings that come in the order of key, name and id; strings alone with their key have no shared window."""
-        rest: list[pa.RecordBatch] = []
-
-        def handed_on(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, name, own = (table[k].to_numpy() for k in range(3))
-            once = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])) if len(key) else np.zeros(0, bool)
-            table, key, name, own = table.filter(pa.array(once)), key[once], name[once], own[once]
+        """Collections of the strings of each segment, whose rows come together; strings alone with their key have no shared window."""
+
+        def made_of(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+            parts: list[list] = [[] for _ in range(5)]
+            for n, raw in held:
+                data = zstandard.ZstdDecompressor().decompress(raw)
+                for k in range(3):
+                    parts[k].append(np.frombuffer(data, np.int64, n, 8 * n * k))
+                parts[3].append(np.frombuffer(data, np.uint8, n, 24 * n).astype(np.int64))
+                parts[4].append(np.frombuffer(data, np.uint8, offset=25 * n))
+            key, name, own, sizes, flat = (np.concatenate(x) for x in parts)
+            once = first_of(key, name, own)
+            at = (np.cumsum(sizes) - sizes)[once]
+            key, name, own, sizes = key[once], name[once], own[once], sizes[once]
             more = np.zeros(len(key), bool)
             more[1:] = key[1:] == key[:-1]
             more[:-1] |= more[1:]
-            none = pa.nulls(int((~more).sum()), pa.binary())
             lone = [pa.array(x[~more]) for x in (key, name, own, np.zeros(len(key), np.int64))]
-            yield pa.RecordBatch.from_arrays([*lone, pa.nulls(len(none), pa.int32()), *[none] * 9], names=names)
-            if more.any():
-                texts, offsets = raw_of(table["string"].filter(pa.array(more)))
-                key, name, own, sizes = key[more], name[more], own[more], np.diff(offsets)
-                size = np.cumsum(sizes)
-                begin, last = 0, np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))  # where keys end
-                while begin < len(key):
-                    end = int(last[min(np.searchsorted(last, max(begin + 1, np.searchsorted(size, (size[begin - 1] if begin else 0) + shard_bytes))), len(last) - 1)])
-                    made = Collection(texts[offsets[begin] : offsets[end]], sizes[begin:end].astype(np.uint8))
-                    raw = [x[begin:end].tobytes() for x in (key, name, own)] + made.written()
-                    yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], names=names)
-                    begin = end
-
+            none = len(lone[0])
+            yield pa.RecordBatch.from_arrays([*lone, pa.nulls(none, pa.int32()), *[pa.nulls(none, pa.binary())] * 9], names=names)
+            key, name, own, sizes, at = key[more], name[more], own[more], sizes[more], at[more]
+            size, last = np.cumsum(sizes), np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))  # where keys end
+            begin = 0
+            while begin < len(key):
+                end = int(last[min(np.searchsorted(last, max(begin + 1, np.searchsorted(size, (size[begin - 1] if begin else 0) + shard_bytes))), len(last) - 1)])
+                made = Collection(pick(flat, at[begin:end], sizes[begin:end]), sizes[begin:end].astype(np.uint8))
+                raw = [x[begin:end].tobytes() for x in (key, name, own)] + made.written()
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], names=names)
+                begin = end
+
+        held, last = [], None
         for batch in batches:
-            rest.append(batch)
-            if sum(b.column(3).nbytes for b in rest) > 4 * shard_bytes:
-                table = pa.Table.from_batches(rest).combine_chunks()
-                key = table["key"].to_numpy()
-                upto = int(np.searchsorted(key, key[-1]))  # the last key may go on
-                if upto:
-                    yield from handed_on(table.slice(0, upto))
-                    rest = table.slice(upto).to_batches()
-        if rest:
-            yield from handed_on(pa.Table.from_batches(rest).combine_chunks())
+            for segment, n, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if held and segment != last:
+                    yield from made_of(held)
+                    held = []
+                last = segment
+                held.append((n, raw))
+        if held:
+            yield from made_of(held)
         give_back()
 
     names = ["key", "name", "first_id", "mask", "rounds", "keys", "names", "ids", *Collection.FIELDS]
@@ -420,15 +441,15 @@ def remove_shared(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(own_names, np.int64)), pa.array(ids), pa.array(mask)], names=names[:4])
         give_back()
 
-    strings = known.mapInArrow(different, "key long, name long, _id long, string binary")
-    dealt = strings.repartition("key").sortWithinPartitions("key", "name", "_id")
-    made = save(dealt.mapInArrow(collected, f"{plain}, rounds int, {fields}"), "collections", **ROWS)
+    # no frame with an exchange keeps a name, so that its files can go as soon as it is written
+    made = save(known.mapInArrow(different, "segment int, n long, strings binary").repartition("segment").sortWithinPartitions("segment").mapInArrow(collected, f"{plain}, rounds int, {fields}"), "collections", **ROWS)
     state = made.filter("rounds is not null").select(*names[4:])
     for begin in range(0, length + WINDOWS - 1, columns):
         before, state = state, save(state.mapInArrow(advanced, f"rounds int, {fields}"), "columns", **ROWS)
         if begin:
             discard(before)
-    firsts = made.filter("rounds is null").select(*names[:4]).union(state.mapInArrow(judged, plain))
+    firsts = save(made.filter("rounds is null").select(*names[:4]).union(state.mapInArrow(judged, plain)), "firsts", compression="zstd")
+    discard(anchors, made, state)
     every = F.expr("shiftleft(1L, cast(place & 63 as int)) - 1")
     marks = known.mapInArrow(places, "key long, name long, _id long, _print int, place long").join(firsts, ["key", "name"])
     marks = marks.withColumn("mask", F.when(F.col("_id") > F.col("first_id"), every).otherwise(F.col("mask"))).filter("mask <> 0")
@@ -466,7 +487,7 @@ def remove_shared(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_
 
 KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
 #: Rows of some megabytes: the writer looks at its memory after each.
-ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size": "8388608"}
+ROWS = {"compression": "zstd", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size": "8388608"}
 
 
 def span_hashes_long(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -488,11 +509,16 @@ def first_of(key: np.ndarray, name: np.ndarray, own: np.ndarray) -> np.ndarray:
     return order[np.append(True, (k[1:] != k[:-1]) | (n[1:] != n[:-1]))] if len(order) else order
 
 
+def pick(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Spans of bytes, side by side."""
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    return data[np.repeat(first - offsets[:-1], size) + np.arange(offsets[-1])]
+
+
 def cut_out(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
     """Spans of bytes as a binary array."""
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    flat = data[np.repeat(first - offsets[:-1], size) + np.arange(offsets[-1])]
-    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(pick(data, first, size))])
 
 
 def raw_of(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
