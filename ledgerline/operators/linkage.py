@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -48,9 +50,11 @@ def exact_links_with_veto(left: DataFrame, right: DataFrame, keys: Sequence[str]
 
     side = lambda df: df.dropna(subset=list(keys)).select("id", *keys, F.nullif(F.col(veto).cast("string"), F.lit("")).alias("veto"))
     a, b = side(left), side(right)
-    unknown = a.union(b).filter("veto is null").select(*keys).distinct()
-    apart = [df.join(unknown, list(keys), "left_anti") for df in (a, b)]
-    mixed = [df.join(unknown, list(keys), "left_semi").groupBy(*keys) for df in (a, b)]
+    unknown = a.union(b).filter("veto is null").select(*(F.col(k).alias(f"_same_{k}") for k in keys)).distinct()
+    same = reduce(and_, (F.col(k) == F.col(f"_same_{k}") for k in keys))
+    own = ["id", *keys, "veto"]
+    apart = [df.join(unknown, same, "left_anti") for df in (a, b)]
+    mixed = [df.join(unknown, same, "left_semi").select(*(F.col(c).alias(c) for c in own)).groupBy(*keys) for df in (a, b)]
     met = mixed[0].cogroup(mixed[1]).applyInPandas(linked, "left_id long, right_id long, match_score double, match_method string")
     return exact_links(*apart, [*keys, "veto"]).unionByName(met)
 
