@@ -110,9 +110,10 @@ def resolved(df: DataFrame, column: str, names: DataFrame, cutoff: float, score:
     """df with <column>_resolved: a listed name for the last comma-separated part of a text, else for the whole of it, else Unmapped.
 
     A part is only taken for a name of the list, never for its own title case; parts that are blank don't count as the last."""
-    parts = F.filter(F.transform(F.split(F.col(column), ","), F.trim), lambda x: x != "")
+    # F.trim itself would be given the index of a part as the letters to trim
+    parts = F.filter(F.transform(F.split(F.col(column), ","), lambda x: F.trim(x)), lambda x: x != "")
     texts = df.select(column).distinct().filter(F.trim(column) != "")
-    asked = texts.select(column, F.posexplode(F.array(F.element_at(parts, -1), F.col(column))).alias("_turn", "_part")).filter(F.col("_part").isNotNull())
+    asked = texts.select(column, F.posexplode(F.array(F.try_element_at(parts, F.lit(-1)), F.col(column))).alias("_turn", "_part")).filter(F.col("_part").isNotNull())
     listed = names.select("name").distinct()
     found = canonical(asked, "_part", listed, cutoff, score=score).join(listed.select(F.col("name").alias("_part_canonical")), "_part_canonical", "left_semi")
     first = found.groupBy(column).agg(F.min_by("_part_canonical", "_turn").alias("_found"))

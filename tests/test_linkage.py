@@ -106,6 +106,13 @@ def test_resolver_takes_the_last_part_then_the_whole_text(spark):
     assert len(got) == 2 * len(texts) and {r.place: r.place_resolved for r in got} == texts
 
 
+def test_resolver_keeps_digits_at_the_ends_of_parts(spark):
+    names = spark.createDataFrame([("Zone 2",), ("Zone 20",), ("Zone 1",), ("Zone 11",), ("0 Point",)], "name string")
+    texts = {"zone 20": "Zone 20", "Market, Zone 11": "Zone 11", "Market, Hall, Zone 2": "Zone 2", "x, Zone 1 ,": "Zone 1", "0 point": "0 Point", "Market 0, Nowhere 1": "Unmapped"}
+    df = spark.createDataFrame([(t,) for t in texts], "place string")
+    assert {r.place: r.place_resolved for r in linkage.resolved(df, "place", names, 95).collect()} == texts
+
+
 def test_scored_names_of_awkward_tables(spark):
     cols = "id long, name string, brand string"
     empty = spark.createDataFrame([], cols)
