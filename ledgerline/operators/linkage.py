@@ -71,20 +71,34 @@ def scored_names(left: DataFrame, right: DataFrame, block: str, cutoff: float, s
     return similarity.pairs(names(left, "_left"), names(right, "_right"), block, cutoff, score)
 
 
+def top_candidates(left: DataFrame, right: DataFrame, block: str, cutoff: float, top: int = FUZZY_TOP, score: Similarity = LEVENSHTEIN) -> DataFrame:
+    """For each left row the first `top` right rows of its block by score and id, from the cutoff on, ranked in _k. Both have
+    an id, a name and more columns, which come as left_... and right_....
+
+    Left rows of one name have the same candidates, and of the right rows of one name only the first `top` by id can be
+    among them. So names meet names, each left name keeps `top` rows, and these go to its rows: no product of rows is made."""
+    names = scored_names(left, right, block, cutoff, score)
+    side = lambda df, name: df.select(block, text.token_sort_key("name").alias(f"_{name}"), *(F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in (block, "name")))
+    of_name = Window.partitionBy(block, "_right").orderBy("right_id")
+    few = side(right, "right").withColumn("_n", F.row_number().over(of_name)).filter(F.col("_n") <= top).drop("_n")
+    by_left = Window.partitionBy(block, "_left").orderBy(F.desc("score"), "right_id")
+    best = names.join(few, [block, "_right"]).withColumn("_n", F.row_number().over(by_left)).filter(F.col("_n") <= top).drop("_n")
+    own = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
+    return side(left, "left").join(best, [block, "_left"]).withColumn("_k", F.row_number().over(own)).filter(F.col("_k") <= top)
+
+
 def fuzzy_links(left: DataFrame, right: DataFrame, block: str, cutoff: float = FUZZY_CUTOFF, top: int = FUZZY_TOP, years: int = YEAR_TOLERANCE, veto: str | None = None, score: Similarity = LEVENSHTEIN) -> DataFrame:
     """For each left row the best right row of its block: the top five by score are taken first, then those outside
     the year tolerance or with another veto value go (an unknown value passes), then the first left links."""
-    names = scored_names(left, right, block, cutoff, score)
-    extra = [veto] if veto else []
-    a = left.select(F.col("id").alias("left_id"), block, text.token_sort_key("name").alias("_left"), F.col("year").alias("year_left"), *(F.col(v).alias("_veto_left") for v in extra))
-    b = right.select(F.col("id").alias("right_id"), block, text.token_sort_key("name").alias("_right"), F.col("year").alias("year_right"), *(F.col(v).alias("_veto_right") for v in extra))
-    best = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
-    pairs = a.join(names, [block, "_left"]).join(b, [block, "_right"]).withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= top)
-    near = F.coalesce(F.abs(F.col("year_left") - F.col("year_right")) <= years, F.lit(True))
+    own = ["id", "name", block, "year", *([veto] if veto else [])]
+    pairs = top_candidates(left.select(*own), right.select(*own), block, cutoff, top, score)
+    near = F.coalesce(F.abs(F.col("left_year") - F.col("right_year")) <= years, F.lit(True))
     if veto:
-        near = near & F.coalesce((F.col("_veto_left") == F.col("_veto_right")) | (F.col("_veto_left") == "") | (F.col("_veto_right") == ""), F.lit(True))
+        a, b = F.col(f"left_{veto}"), F.col(f"right_{veto}")
+        near = near & F.coalesce((a == b) | (a == "") | (b == ""), F.lit(True))
+    best = Window.partitionBy("left_id").orderBy("_k")
     found = pairs.filter(near).withColumn("_k", F.row_number().over(best)).filter("_k = 1")
-    return found.select("left_id", "right_id", F.round("score", 6).alias("match_score"), F.lit("fuzzy").alias("match_method"), F.col(block).alias("block"), "year_left", "year_right")
+    return found.select("left_id", "right_id", F.round("score", 6).alias("match_score"), F.lit("fuzzy").alias("match_method"), F.col(block).alias("block"), F.col("left_year").alias("year_left"), F.col("right_year").alias("year_right"))
 
 
 def canonical(df: DataFrame, column: str, names: DataFrame, cutoff: float, scope: str | None = None, score: Similarity = LEVENSHTEIN) -> DataFrame:

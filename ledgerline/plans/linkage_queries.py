@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
 from ..operators import linkage
 from ..operators.similarity import INDEL
 from .register import query
@@ -138,13 +137,7 @@ def f1_first_per_key(spark, d):
 
 @query(f"WITH {SIDES} SELECT left_id, count(*) AS candidates, max(r) AS lowest FROM top GROUP BY left_id")
 def f2_top_candidates(spark, d):
-    from pyspark.sql import Window
-
     a, b = sides(spark, d)
     rest = linkage.residual(a, linkage.exact_links(a, b, ["name", "brand"]))
-    names = linkage.scored_names(rest, b, "brand", 60)
-    left = rest.select(F.col("id").alias("left_id"), "brand", text.token_sort_key("name").alias("_left"))
-    right = b.select(F.col("id").alias("right_id"), "brand", text.token_sort_key("name").alias("_right"))
-    rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))
-    pairs = left.join(names, ["brand", "_left"]).join(right, ["brand", "_right"]).withColumn("r", rank).filter("r <= 5")
-    return pairs.groupBy("left_id").agg(F.count("*").alias("candidates"), F.max("r").cast("long").alias("lowest"))
+    pairs = linkage.top_candidates(rest, b, "brand", 60, 5)
+    return pairs.groupBy("left_id").agg(F.count("*").alias("candidates"), F.max("_k").cast("long").alias("lowest"))

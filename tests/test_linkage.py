@@ -1,6 +1,7 @@
 """Similarity scores and their index against plain versions over all pairs; place resolver."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +122,23 @@ def test_scored_names_of_awkward_tables(spark):
     for kind in (similarity.LEVENSHTEIN, similarity.INDEL):
         assert sorted((r._left, r._right, r.score) for r in linkage.scored_names(rows, rows, "brand", 70, kind).collect()) == [("", "", 100.0), ("a b", "a b", 100.0)]
     assert [r.s for r in spark.range(1).select(text.levenshtein_ratio(F.lit(""), F.lit("")).alias("s")).collect()] == [100.0]
+
+
+def test_candidates_of_rows_with_one_name_are_not_multiplied(spark):
+    n = 40_000  # products of rows would be 400 million
+    rows = spark.range(n).select("id", F.concat(F.lit("big ring"), F.when(F.col("id") % 3 == 0, "s").otherwise("")).alias("name"), F.lit("x").alias("brand"), (F.col("id") % 40).cast("int").alias("year"))
+    left, right = rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")
+    late = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    got = {r.left_id: (r.right_id, r.match_score) for r in linkage.fuzzy_links(left, right, "brand", 60, 5, 10).collect()}
+    pairs = linkage.top_candidates(left, right, "brand", 60, 5).count()
+    late.cancel()
+    assert pairs == 5 * n // 2
+    names = {i: "big rings" if i % 3 == 0 else "big ring" for i in range(n)}
+    want = {}
+    for i in range(0, n, 2):
+        top = sorted((-100.0 * (names[i] == names[j]) - 100.0 * (1 - 1 / 9) * (names[i] != names[j]), j) for j in range(1, 40, 2))[:5]
+        near = [(j, -s) for s, j in top if abs(i % 40 - j % 40) <= 10]
+        if near:
+            want[i] = (near[0][0], pytest.approx(near[0][1], abs=1e-6))
+    assert got == want
