@@ -210,3 +210,17 @@ def test_small_classes_are_refused_and_categories_found(spark):
     made, names = features.one_hot_frame(df, ["a", "b"], with_null=["a"])
     assert names == ["a_x", "a_null", "b_c0", "b_c1", "b_c2"]
     assert made.select(F.min(F.expr("a_x + a_null")), F.max(F.expr("b_c0 + b_c1 + b_c2"))).first() == (1, 1)
+
+
+def test_feed_has_three_batches_however_many_files(spark, data, tmp_path):
+    from ledgerline.plans import streams_queries
+
+    spark.read.parquet(f"{data}/events.parquet").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # a task for each file
+    try:
+        out = streams_queries.run(streams_queries.stream(spark, str(tmp_path)))
+        assert {r.batch for r in out.select("batch").distinct().collect()} == {0, 1, 2}
+        assert out.count() == spark.read.parquet(f"{data}/events.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
