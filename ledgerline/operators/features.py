@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schema import LABEL_PREFIXES, LABELS, OUTLIER_LEAST_ROWS, WET_MONTHS
+from ..sources.sinks import reread
 
 #: Columns made from the target; they never take part in imputation.
 TARGET_COLUMNS = ("overrun", "overrun_pct", "actual_days", "standard_days")
@@ -52,7 +53,8 @@ def quartiles(df: DataFrame, value: str, stratum: str) -> DataFrame:
 def outliers(df: DataFrame, amount: str, stratum: str, least: int = OUTLIER_LEAST_ROWS) -> DataFrame:
     """Flag of log amounts outside 1.5 interquartile ranges of their stratum; small strata have none."""
     logged = df.withColumn("_log", F.log1p(F.greatest(F.col(amount), F.lit(0))))
-    bounds = quartiles(logged, "_log", stratum).select(stratum, F.col("n").alias("_n"), F.col("q1").alias("_q1"), F.col("q3").alias("_q3"))
+    # a row a stratum, staged so that its size is known: a small table goes to the rows, which a join by few strata would gather in few tasks
+    bounds = reread(quartiles(logged, "_log", stratum), "quartiles").select(stratum, F.col("n").alias("_n"), F.col("q1").alias("_q1"), F.col("q3").alias("_q3"))
     joined = logged.join(bounds, stratum, "left")
     width = 1.5 * (F.col("_q3") - F.col("_q1"))
     outside = (F.col("_log") < F.col("_q1") - width) | (F.col("_log") > F.col("_q3") + width)

@@ -398,3 +398,18 @@ def test_feature_labels_and_matrix(spark):
     found = spark.createDataFrame([(c,) for c in cases], "c string").select("c", features.label_of("c").alias("x")).collect()
     assert {r["c"]: r["x"] for r in found} == cases
     assert models.feature_matrix(spark.createDataFrame([("k", 2, None)], "k string, a int, b double"), "k", ["b", "none", "a"]).first()["x"] == [0.0, 0.0, 2.0]
+
+
+def test_outliers_do_not_gather_rows_by_stratum(spark, tmp_path):
+    from ledgerline.operators import features
+
+    spark.range(50_000).selectExpr("id", "cast(id % 1000 as double) as amount", "cast(id % 3 as string) as kind").write.parquet(f"{tmp_path}/rows")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "30k")
+    try:
+        out = features.outliers(spark.read.parquet(f"{tmp_path}/rows"), "amount", "kind")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert out.count() == 50_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
