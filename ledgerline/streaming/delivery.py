@@ -55,7 +55,8 @@ class Once:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
-        return rows.filter(F.col("number") < number).select("_slot", "report_id").distinct()
+        # small in files and large in memory: a broadcast by the size of the files would send all ids through the driver
+        return rows.filter(F.col("number") < number).select("_slot", "report_id").distinct().hint("shuffle_merge")
 
     def delivered(self) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.path}/reports").schema(f"{self.schema}, number long").parquet(f"{self.path}/reports/number=*")

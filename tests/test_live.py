@@ -224,3 +224,15 @@ def test_feed_has_three_batches_however_many_files(spark, data, tmp_path):
         assert out.count() == spark.read.parquet(f"{data}/events.parquet").count()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_known_ids_are_not_broadcast(spark, tmp_path):
+    from ledgerline.streaming import delivery, reports
+
+    rows = spark.range(50).selectExpr("id as report_id", "'p' as project_key", "'x' as status_observed", "1.0D as percent_complete", "1.0D as amount_spent", "timestamp '2024-01-01 10:00:00' as observed_at")
+    sink = delivery.Once(spark, str(tmp_path), reports.SCHEMA)
+    sink(rows, 0)
+    sink(rows.union(rows.withColumn("report_id", rows.report_id + 50)), 1)
+    assert sorted(r.report_id for r in sink.delivered().collect()) == list(range(100))
+    known = rows.withColumn("_slot", delivery.slot()).join(sink.ids(["2024-01-01"], 2), ["_slot", "report_id"], "left_anti")
+    assert "Broadcast" not in known._jdf.queryExecution().executedPlan().toString()
