@@ -413,3 +413,21 @@ def test_outliers_do_not_gather_rows_by_stratum(spark, tmp_path):
         assert out.count() == 50_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_duplicates_go_last_and_only_wanted_columns_are_staged(spark, data):
+    import io
+    from contextlib import redirect_stdout
+
+    from ledgerline.plans import target_queries
+
+    text_ = io.StringIO()
+    with redirect_stdout(text_):
+        target_queries.base(spark, data).explain()
+    lines = [x for x in text_.getvalue().splitlines() if "Window" in x or "Join" in x]
+    assert "Window " in lines[0] and any("Join" in x for x in lines)  # no row is moved again for a join after the window
+    rows = target_queries.labelled(spark, data, "mon_row_id")
+    assert "mon_row_id" in rows.columns and not {"municipality", "cluster", "name", "amount"} & set(rows.columns)
+    whole = target.build_target(target_queries.monitoring(spark, data), target_queries.liquidation(spark, data), target_queries.FLOOR)
+    kept = ["mon_row_id", "direct", "proxy", "corrected", "overrun", "overrun_pct"]
+    assert sorted(map(str, whole.select(*kept).collect())) == sorted(map(str, rows.select(*kept).collect()))
