@@ -5,7 +5,7 @@ and a background row a leaf counts if every feature on its way fits for one of t
 what the leaf adds, those that fit for the background row alone what it takes away, by the Shapley weights of their numbers.
 That is the interventional Shapley value itself, not an estimate: contributions sum up to f(row) - mean f(background).
 
-Paths and background are bounded by the models and by a parameter; rows are read once, in batches side by side."""
+Paths and background are bounded by the models and by a parameter; rows are worked out by cells, in batches side by side."""
 
 from __future__ import annotations
 
@@ -17,10 +17,11 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.sinks import stage_folder
+from ..sources.sinks import reread, stage_folder
 
 
 @dataclass
@@ -55,7 +56,14 @@ class Paths:
 
 
 def paths_of(model: PipelineModel) -> Paths:
-    """The table of paths of a pipeline's last stage, a forest or boosted trees over continuous features, from its saved nodes."""
+    """The table of paths of a pipeline's last stage, a forest or boosted trees over continuous features, from its saved nodes.
+
+    Ranges of features that the pipeline bins are those of the values themselves."""
+    splits = {}
+    for stage in model.stages[:-1]:
+        if isinstance(stage, Bucketizer):
+            splits |= {f"{c}_bin": points for c, points in zip(stage.getInputCols(), stage.getSplitsArray(), strict=True)}
+    columns = next((s.getInputCols() for s in model.stages if isinstance(s, VectorAssembler)), [])
     tree_model, spark = model.stages[-1], SparkSession.active()
     path = f"{stage_folder(spark)}/trees-{uuid.uuid4().hex}"
     tree_model.write().save(path)
@@ -75,6 +83,8 @@ def paths_of(model: PipelineModel) -> Paths:
         f, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
         if node["split"]["numCategories"] != -1:
             raise ValueError("only continuous features have ranges")
+        if f < len(columns) and columns[f] in splits:  # bins up to the cut hold the values below the next split
+            cut = np.nextafter(splits[columns[f]][int(np.floor(cut)) + 1], -np.inf)
         low, high = bounds.get(f, (-np.inf, np.inf))
         walk(tree, node["leftChild"], {**bounds, f: (low, min(high, cut))})
         walk(tree, node["rightChild"], {**bounds, f: (max(low, cut), high)})
@@ -141,17 +151,33 @@ def contributions(paths: Paths, x: np.ndarray, background: np.ndarray) -> np.nda
     return (each * slope[:, :, None]).mean(1)
 
 
+def with_cell(df: DataFrame, tables: Sequence[Paths], names: Sequence[str]) -> DataFrame:
+    """df with _cell: between which cuts of the models each column lies. No model can tell rows of a cell apart."""
+    cuts = {}
+    for i, c in enumerate(names):
+        bounds = [b[p.feature == i] for p in tables for b in (p.low, p.high)]
+        points = np.unique(np.concatenate(bounds))
+        if (points := points[np.isfinite(points)]).size:
+            cuts[c] = [-np.inf, *(float(x) for x in np.nextafter(points, np.inf)), np.inf]  # a bucket holds its lower end, a range its upper
+    bins = [f"_bin{i}" for i in range(len(cuts))]
+    if cuts:
+        df = Bucketizer(splitsArray=list(cuts.values()), inputCols=list(cuts), outputCols=bins, handleInvalid="keep").transform(df)
+    return df.withColumn("_cell", F.concat_ws(",", *(F.col(b).cast("int").cast("string") for b in bins))).drop(*bins)
+
+
 def tree_contributions(models: Sequence[PipelineModel], rows: DataFrame, background: DataFrame, columns: Sequence[str], most: int = 100, key: str = "project_key", batch: int = 500) -> DataFrame:
     """(key, feature, contribution, raw_value) in long form: the mean of the models' contributions for each row and column.
 
+    Rows that no model can tell apart are worked out once, so that work grows with the cells between the models' cuts.
     background is bounded: its first `most` rows in hash order of the key. Models take `columns` in this order as features."""
     tables = [paths_of(m) for m in models]
-    some = background.orderBy(F.xxhash64(key), key).limit(most).select(*(F.col(c).cast("double") for c in columns)).toPandas().to_numpy(np.float64)
+    names = list(columns)
+    known = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in names]
+    some = background.orderBy(F.xxhash64(key), key).limit(most).select(*known).toPandas().to_numpy(np.float64)
     if not len(some):
         raise ValueError("contributions need a background")
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((tables, some))
-    names = list(columns)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         paths, back = shared.value
@@ -160,8 +186,10 @@ def tree_contributions(models: Sequence[PipelineModel], rows: DataFrame, backgro
                 part = frame.iloc[i : i + batch]
                 x = part[names].to_numpy(np.float64)
                 mean = sum(contributions(p, x, back) for p in paths) / len(paths)
-                yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), len(names)), "feature": names * len(part), "contribution": mean.ravel(), "raw_value": x.ravel()})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, *(F.col(c).cast("double").alias(c) for c in names)).mapInPandas(run, f"`{key}` {kind}, feature string, contribution double, raw_value double")
+                yield pd.DataFrame({"_cell": part["_cell"].to_numpy(), "_made": list(mean)})
 
+    marked = with_cell(rows.select(key, *known), tables, names)
+    some_of_each = marked.groupBy("_cell").agg(*(F.min(c).alias(c) for c in names)).repartition(2 * spark.sparkContext.defaultParallelism)
+    made = reread(some_of_each.mapInPandas(run, "_cell string, _made array<double>"), "contributions")
+    cells = F.arrays_zip(F.array(*map(F.lit, names)).alias("feature"), F.col("_made").alias("contribution"), F.array(*(F.col(f"`{c}`") for c in names)).alias("raw_value"))
+    return marked.join(made, "_cell").select(key, F.inline(cells).alias("feature", "contribution", "raw_value"))

@@ -139,13 +139,15 @@ def i12_gated_fallback(spark, d):
 def i14_out_of_fold(spark, d):
     """Overrun of each resolved project, by a forest that was fitted on the four other folds."""
     made = projects(spark, d)
-    return models.out_of_fold(folded(made.known(), 5), made.learners()["p1"], "p", 5).select("project_key", "y", "fold", "p")
+    rows = folded(made.known(), 5)
+    return models.out_of_fold(rows, made.learners()["p1"], "p", 5, learned=made.cells(rows)).select("project_key", "y", "fold", "p")
 
 
 def held_out(spark: SparkSession, d: str, learner) -> DataFrame:
-    """Metrics on the test side of a learner fitted on the train side, and the share of the larger class there."""
+    """Metrics on the test side of a tree learner fitted on the train side, and the share of the larger class there."""
     made = projects(spark, d)
-    fitted = Pipeline(stages=[models.assembler(made.features), learner]).fit(folded(made.known().filter("split = 'train'"), 5))
+    train = models.with_weights(made.known().filter("split = 'train'")).withColumn("fold", features.bucket("project_key", 5))
+    fitted = made.tree_learner(learner).fit(made.cells(train))
     test = made.known().filter("split = 'test'")
     larger = test.agg(F.round(F.greatest(F.avg("y"), 1 - F.avg("y")), 4).alias("majority"))
     return metrics.evaluate(models.probability(fitted.transform(test), "p")).crossJoin(larger)
@@ -173,7 +175,8 @@ def i17_sequence_learner(spark, d):
 @query()
 def i18_stacker(spark, d):
     made = projects(spark, d)
-    rows, meta = models.stack(folded(made.known(), STACK_FOLDS), made.learners(), STACK_FOLDS, PREPARE, "p3", has_steps())
+    known = folded(made.known(), STACK_FOLDS)
+    rows, meta = models.stack(known, made.learners(), STACK_FOLDS, PREPARE, "p3", has_steps(), learned=dict.fromkeys(("p1", "p2"), made.cells(known)))
     return models.probability(meta.transform(rows), "p").select("project_key", "y", "p1", "p2", "p3", "p")
 
 
@@ -203,7 +206,8 @@ def i21_tree_contributions(spark, d):
     projects of the train side, on which the models are fitted too."""
     made = projects(spark, d)
     train, learners = folded(made.known().filter("split = 'train'"), STACK_FOLDS), made.learners()
-    fitted = models.fit_all({name: lambda name=name: learners[name]().fit(train) for name in ("p1", "p2")})
+    learned = made.cells(train)
+    fitted = models.fit_all({name: lambda name=name: learners[name]().fit(learned) for name in ("p1", "p2")})
     return contributions.tree_contributions(list(fitted.values()), made.rows.filter("y is null"), train, made.features).select("project_key", "feature", "contribution")
 
 

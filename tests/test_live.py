@@ -236,3 +236,28 @@ def test_known_ids_are_not_broadcast(spark, tmp_path):
     assert sorted(r.report_id for r in sink.delivered().collect()) == list(range(100))
     known = rows.withColumn("_slot", delivery.slot()).join(sink.ids(["2024-01-01"], 2), ["_slot", "report_id"], "left_anti")
     assert "Broadcast" not in known._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("learner", [lambda: models.forest(4, 4), lambda: models.boosted(4, 3)])
+def test_learners_of_cells_and_their_contributions(spark, learner):
+    rng = np.random.default_rng(8)
+    data = [(f"k{i}", None if i % 97 == 0 else float(rng.normal()), i % 3, i % 2) for i in range(3000)]
+    data = [(k, a, b, int((a or 2.0) + b > rng.normal() + 1), fold) for k, a, b, fold in data]
+    df = models.with_weights(spark.createDataFrame(data, "project_key string, a double, b int, y int, fold int"))
+    cuts = models.cut_points(df, ["a"], 8)
+    cells = models.cells(df, ["a", "b"], cuts).cache()
+    n, total = cells.agg(F.count("*"), F.sum("weight")).first()
+    assert len(cuts["a"]) == 7 and n <= 9 * 3 * 2 * 2 and abs(total - 3000) < 1e-6  # all rows count, few are read
+    fitted = Pipeline(stages=[*models.binned(["a", "b"], cuts), learner()]).fit(cells)
+    scored = {r.project_key: r.p for r in models.probability(fitted.transform(df), "p").collect()}
+    assert len(scored) == 3000
+    paths, known = contributions.paths_of(fitted), [r for r in data if r[1] is not None]
+    x = np.array([r[1:3] for r in known], float)
+    assert np.allclose(paths.probabilities(paths.margins(x)), [scored[r[0]] for r in known], atol=1e-9)
+    table = contributions.tree_contributions([fitted], df.filter("a is not null"), df.filter("a is not null"), ["a", "b"], most=20).collect()
+    got = {(r.project_key, r.feature): (r.contribution, r.raw_value) for r in table}
+    back = np.array([[r.a, r.b] for r in df.filter("a is not null").orderBy(F.xxhash64("project_key"), "project_key").limit(20).collect()])
+    want = contributions.contributions(paths, x, back)
+    assert len(got) == len(table) == 2 * len(known)
+    for r, w in zip(known, want, strict=True):
+        assert np.allclose([got[r[0], "a"][0], got[r[0], "b"][0]], w, atol=1e-12) and (got[r[0], "a"][1], got[r[0], "b"][1]) == r[1:3]
