@@ -9,11 +9,11 @@ from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import IDF, Bucketizer, CountVectorizer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, CountVectorizer, CountVectorizerModel, ElementwiseProduct, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -81,11 +81,12 @@ def stacker() -> LogisticRegression:
     return LogisticRegression(labelCol="y", weightCol="weight", regParam=0.0)
 
 
-def with_weights(df: DataFrame) -> DataFrame:
-    """Balanced weights of labels y."""
-    total = df.agg(F.count("*").alias("_n"), F.count_if(F.col("y") == 1).alias("_p"))
+def with_weights(df: DataFrame, copies: Column | None = None) -> DataFrame:
+    """Balanced weights of labels y; copies: how many rows a row stands for."""
+    times = F.lit(1) if copies is None else copies
+    total = df.agg(F.sum(times).alias("_n"), F.sum(F.when(F.col("y") == 1, times).otherwise(0)).alias("_p"))
     share = F.when(F.col("y") == 1, F.col("_p")).otherwise(F.col("_n") - F.col("_p"))
-    return df.crossJoin(F.broadcast(total)).withColumn("weight", F.col("_n") / (2 * share)).drop("_n", "_p")
+    return df.crossJoin(F.broadcast(total)).withColumn("weight", times * F.col("_n") / (2 * share)).drop("_n", "_p")
 
 
 def balanced(df: DataFrame, key: str) -> DataFrame:
@@ -179,15 +180,65 @@ class Damped(Transformer):
         return made.withColumn(f"{self.name}_f", vector.alias(f"{self.name}_f", metadata=size)).drop("_counts", "_scaled", "_weights", "_norm")
 
 
+class Frequencies(Estimator):
+    """What makes features <name>_f of the term arrays <name>: as many terms as a CountVectorizer keeps, the most frequent
+    ones, and their smoothed inverse document frequency. A row with a column copies stands for so many rows."""
+
+    def __init__(self, name: str = "w", size: int = 1 << 18) -> None:
+        super().__init__()
+        self.name, self.size = name, size
+
+    def _fit(self, df: DataFrame) -> PipelineModel:
+        copies, name = F.col("copies") if "copies" in df.columns else F.lit(1), self.name
+        one = lambda terms, n, rows: F.transform(terms, lambda t: F.struct(t.alias("t"), n.alias("n"), rows.alias("rows")))
+        none = F.lit(0).cast("long")
+        df = df.select(name, copies.cast("long").alias("copies")).filter("copies > 0")
+        each = df.select(F.explode(F.concat(one(F.col(name), F.col("copies"), none), one(F.array_distinct(name), none, F.col("copies")))).alias("x")).select("x.*")
+        total = df.agg(F.sum("copies").alias("all"))
+        kept = each.groupBy("t").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).orderBy(F.col("n").desc(), "t").limit(self.size)
+        kept = reread(kept.crossJoin(F.broadcast(total)).select("t", F.log((F.col("all") + 1) / (F.col("rows") + 1)).alias("idf")), "terms")
+        found = {r["t"]: r["idf"] for r in kept.collect()} or {"": 0.0}
+        # a vocabulary moves to the JVM a term a call, so a model learns it there
+        counts = CountVectorizer(inputCol=name, outputCol=f"{name}_n", vocabSize=self.size).fit(kept.select(F.array("t").alias(name))) if len(found) > 1 else CountVectorizerModel.from_vocabulary(list(found), name, f"{name}_n")
+        scales = [found[t] for t in counts.vocabulary]
+        scaled = ElementwiseProduct(scalingVec=Vectors.dense(scales), inputCol=f"{name}_n", outputCol=f"{name}_i")
+        return PipelineModel([counts, scaled, Damped(name)])
+
+
+def damped_terms() -> list:
+    """Stages that make features of the term arrays w and c."""
+    return [Frequencies("w"), Frequencies("c"), assembler(["w_f", "c_f"])]
+
+
+def text_regression(n: int, strength: float = 2.0) -> LogisticRegression:
+    return LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / (strength * max(n, 1)), standardization=False, maxIter=200)
+
+
 def text_classifier(n: int, words: int = 2, chars: tuple[int, int] = (2, 4), strength: float = 2.0) -> Pipeline:
     """Runs of words and of characters inside words, with damped counts times smoothed inverse document frequency and unit
     length for each of the two, into a balanced logistic regression. Input columns text, y, weight; n is the number of
     rows fitted, by which the inverse penalty `strength` is divided."""
-    stages = [Terms(words, *chars)]
-    for x in "wc":
-        stages += [CountVectorizer(inputCol=x, outputCol=f"{x}_n"), IDF(inputCol=f"{x}_n", outputCol=f"{x}_i"), Damped(x)]
-    fit = LogisticRegression(labelCol="y", weightCol="weight", regParam=1 / (strength * max(n, 1)), standardization=False, maxIter=200)
-    return Pipeline(stages=[*stages, assembler(["w_f", "c_f"]), fit])
+    return Pipeline(stages=[Terms(words, *chars), *damped_terms(), text_regression(n, strength)])
+
+
+def classified_texts(df: DataFrame, learned: Column, name: str = "p") -> DataFrame:
+    """df with the probability of the text classifier fitted on its learned rows; columns text and y.
+
+    Each text is read once, however many rows have it: terms and features are made of the distinct texts and written once,
+    and the regression learns from (text, y) with the sum of the weights, which is the same loss as that of the rows."""
+    spark = df.sparkSession
+    files = 2 * spark.sparkContext.defaultParallelism  # a short text costs much for its bytes
+    df = df.withColumn("_text", F.coalesce("text", F.lit("")))
+    times = [F.count_if(learned & (F.col("y") == y)).alias(f"_n{y}") for y in (0, 1)]
+    texts = df.groupBy(F.col("_text").alias("text")).agg(*times).withColumn("copies", F.col("_n0") + F.col("_n1"))
+    texts = reread(Terms().transform(texts.repartition(files)), "texts")
+    made = reread(Pipeline(stages=damped_terms()).fit(texts).transform(texts).select("text", "_n0", "_n1", "features"), "text-features")
+    sides = F.array(*(F.struct(F.lit(y).alias("y"), F.col(f"_n{y}").alias("copies")) for y in (0, 1)))
+    rows = made.select("features", F.explode(sides).alias("x")).select("features", "x.*").filter("copies > 0")
+    n = rows.agg(F.sum("copies")).first()[0]
+    fitted = text_regression(n or 0).fit(with_weights(rows, F.col("copies")))
+    scored = reread(probability(fitted.transform(made), name).select(F.col("text").alias("_text"), name), "text-scores")
+    return df.join(scored, "_text").drop("_text")
 
 
 def gated(rule: Column, predicted: Column, confidence: Column, least: float = CONFIDENCE) -> tuple[Column, Column]:

@@ -123,9 +123,7 @@ def i11_text_classifier(spark, d):
     so they are predicted and not learned from."""
     kind = F.expr("case when p_type in ('LARGE', 'STANDARD', 'MEDIUM') then 1 when p_type in ('SMALL', 'ECONOMY') then 0 end")
     rows = features.split(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("text"), kind.alias("y")), "p_partkey")
-    train = reread(models.with_weights(rows.filter("split = 'train' and y is not null")), "labelled")
-    fitted = models.text_classifier(train.count()).fit(train)
-    return models.probability(fitted.transform(rows), "p").select("p_partkey", "split", "y", "p")
+    return models.classified_texts(rows, F.col("split") == "train").select("p_partkey", "split", "y", "p")
 
 
 @query(f"WITH {SCORED} SELECT project_key, CASE WHEN status = 'Completed' THEN 'rule-label' WHEN prob >= 0.7 THEN 'model-label' END AS label, CASE WHEN status = 'Completed' THEN 'rule' WHEN prob >= 0.7 THEN 'model' ELSE 'none' END AS origin FROM scored")

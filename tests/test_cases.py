@@ -431,3 +431,34 @@ def test_duplicates_go_last_and_only_wanted_columns_are_staged(spark, data):
     whole = target.build_target(target_queries.monitoring(spark, data), target_queries.liquidation(spark, data), target_queries.FLOOR)
     kept = ["mon_row_id", "direct", "proxy", "corrected", "overrun", "overrun_pct"]
     assert sorted(map(str, whole.select(*kept).collect())) == sorted(map(str, rows.select(*kept).collect()))
+
+
+def test_text_classifier_reads_each_text_once(spark, data, monkeypatch):
+    from ledgerline.plans import modelling_queries
+    from ledgerline.plans.testbed import table
+
+    read = {}
+
+    def noted(df, name):
+        out = sinks.reread(df, name)
+        read[name] = out.count()
+        return out
+
+    monkeypatch.setattr(models, "reread", noted)
+    out = modelling_queries.i11_text_classifier(spark, data)
+    assert read["texts"] == table(spark, data, "part").select("p_name").distinct().count() < out.count() == table(spark, data, "part").count()
+    rows = out.join(table(spark, data, "part").select("p_partkey", F.col("p_name").alias("text")), "p_partkey")
+    train = rows.filter("split = 'train' and y is not null").drop("p")
+    whole = models.probability(models.text_classifier(train.count()).fit(models.with_weights(train)).transform(rows.withColumnRenamed("p", "q")), "p")
+    assert whole.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-3
+
+
+def test_frequencies_count_copies(spark):
+    rows = spark.createDataFrame([(["a", "b", "a"], 3), (["b"], 1), (["c"], 0), ([], 2)], "w array<string>, copies int")
+    one = rows.filter("copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "_i")
+    pipe = Pipeline(stages=[CountVectorizer(inputCol="w", outputCol="w_n"), IDF(inputCol="w_n", outputCol="w_i")]).fit(one)
+    want = dict(zip(pipe.stages[0].vocabulary, pipe.stages[1].idf, strict=True))
+    counts, scaled, _ = models.Frequencies("w").fit(rows).stages
+    assert dict(zip(counts.vocabulary, scaled.getScalingVec(), strict=True)) == pytest.approx(want)
+    blank = models.Frequencies("w").fit(rows.withColumn("w", F.array().cast("array<string>"))).transform(rows)
+    assert blank.count() == 4
