@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import allocate, contributions, features, metrics, models
 from ..operators.reports import tier
-from ..sources.sinks import reread
-from .projects import PREPARE, STACK_FOLDS, folded, has_steps, projects, trained
+from .projects import PREPARE, STACK_FOLDS, folded, has_steps, projects, sequence_pipeline, sequences, trained
 from .register import query
 from .reports_queries import PLAN, TIER, plan
 from .target_queries import STEPS, labelled
@@ -164,10 +163,9 @@ def i16_boosted_trees(spark, d):
 @query()
 def i17_sequence_learner(spark, d):
     """Overrun from the steps of a project and their mask: fitted on the train side, and applied to all resolved projects with steps."""
-    made = projects(spark, d)
-    rows = made.known().filter(has_steps())
-    train = reread(PREPARE["p3"](rows.filter("split = 'train'")), "sequences")
-    return models.probability(made.learners()["p3"]().fit(train).transform(rows), "p").select("project_key", "split", "y", "p")
+    rows = sequences(spark, d)
+    fitted = sequence_pipeline().fit(models.balanced(rows.filter("split = 'train'"), "project_key"))
+    return models.probability(fitted.transform(rows), "p").select("project_key", "split", "y", "p")
 
 
 @query()

@@ -462,3 +462,38 @@ def test_frequencies_count_copies(spark):
     assert dict(zip(counts.vocabulary, scaled.getScalingVec(), strict=True)) == pytest.approx(want)
     blank = models.Frequencies("w").fit(rows.withColumn("w", F.array().cast("array<string>"))).transform(rows)
     assert blank.count() == 4
+
+
+def test_sequence_learner_makes_no_other_features(spark, data, monkeypatch):
+    from ledgerline.plans import modelling_queries, projects
+    from ledgerline.streaming import live
+
+    made = projects.projects(spark, data)
+    columns = ["project_key", "split", "y", *live.STEP_INPUTS]
+    want = made.known().filter(projects.has_steps()).select(*columns)
+    written = []
+    monkeypatch.setattr(projects, "reread", lambda df, name: (written.append(sinks.reread(df, name)), written[-1])[1])
+    out = modelling_queries.i17_sequence_learner(spark, data)
+    assert [set(x.columns) for x in written] == [set(columns)]
+    assert sorted(map(tuple, written[0].select(*columns).collect())) == sorted(map(tuple, want.collect()))
+    assert out.count() == want.count() > 0 and out.filter("p is null or p < 0 or p > 1").count() == 0
+
+
+def test_histories_are_the_first_steps_of_events(spark, tmp_path):
+    from datetime import timedelta
+
+    from ledgerline.plans import projects
+    from ledgerline.streaming import live
+
+    draw = np.random.default_rng(6)
+    at = lambda: None if draw.random() < 0.1 else datetime(2001, 1, 1) + timedelta(days=int(draw.integers(12)))
+    orders = [(i, None if draw.random() < 0.1 else int(draw.integers(9)), at(), float(draw.integers(5))) for i in range(120)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    steps = []
+    for key, who, day, amount in orders:
+        own = sorted((o for o in orders if o[1] == who and who is not None), key=lambda o: (o[2] is not None, o[2] or datetime.min, o[0]))[:5]
+        steps += [(f"PRJ_{key}", day, 0, amount)] + [(f"PRJ_{key}", o[2], 1, o[3]) for o in own if o[2] and day and o[2] < day]
+    want = live.stored_steps(spark.createDataFrame(steps, "project_key string, at timestamp, kind int, amount double"))
+    found = projects.histories(spark, str(tmp_path)).select(projects.keyed(), "stored")
+    rows = lambda df: sorted((r["project_key"], [tuple(x) for x in r["stored"]]) for r in df.collect())
+    assert rows(found) == rows(want) and len(rows(found)) > 20
