@@ -135,19 +135,21 @@ def i12_gated_fallback(spark, d):
 @query()
 def i14_out_of_fold(spark, d):
     """Overrun of each resolved project, by a forest that was fitted on the four other folds."""
-    made = projects(spark, d)
+    made = projects(spark, d, steps=False)
     rows = folded(made.known(), 5)
     return models.out_of_fold(rows, made.learners()["p1"], "p", 5, learned=made.cells(rows)).select("project_key", "y", "fold", "p")
 
 
 def held_out(spark: SparkSession, d: str, learner) -> DataFrame:
-    """Metrics on the test side of a tree learner fitted on the train side, and the share of the larger class there."""
-    made = projects(spark, d)
-    train = models.with_weights(made.known().filter("split = 'train'")).withColumn("fold", features.bucket("project_key", 5))
-    fitted = made.tree_learner(learner).fit(made.cells(train))
+    """Metrics on the test side of a tree learner fitted on the train side, and the share of the larger class there.
+
+    Cells are of labels alone: folds would make some five times as many where rows are many, and nothing here reads them."""
+    made = projects(spark, d, steps=False)
+    train = models.with_weights(made.known().filter("split = 'train'"))
+    fitted = made.tree_learner(learner).fit(made.cells(train, ["y"]))
     test = made.known().filter("split = 'test'")
     larger = test.agg(F.round(F.greatest(F.avg("y"), 1 - F.avg("y")), 4).alias("majority"))
-    return metrics.evaluate(models.probability(fitted.transform(test), "p")).crossJoin(larger)
+    return metrics.evaluate(made.tree_scores(fitted, test)).crossJoin(larger)
 
 
 @query()
@@ -200,7 +202,7 @@ def i21_linear_contributions(spark, d):
 def i21_tree_contributions(spark, d):
     """Contributions of all features to the mean probability of both tree models, for every open project, against 100
     projects of the train side, on which the models are fitted too."""
-    made = projects(spark, d)
+    made = projects(spark, d, steps=False)
     train, learners = folded(made.known().filter("split = 'train'"), STACK_FOLDS), made.learners()
     learned = made.cells(train)
     fitted = models.fit_all({name: lambda name=name: learners[name]().fit(learned) for name in ("p1", "p2")})

@@ -497,3 +497,63 @@ def test_histories_are_the_first_steps_of_events(spark, tmp_path):
     found = projects.histories(spark, str(tmp_path)).select(projects.keyed(), "stored")
     rows = lambda df: sorted((r["project_key"], [tuple(x) for x in r["stored"]]) for r in df.collect())
     assert rows(found) == rows(want) and len(rows(found)) > 20
+
+
+def test_tree_learners_make_no_steps_and_stage_orders_once(spark, data, monkeypatch):
+    import os
+
+    from ledgerline.plans import modelling_queries, projects
+    from ledgerline.streaming import live
+
+    written = {}
+    monkeypatch.setattr(projects, "reread", lambda df, name: (written.setdefault(name, []).append(sinks.reread(df, name)), written[name][-1])[1])
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    learners = []
+    monkeypatch.setattr(modelling_queries.metrics, "evaluate", lambda df: learners.append(df) or df.agg(F.count("*").alias("n")))
+    got = modelling_queries.held_out(spark, data, models.forest(3, 3)).first()
+    made = projects.projects(spark, data, steps=False)
+    assert not {"stored", *live.STEP_INPUTS} & set(made.rows.columns) and all("fold" not in x.columns for x in written["cells"])
+    train, test = (made.known().filter(f"split = '{x}'") for x in ("train", "test"))
+    assert got["n"] == test.count() and learners[0].filter("y = 1").count() == test.filter("y = 1").count()
+    cells = models.cells(models.with_weights(train), made.features, made.cuts, ["y"])
+    assert len(written["orders"]) == 2 and abs(cells.agg(F.sum("weight")).first()[0] - train.count()) < 1e-6
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before}
+    assert not left & {"target-base", "orders", "projects"}  # gone once read
+    fitted = made.tree_learner(models.forest(3, 3)).fit(cells)
+    by_rows = sorted(r.p for r in models.probability(fitted.transform(test), "p").collect())
+    alike = sorted(r.p for r in made.tree_scores(fitted, test).collect())
+    assert np.allclose(alike, by_rows, atol=1e-12)
+
+
+def test_fits_of_rows_run_one_at_a_time(spark):
+    import threading
+
+    running, most, lock = set(), [], threading.Lock()
+
+    def job(key):
+        def run():
+            with lock:
+                running.add(key)
+                most.append(sum(k[1] == "p3" for k in running))
+            threading.Event().wait(0.05)
+            with lock:
+                running.discard(key)
+            return key
+
+        return run
+
+    keys = [(fold, name) for fold in (0, 1, None) for name in ("p1", "p3")]
+    done = models.fit_all({key: job(key) for key in keys}, 4, [key for key in keys if key[1] == "p3"])
+    assert done == {key: key for key in keys} and max(most) == 1
+
+
+def test_shuffle_files_go_with_a_staged_write(spark):
+    left = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    rows = spark.range(20_000).repartition(3, "id")
+    before = left()
+    staged = sinks.reread(rows, "rows")
+    assert left() <= before and staged.count() == sinks.reread(rows, "rows").count() == 20_000
+    assert spark.conf.get(sinks.CLEANUP) == "false"
+    sinks.discard(staged)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(staged.saved_at)
