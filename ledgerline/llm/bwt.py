@@ -339,8 +339,15 @@ def remove_shared(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_
         give_back()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where strings are: compressed, a segment a row."""
+        held: list[tuple] = []
         for key, name, own, prints, s, windows, _, _ in found(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, name, own, prints, s << 6 | windows)], names=["key", "name", "_id", "_print", "place"])
+            held.append((key, name, own, prints, s << 6 | windows))
+            if sum(len(x[0]) for x in held) > HELD_ANCHORS:
+                yield dealt(held, bits)
+        if held:
+            yield dealt(held, bits)
+        give_back()
 
     def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The different strings of the task, each with its smallest id, a few twice if there are many: compressed, a segment a row."""
@@ -374,7 +381,7 @@ def remove_shared(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_
         give_back()
 
     fields = ", ".join(f"{x} binary" for x in ("keys", "names", "ids", *Collection.FIELDS))
-    plain = "key long, name long, first_id long, mask long"
+    plain = "segment int, strings binary"
 
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Collections of the strings of each segment, whose rows come together; strings alone with their key have no shared window."""
@@ -394,9 +401,9 @@ def remove_shared(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_
             more = np.zeros(len(key), bool)
             more[1:] = key[1:] == key[:-1]
             more[:-1] |= more[1:]
-            lone = [pa.array(x[~more]) for x in (key, name, own, np.zeros(len(key), np.int64))]
-            none = len(lone[0])
-            yield pa.RecordBatch.from_arrays([*lone, pa.nulls(none, pa.int32()), *[pa.nulls(none, pa.binary())] * 9], names=names)
+            if not more.all():
+                lone = b"".join(x[~more].tobytes() for x in (key, name, own, np.zeros(len(key), np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([segment_of(key[:1], bits)[0]], pa.int32()), pa.array([lone], pa.binary()), pa.nulls(1, pa.int32()), *[pa.nulls(1, pa.binary())] * 9], names=names)
             key, name, own, sizes, at = key[more], name[more], own[more], sizes[more], at[more]
             size, last = np.cumsum(sizes), np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))  # where keys end
             begin = 0
@@ -404,7 +411,7 @@ def remove_shared(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_
                 end = int(last[min(np.searchsorted(last, max(begin + 1, np.searchsorted(size, (size[begin - 1] if begin else 0) + shard_bytes))), len(last) - 1)])
                 made = Collection(pick(flat, at[begin:end], sizes[begin:end]), sizes[begin:end].astype(np.uint8))
                 raw = [x[begin:end].tobytes() for x in (key, name, own)] + made.written()
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 4, pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], names=names)
                 begin = end
 
         held, last = [], None
@@ -419,7 +426,7 @@ def remove_shared(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_
             yield from made_of(held)
         give_back()
 
-    names = ["key", "name", "first_id", "mask", "rounds", "keys", "names", "ids", *Collection.FIELDS]
+    names = ["segment", "strings", "rounds", "keys", "names", "ids", *Collection.FIELDS]
 
     def advanced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,7 +436,7 @@ def remove_shared(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_
                 for _ in range(columns):
                     if not state.insert():
                         break
-                yield pa.RecordBatch.from_arrays([pa.array([state.rounds], pa.int32()), *(pa.array([x], pa.binary()) for x in (keys, own_names, own, *state.written()))], names=names[4:])
+                yield pa.RecordBatch.from_arrays([pa.array([state.rounds], pa.int32()), *(pa.array([x], pa.binary()) for x in (keys, own_names, own, *state.written()))], names=names[2:])
         give_back()
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,22 +445,76 @@ def remove_shared(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_
                 rounds, keys, own_names, own, *raw = (batch.column(k)[i].as_py() for k in range(10))
                 ids = np.frombuffer(own, np.int64)
                 mask = masks(Collection.read(rounds, *raw), ids, length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(own_names, np.int64)), pa.array(ids), pa.array(mask)], names=names[:4])
+                segment = segment_of(np.frombuffer(keys, np.int64, 1), bits)
+                yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array([b"".join((keys, own_names, own, mask.tobytes()))], pa.binary())], names=names[:2])
+        give_back()
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places with a repeated window (id, first byte, print, windows as bits), by segments of their ids; the strings of a
+        segment come first, its places behind them."""
+        strings: list[np.ndarray] = []
+        held: list[tuple] = []
+        last, table = None, None
+        for batch in batches:
+            for segment, n, raw in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if segment != last:
+                    strings, last, table = [], segment, None
+                if not n:
+                    strings.append(np.frombuffer(raw, np.int64).reshape(4, -1))
+                    continue
+                if table is None:
+                    table = np.concatenate(strings, 1)
+                    table = table[:, np.lexsort((table[0], table[1]))]
+                key, name, own, prints, place = unpacked(raw, n)
+                first_id, mask = (table[k][matches(table, key, name)] for k in (2, 3))
+                mask = np.where(own > first_id, (np.int64(1) << (place & 63)) - 1, mask)
+                some = mask != 0
+                held.append((mix(own[some].view(np.uint64)).view(np.int64), own[some], place[some] >> 6, prints[some], mask[some]))
+                if sum(len(x[0]) for x in held) > HELD_ANCHORS:
+                    yield dealt(held, bits)
+        if held:
+            yield dealt(held, bits)
+        give_back()
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text: its places."""
+
+        def made_of(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+            _, own, s, prints, mask = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((prints, own))
+            own, prints = own[order], prints[order]
+            first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (prints[1:] != prints[:-1])))
+            marks = pa.StructArray.from_arrays([pa.array(s[order]), pa.array(mask[order])], ["s", "mask"])
+            return pa.RecordBatch.from_arrays([pa.array(own[first]), pa.array(prints[first]), pa.ListArray.from_arrays(pa.array(np.append(first, len(own)), pa.int32()), marks)], names=["_id", "_print", "marks"])
+
+        held, last = [], None
+        for batch in batches:
+            for segment, n, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if held and segment != last:
+                    yield made_of(held)
+                    held = []
+                last = segment
+                held.append(unpacked(raw, n))
+        if held:
+            yield made_of(held)
         give_back()
 
     # no frame with an exchange keeps a name, so that its files can go as soon as it is written
     made = save(known.mapInArrow(different, "segment int, n long, strings binary").repartition("segment").sortWithinPartitions("segment").mapInArrow(collected, f"{plain}, rounds int, {fields}"), "collections", **ROWS)
-    state = made.filter("rounds is not null").select(*names[4:])
+    state = made.filter("rounds is not null").select(*names[2:])
     for begin in range(0, length + WINDOWS - 1, columns):
         before, state = state, save(state.mapInArrow(advanced, f"rounds int, {fields}"), "columns", **ROWS)
         if begin:
             discard(before)
-    firsts = save(made.filter("rounds is null").select(*names[:4]).union(state.mapInArrow(judged, plain)), "firsts", compression="zstd")
+    firsts = save(made.filter("rounds is null").select(*names[:2]).union(state.mapInArrow(judged, plain)), "firsts", **ROWS)
     discard(anchors, made, state)
-    every = F.expr("shiftleft(1L, cast(place & 63 as int)) - 1")
-    marks = known.mapInArrow(places, "key long, name long, _id long, _print int, place long").join(firsts, ["key", "name"])
-    marks = marks.withColumn("mask", F.when(F.col("_id") > F.col("first_id"), every).otherwise(F.col("mask"))).filter("mask <> 0")
-    marks = marks.groupBy("_id", "_print").agg(F.collect_list(F.struct(F.shiftright("place", 6).alias("s"), "mask")).alias("marks"))
+    sides = firsts.select("segment", F.lit(0).alias("side"), F.lit(0).cast("long").alias("n"), "strings")
+    sides = sides.union(known.mapInArrow(places, "segment int, n long, strings binary").select("segment", F.lit(1), "n", "strings"))
+    marks = sides.repartition("segment").sortWithinPartitions("segment", "side").mapInArrow(marked, "segment int, n long, strings binary")
+    del sides
+    marks = marks.repartition("segment").sortWithinPartitions("segment").mapInArrow(gathered, "_id long, _print int, marks array<struct<s:long,mask:long>>")
+    marks = save(marks, "marks", compression="zstd")
+    discard(firsts)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bit = np.arange(WINDOWS, dtype=np.int64)
@@ -502,6 +563,48 @@ def span_hashes_long(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np
     return h
 
 
+#: Kinds of the arrays that dealt() packs: the first is what rows are dealt by.
+PLACE = (np.int64, np.int64, np.int64, np.int32, np.int64)
+
+
+def segment_of(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def dealt(held: list[tuple], bits: int) -> pa.RecordBatch:
+    """Held arrays as (segment, n, compressed bytes), a segment by the upper bits of the first array a row. held is emptied."""
+    parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+    held.clear()
+    segment = segment_of(parts[0], bits)
+    order = np.argsort(segment, kind="stable")
+    segment, parts = segment[order], [np.asarray(x[order], kind) for x, kind in zip(parts, PLACE, strict=True)]
+    ends = np.append(np.flatnonzero(segment[1:] != segment[:-1]) + 1, len(segment)) if len(segment) else np.zeros(0, np.int64)
+    pack, packed, begin = zstandard.ZstdCompressor(level=1), [], 0
+    for end in ends.tolist():
+        packed.append(pack.compress(b"".join(x[begin:end].tobytes() for x in parts)))
+        begin = end
+    return pa.RecordBatch.from_arrays([pa.array(segment[ends - 1]), pa.array(np.diff(ends, prepend=0)), pa.array(packed, pa.binary())], names=["segment", "n", "strings"])
+
+
+def unpacked(raw: bytes, n: int) -> list[np.ndarray]:
+    """The arrays of a row of dealt()."""
+    data, at, out = zstandard.ZstdDecompressor().decompress(raw), 0, []
+    for kind in PLACE:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def matches(table: np.ndarray, key: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """The column of each (key, name) in a table of (key, name, ...) sorted by name and key; each is there."""
+    at = np.searchsorted(table[1], name)
+    other = np.flatnonzero(table[0][at] != key)
+    while len(other):  # names of different strings that fall together
+        at[other] += 1
+        other = other[table[0][at[other]] != key[other]]
+    return at
+
+
 def first_of(key: np.ndarray, name: np.ndarray, own: np.ndarray) -> np.ndarray:
     """The place of each different (key, name) with the smallest id."""
     order = np.lexsort((own, name, key))

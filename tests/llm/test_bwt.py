@@ -129,3 +129,32 @@ def test_the_query(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     expect = sorted(brute([(r.doc_id, r.text) for r in docs], 50))
     assert list(map(tuple, got[["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples(index=False))) == [x[:5] for x in expect]
+
+
+def test_places_are_dealt_and_matched_as_arrays():
+    rng = np.random.default_rng(5)
+    key, name, own = (rng.integers(-(2**63), 2**63 - 1, 500) for _ in range(3))
+    name[250:] = name[:250]  # names of different strings that fall together
+    prints, place = rng.integers(-(2**31), 2**31 - 1, 500), rng.integers(0, 2**40, 500)
+    held = [tuple(x[part] for x in (key, name, own, prints, place)) for part in (slice(0, 200), slice(200, 500))]
+    batch = bwt.dealt(held, 8)
+    assert not held and batch.num_rows <= 256 and sum(batch.column(1).to_pylist()) == 500
+    got = []
+    for segment, n, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        rows = list(zip(*(x.tolist() for x in bwt.unpacked(raw, n)), strict=True))
+        assert {(k % 2**64) >> 56 for k, *_ in rows} == {segment}
+        got += rows
+    assert sorted(got) == sorted(zip(*(x.tolist() for x in (key, name, own, prints, place)), strict=True))
+    table = np.stack([key, name, own])[:, np.lexsort((key, name))]
+    assert table[2][bwt.matches(table, key, name)].tolist() == own.tolist()
+
+
+def test_no_string_is_joined_as_a_row(spark, data):
+    import io
+    from contextlib import redirect_stdout
+
+    text_ = io.StringIO()
+    with redirect_stdout(text_):
+        bwt.op11_suffix_array_dedup(spark, data).explain()
+    plan = text_.getvalue()
+    assert "Aggregate" not in plan and plan.count("Join") == 1  # of texts with their places alone
