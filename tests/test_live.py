@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 from itertools import combinations
 from math import comb
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -261,3 +262,20 @@ def test_learners_of_cells_and_their_contributions(spark, learner):
     assert len(got) == len(table) == 2 * len(known)
     for r, w in zip(known, want, strict=True):
         assert np.allclose([got[r[0], "a"][0], got[r[0], "b"][0]], w, atol=1e-12) and (got[r[0], "a"][1], got[r[0], "b"][1]) == r[1:3]
+
+
+def test_feed_is_packed_and_resolved_projects_are_not_moved(spark, data, projects, stack, tmp_path):
+    import io
+    from contextlib import redirect_stdout
+
+    from ledgerline.plans import streams_queries
+
+    streams_queries.stream(spark, data)
+    path = max((p for p in Path(spark.conf.get("spark.checkpoint.dir")).glob("feed-*")), key=lambda p: p.stat().st_mtime)
+    files = [p.name for p in path.iterdir() if p.name.startswith("part-")]
+    assert files and all(x.endswith(".json.gz") for x in files)
+    text = io.StringIO()
+    with redirect_stdout(text):
+        steps = visits.sequences_as_of(live.known_open(spark.createDataFrame([], REPORT), projects))
+        live.scored(steps, projects, stack, STATUSES, ["status_A", "status_B"]).explain()
+    assert text.getvalue().count("NOT resolved") >= 2
